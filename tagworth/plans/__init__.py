@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import q_pricing  # noqa: F401
+from . import q_candidates, q_pricing  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

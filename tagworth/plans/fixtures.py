@@ -70,6 +70,18 @@ FIXTURES: dict[str, str] = {
         JOIN (SELECT s_suppkey, s_nationkey FROM {{supplier}}) s ON l.l_suppkey = s.s_suppkey
         JOIN (SELECT s_suppkey AS k, {_case("CAST(s_suppkey % 17 AS INT)", _DOMAINS)} AS domain FROM {{supplier}}) d
           ON l.l_suppkey = d.k""",
+    "cands": """
+        SELECT analysis_id, section_rank, pos, serp_source, domain, url, title,
+               0.8E0 + discount AS similarity, CAST(linenumber % 2 AS INT) AS selection_priority,
+               CAST(partkey % 50 AS INT) AS title_rank, partkey, suppkey, quantity, discount, tax
+        FROM {listings}""",
+    "link_rows": """
+        SELECT analysis_id, section_rank, pos, serp_source, domain, coalesce(url, '') AS url,
+               CASE WHEN pos % 3 = 0 THEN '' ELSE title END AS title,
+               CASE WHEN pos % 2 = 0 THEN '' ELSE 'https://img/' || CAST(partkey AS STRING) END AS image,
+               CASE WHEN pos % 4 > 0 THEN serp_price END AS serp_price,
+               CASE WHEN pos % 4 > 0 THEN currency_original END AS serp_currency
+        FROM {listings}""",
     "rates": """
         SELECT code, rate FROM (VALUES ('USD', 1.0E0), ('EUR', 0.92E0), ('GBP', 0.79E0), ('JPY', 151.3E0), ('RUB', 91.4E0))
             AS t(code, rate)""",
@@ -121,5 +133,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input table as a Spark data frame."""
     text = FIXTURES[name]
-    used = sorted(set(re.findall(r"\{(\w+)\}", text)))
-    return spark.sql(text, **{t: load(spark, sf_dir, t) for t in used})
+    used = sorted(set(re.findall(r"\{([a-z]\w*)\}", text)))
+    sources = {t: load(spark, sf_dir, t) if t in TABLES else fixture(spark, sf_dir, t) for t in used}
+    return spark.sql(text, **sources)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .fixtures import FIXTURES
+from .fixtures import FIXTURES, TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,18 +33,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def expand(sql: str) -> str:
     names: list[str] = []
 
+    def body_of(name: str) -> str:
+        body = CTES.get(name) or FIXTURES.get(name)
+        if body is None:
+            raise KeyError(name)
+        return body
+
     def visit(text: str) -> None:
-        for found in re.findall(r"@(\w+)", text):
-            body = CTES.get(found) or FIXTURES.get(found)
-            if body is None:
-                raise KeyError(found)
-            visit(body)
-            if found not in names:
-                names.append(found)
+        found = re.findall(r"@([a-z]\w*)", text) + [t for t in re.findall(r"\{([a-z]\w*)\}", text) if t not in TABLES]
+        for name in found:
+            if name not in names:
+                visit(body_of(name))
+                if name not in names:
+                    names.append(name)
+
+    def plain(text: str) -> str:
+        return re.sub(r"@([a-z]\w*)", r"\1", re.sub(r"\{([a-z]\w*)\}", r"\1", text))
 
     visit(sql)
-    plain = lambda t: re.sub(r"[@]([a-z]\w*)", r"\1", re.sub(r"\{(\w+)\}", r"\1", t))
-    ctes = [f"{n} AS ({plain(CTES.get(n) or FIXTURES[n])})" for n in names]
+    ctes = [f"{n} AS ({plain(body_of(n))})" for n in names]
     body = plain(sql).strip()
     if not ctes:
         return body
