@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .base import ColumnOrName, any_of, blank_to_null, has_any, let, lookup, text
+from .base import WIDE_SPACE, ColumnOrName, any_of, blank_to_null, has_any, let, lookup, text
 
 _SEP = "[.,\\s\\u00a0\\u202f]"
 _NUMBER = f"[0-9]{{1,3}}(?:{_SEP}[0-9]{{3}})+(?:[.,][0-9]{{2}})?|[0-9]+(?:[.,][0-9]{{2}})?"
@@ -23,8 +23,9 @@ _SYMBOL = (
     "EUROS?|(?:US|CA|AU|MX|NT|HK)\\s?\\$|(?:CN|JP)\\s*¥|GB\\s*£|(?<![A-Z])[ACRS]\\$|"
     "USD|EUR|GBP|JPY|RUB|RUR|CAD|AUD|CHF|CNY|RMB|INR|KRW|MXN|BRL|ZAR|TWD|HKD|SGD|[$€£¥₽₹₩]"
 )
-_SYMBOL_FIRST = f"(?i)({_SYMBOL}){_GAP}({_NUMBER})"
-_NUMBER_FIRST = f"(?i)({_NUMBER}){_GAP}({_SYMBOL})"
+# both run on upper-case text, which is much cheaper than ignoring case
+_SYMBOL_FIRST = f"(?:{_SYMBOL}){_GAP}(?:{_NUMBER})"
+_NUMBER_FIRST = f"(?:{_NUMBER}){_GAP}(?:{_SYMBOL})"
 _ROUBLE = "(?iU)\\bруб(?:\\.|ля|лей|ль)?\\b"
 _DOLLAR_WORD = "(?iU)\\bдол(?:л(?:ар(?:ов|а)?)?)?\\.?\\b"
 
@@ -70,14 +71,14 @@ def currency_code(c: ColumnOrName) -> Column:
 
 
 def _symbol_code(symbol: Column) -> Column:
-    compact = F.regexp_replace(F.upper(symbol), "\\s", "")
+    compact = F.regexp_replace(symbol, WIDE_SPACE, "")
     return lookup(compact, {k.replace(" ", ""): v for k, v in fixed.CURRENCY_ALIASES.items()})
 
 
 def _mentioned_currency(t: Column) -> Column:
     """Currency of the first symbol or code anywhere in the text."""
     pattern = any_of(s for s in _by_length(fixed.CURRENCY_ALIASES) if s != "R") + "|(?<![A-Z0-9])R(?![A-Z0-9])"
-    return lookup(F.regexp_extract(F.upper(t), pattern, 0), fixed.CURRENCY_ALIASES)
+    return lookup(F.regexp_extract(t, pattern, 0), fixed.CURRENCY_ALIASES)
 
 
 def number_value(number: Column) -> Column:
@@ -99,34 +100,33 @@ def parse_price(c: ColumnOrName) -> Column:
     is mentioned anywhere.  The currency is kept when no price is found.
     """
 
-    def match(t: Column) -> Column:
-        def combine(m: Column) -> Column:
-            c1, c2 = _symbol_code(m["s1"]), _symbol_code(m["s2"])
-            mentioned = m["mentioned"]
-            price = (
-                F.when(m["v1"].isNotNull(), m["v1"])
-                .when(m["v2"].isNotNull(), m["v2"])
-                .when(F.coalesce(c2, c1, mentioned).isNotNull(), m["v3"])
-            )
-            currency = (
-                F.when(m["v1"].isNotNull(), c1)
-                .when(m["s2"] != "", c2)
-                .when(m["s1"] != "", c1)
-                .otherwise(mentioned)
-            )
-            return F.struct(F.when(price > 0, price).alias("price"), currency.alias("currency"))
-
-        found = F.struct(
-            F.regexp_extract(t, _SYMBOL_FIRST, 1).alias("s1"),
-            number_value(blank_to_null(F.regexp_extract(t, _SYMBOL_FIRST, 2))).alias("v1"),
-            F.regexp_extract(t, _NUMBER_FIRST, 2).alias("s2"),
-            number_value(blank_to_null(F.regexp_extract(t, _NUMBER_FIRST, 1))).alias("v2"),
-            number_value(blank_to_null(F.regexp_extract(t, f"({_NUMBER})", 1))).alias("v3"),
-            _mentioned_currency(t).alias("mentioned"),
+    def first(t: Column) -> Column:
+        return let(F.struct(t.alias("t"), F.regexp_extract(t, _SYMBOL_FIRST, 0).alias("m1")), second)
+
+    def second(a: Column) -> Column:
+        v1 = number_value(blank_to_null(F.regexp_extract(a["m1"], f"({_NUMBER})$", 1)))
+        return let(F.struct(a["t"].alias("t"), a["m1"].alias("m1"), v1.alias("v1")), third)
+
+    def third(a: Column) -> Column:
+        m2 = F.when(a["v1"].isNull(), F.regexp_extract(a["t"], _NUMBER_FIRST, 0)).otherwise(F.lit(""))
+        return let(F.struct(a["t"].alias("t"), a["m1"].alias("m1"), a["v1"].alias("v1"), m2.alias("m2")), last)
+
+    def last(a: Column) -> Column:
+        v2 = number_value(blank_to_null(F.regexp_extract(a["m2"], f"^({_NUMBER})", 1)))
+        v3 = number_value(blank_to_null(F.regexp_extract(a["t"], f"({_NUMBER})", 1)))
+        currency = (
+            F.when(a["m2"] != "", _symbol_code(F.regexp_extract(a["m2"], "([^0-9]*)$", 1)))
+            .when(a["m1"] != "", _symbol_code(F.regexp_extract(a["m1"], "^([^0-9]*)", 1)))
+            .otherwise(_mentioned_currency(a["t"]))
         )
-        return let(found, combine)
 
-    return let(_roubles(F.trim(text(c))), match)
+        def finish(cur: Column) -> Column:
+            price = F.coalesce(a["v1"], v2, F.when(cur.isNotNull(), v3))
+            return F.struct(F.when(price > 0, price).alias("price"), cur.alias("currency"))
+
+        return let(currency, finish)
+
+    return let(F.upper(_roubles(F.trim(text(c)))), first)
 
 
 def parse_sold_price(c: ColumnOrName) -> Column:

@@ -54,7 +54,7 @@ FIXTURES: dict[str, str] = {
         SELECT p.p_brand AS analysis_id,
                CAST(l.l_linenumber % 4 AS INT) AS section_rank,
                {_SECTION} AS serp_source,
-               (l.l_orderkey * 8 + l.l_linenumber) * 1000003 + (l.l_partkey * 7919 + l.l_suppkey) % 1000003 AS pos,
+               (l.l_orderkey * 8 + l.l_linenumber) * 100000000 + l.l_partkey * 1000 + l.l_suppkey % 1000 AS pos,
                d.domain AS domain,
                {_URL} AS url,
                trim({_case(f"({_BRAND_NO})", _BRANDS)} || ' ' || p.p_brand || ' ' || p.p_name || ' ' || p.p_type) AS title,
@@ -94,10 +94,43 @@ FIXTURES: dict[str, str] = {
                CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'JPY' WHEN 3 THEN 'USD' ELSE 'SEK' END AS currency_original
         FROM {events} WHERE event_type <> 'purchase'""",
     "price_texts": """
-        SELECT l_orderkey * 8 + l_linenumber AS text_id, l_linenumber, l_extendedprice AS amount,
-               CAST(floor(l_extendedprice) AS BIGINT) AS whole,
-               CAST(round((l_extendedprice - floor(l_extendedprice)) * 100) AS BIGINT) AS cents
-        FROM {lineitem}""",
+        SELECT *, CASE layout
+            WHEN 0 THEN '$' || thousands || CASE WHEN whole >= 1000 THEN ',' ELSE '' END || rest || '.' || cents
+            WHEN 1 THEN thousands || CASE WHEN whole >= 1000 THEN '.' ELSE '' END || rest || ',' || cents || ' EUR'
+            WHEN 2 THEN 'now ' || thousands || CASE WHEN whole >= 1000 THEN ' ' ELSE '' END || rest || '.' || cents || ' gbp'
+            ELSE CASE WHEN whole % 3 = 0 THEN 'free shipping soon' ELSE 'ask me' END END AS txt
+        FROM (SELECT text_id, layout, whole, lpad(CAST(cent AS STRING), 2, '0') AS cents,
+                CASE WHEN whole >= 1000 THEN CAST(CAST((whole - whole % 1000) / 1000 AS BIGINT) AS STRING) ELSE '' END AS thousands,
+                CASE WHEN whole >= 1000 THEN lpad(CAST(whole % 1000 AS STRING), 3, '0') ELSE CAST(whole AS STRING) END AS rest
+              FROM (SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS text_id,
+                      CAST(l_linenumber % 4 AS INT) AS layout, CAST(floor(l_extendedprice) AS BIGINT) AS whole,
+                      CAST(round((l_extendedprice - floor(l_extendedprice)) * 100) AS BIGINT) AS cent FROM {lineitem}) a) b""",
+    "condition_texts": """
+        SELECT p_partkey AS text_id, p_name, CASE CAST(p_partkey % 18 AS INT)
+            WHEN 0 THEN 'Brand New with tags' WHEN 1 THEN 'Like  new' WHEN 2 THEN 'https://schema.org/UsedCondition'
+            WHEN 3 THEN 'sehr guter Zustand' WHEN 4 THEN 'как новое' WHEN 5 THEN 'б/у' WHEN 6 THEN 'More info >'
+            WHEN 7 THEN 'Pre-Owned - excellent' WHEN 8 THEN 'Excellent condition. Light wear' WHEN 9 THEN 'gut'
+            WHEN 10 THEN 'Shows wear' WHEN 11 THEN '' WHEN 12 THEN NULL WHEN 13 THEN 'Great Condition!'
+            WHEN 14 THEN 'Rank AB' WHEN 15 THEN 'Sealed box; never opened' WHEN 16 THEN 'a.b' ELSE p_name || ' preloved' END AS txt
+        FROM {part}""",
+    "country_texts": """
+        SELECT c_custkey AS text_id, CASE CAST(c_custkey % 12 AS INT)
+            WHEN 0 THEN 'Miami, Florida, United States' WHEN 1 THEN 'uk' WHEN 2 THEN 'en_US' WHEN 3 THEN 'germany'
+            WHEN 4 THEN 'GB' WHEN 5 THEN 'Paris, , ' WHEN 6 THEN 'Curaçao' WHEN 7 THEN 'U.S.A.' WHEN 8 THEN 'new ZEALAND'
+            WHEN 9 THEN '' WHEN 10 THEN NULL ELSE 'Rostock,DE' END AS txt
+        FROM {customer}""",
+    "odd_urls": """
+        SELECT page_id, CASE CAST(page_id % 10 AS INT)
+            WHEN 0 THEN replace(url, '://', '://user:pw@') WHEN 1 THEN replace(replace(url, 'http://', ''), 'https://', '')
+            WHEN 2 THEN replace(url, '.com/', '.com:8080/') WHEN 3 THEN url || '&x=a b|c' WHEN 4 THEN 'javascript:alert(1)'
+            WHEN 5 THEN '/relative/path' WHEN 6 THEN upper(url) WHEN 7 THEN NULL WHEN 8 THEN '' ELSE url END AS url
+        FROM {pages}""",
+    "parsed": """
+        SELECT pos, analysis_id, domain, url, title, page_price, CASE WHEN linenumber = 2 THEN 'EUR' END AS page_currency,
+               serp_price, CASE WHEN partkey % 2 = 0 THEN 'GBP' END AS serp_currency,
+               CASE WHEN partkey % 11 = 0 THEN 'blocked' WHEN partkey % 13 = 0 THEN 'catalog page' ELSE status END AS status,
+               CASE WHEN partkey % 7 = 0 THEN '' WHEN partkey % 7 = 1 THEN NULL ELSE 'used' END AS condition, partkey, linenumber
+        FROM {listings}""",
     "crawl_events": """
         SELECT event_id, ts, CAST(user_id % 12 AS INT) AS domain_no,
                'site' || CAST(user_id % 12 AS STRING) || '.com' AS domain,
