@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import q_candidates, q_listings, q_pricing, q_scalars  # noqa: F401
+from . import q_candidates, q_listings, q_pricing, q_scalars, q_titles, q_visual  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
