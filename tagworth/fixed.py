@@ -518,3 +518,10 @@ POSHMARK_GENERIC_TITLES = ["home", "poshmark", "shop"]
 EMPTY_MARKERS = ["", "unknown", "none", "null", "n/a", "na"]
 MAX_REASONABLE_PRICE = 1000000.0
 ASKING_PRICE_ERROR = "не удалось распознать цену avito"
+
+# --- fixed values: page text ---------------------------------------------------------
+
+STOP_MARKERS = ["you may also like", "recently viewed", "similar items", "more from"]
+PROMO_PRICE_TOKENS = [
+    "site credit", "est. retail", "estimated retail", "price was", "you save", "save ", "klarna", "afterpay",
+]
