@@ -525,3 +525,17 @@ STOP_MARKERS = ["you may also like", "recently viewed", "similar items", "more f
 PROMO_PRICE_TOKENS = [
     "site credit", "est. retail", "estimated retail", "price was", "you save", "save ", "klarna", "afterpay",
 ]
+
+# --- fixed values: embedded JSON -----------------------------------------------------
+
+CURRENCY_KEYS = ("priceCurrency", "currency", "currencyCode", "currency_code", "price_currency")
+PRICE_KEYS = (
+    "finalPrice", "salePrice", "sellingPrice", "currentPrice", "newProductPrice", "newPrice",
+    "displayPrice", "productPrice", "discountedPrice", "regularPrice", "priceValue", "price",
+    "lowPrice", "highPrice", "price_amount", "amount",
+)
+IDENTITY_KEYS = (
+    "id", "productId", "productID", "itemId", "product_id", "sku", "itemCode", "productCode", "slug", "url",
+    "canonicalUrl", "canonicalURL", "canonical_url", "href", "path", "productUrl", "handle", "link",
+)
+STATE_NAMES = ["__PRELOADED_STATE__", "__INITIAL_STATE__", "__NEXT_DATA__", "productJson", "_oa"]

@@ -127,6 +127,18 @@ FIXTURES: dict[str, str] = {
             WHEN 2 THEN replace(url, '.com/', '.com:8080/') WHEN 3 THEN url || '&x=a b|c' WHEN 4 THEN 'javascript:alert(1)'
             WHEN 5 THEN '/relative/path' WHEN 6 THEN upper(url) WHEN 7 THEN NULL WHEN 8 THEN '' ELSE url END AS url
         FROM {pages}""",
+    "listing_pages": """
+        SELECT p_partkey AS page_id, 'https://www.' || dom || '/products/x-p' || CAST(p_partkey AS STRING) AS url, kind, p_name, price, dom,
+               '<html><head><title>' || p_name || ' shop</title>' || CASE kind
+                 WHEN 0 THEN '<script type="application/ld+json">{"@graph":[{"@type":"WebSite","name":"s"},{"@type":"Product","name":"' || p_name || '","sku":"' || CAST(p_partkey AS STRING)
+                   || '","offers":{"price":"' || price || '","priceCurrency":"EUR","availability":"https://schema.org/OutOfStock"}}]}</script>'
+                 WHEN 1 THEN '<meta property="product:price:amount" content="' || price || '"><meta content="GBP" property="product:price:currency">'
+                 WHEN 2 THEN '<script>var d = {"usdCents":"' || replace(price, '.', '') || '"};</script>' ELSE '' END
+               || '</head><body><h1>' || p_name || '</h1>' || CASE WHEN kind = 3 THEN '<span class="price">$' || price || '</span>' ELSE '' END
+               || '<table><tr><th>Condition</th><td>Very good</td></tr></table><dl><dt>Ships from</dt><dd>Rome, Italy</dd></dl><p>'
+               || p_type || '</p></body></html>' AS html
+        FROM (SELECT p_partkey, p_name, p_type, CAST(p_partkey % 4 AS INT) AS kind, 'example.com' AS dom,
+                CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING) || '.' || lpad(CAST(p_partkey % 100 AS STRING), 2, '0') AS price FROM {part}) a""",
     "parsed": """
         SELECT pos, analysis_id, domain, url, title, page_price, CASE WHEN linenumber = 2 THEN 'EUR' END AS page_currency,
                serp_price, CASE WHEN partkey % 2 = 0 THEN 'GBP' END AS serp_currency,
@@ -170,4 +182,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = FIXTURES[name]
     used = sorted(set(re.findall(r"\{([a-z]\w*)\}", text)))
     sources = {t: load(spark, sf_dir, t) if t in TABLES else fixture(spark, sf_dir, t) for t in used}
-    return spark.sql(text, **sources)
+    # braces that are not placeholders are part of the text
+    quoted = re.sub(r"[{}]", lambda m: m[0] * 2, re.sub(r"\{([a-z]\w*)\}", "\x02\\1\x03", text))
+    return spark.sql(quoted.replace("\x02", "{").replace("\x03", "}"), **sources)

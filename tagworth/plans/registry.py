@@ -33,22 +33,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def expand(sql: str) -> str:
     names: list[str] = []
 
+    def known(name: str) -> bool:
+        return name in CTES or name in FIXTURES
+
     def body_of(name: str) -> str:
-        body = CTES.get(name) or FIXTURES.get(name)
-        if body is None:
-            raise KeyError(name)
-        return body
+        return CTES.get(name) or FIXTURES[name]
 
     def visit(text: str) -> None:
         found = re.findall(r"@([a-z]\w*)", text) + [t for t in re.findall(r"\{([a-z]\w*)\}", text) if t not in TABLES]
         for name in found:
-            if name not in names:
+            if known(name) and name not in names:
                 visit(body_of(name))
                 if name not in names:
                     names.append(name)
 
     def plain(text: str) -> str:
-        return re.sub(r"@([a-z]\w*)", r"\1", re.sub(r"\{([a-z]\w*)\}", r"\1", text))
+        bare = re.sub(r"\{([a-z]\w*)\}", r"\1", text)
+        return re.sub(r"@([a-z]\w*)", lambda m: m[1] if known(m[1]) else m[0], bare)
 
     visit(sql)
     ctes = [f"{n} AS ({plain(body_of(n))})" for n in names]
