@@ -20,7 +20,7 @@ _STRIP = f"regexp_replace({_STRIP}, '<!--.*?-->', ' ', 'gs')"
 
 def _text(expr: str) -> str:
     bare = f"regexp_replace({expr}, '<[^>]*>', ' ', 'g')"
-    for k, v in (("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for k, v in (("&quot;", "\""), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         bare = f"replace({bare}, '{k}', '{v}')"
     return f"trim(regexp_replace({bare}, '[\\s\\x{{00a0}}\\x{{202f}}]+', ' ', 'g'))"
 
