@@ -173,8 +173,22 @@ FIXTURES: dict[str, str] = {
 }
 
 
+# Fact tables; the others are small dimensions.
+FACTS = {"lineitem", "orders", "events", "documents", "embeddings", "pages"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.
+
+    A small table may be one file with one row group, which a single task would read and
+    process alone.  Such inputs are dealt out to all cores; a table with enough splits of
+    its own is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in FACTS and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
