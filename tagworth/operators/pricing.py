@@ -15,18 +15,21 @@ from ..functions.status import status_norm
 from .groups import value_counts
 from .lookups import with_tier
 
-KINDS = ("sold", "available")
 _GROUP = ["analysis_id", "status_kind"]
-_LEVEL = ["analysis_id", "level", "status_kind", "tier"]
+_LEVEL = ["analysis_id", "_code"]
 
 
-def _kind(status: Column) -> Column:
-    low = F.lower(status_norm(status))
-    return F.when(low.isin(*KINDS), low)
+def _code(status: Column, tier: Column) -> Column:
+    """Status kind and tier of a row as one small number: kind * 10 + tier, 0 for neither.
+
+    The price windows sort by it; one number is far cheaper there than three columns.
+    """
+    kind = F.when(status == "Sold", 1).when(status == "Available", 2).otherwise(0)
+    return F.when(kind > 0, kind * 10 + F.coalesce(tier, F.lit(0))).otherwise(0)
 
 
 def _counts(items: DataFrame, approx: bool) -> DataFrame:
-    """Rows per (analysis, status kind, tier, price); no positive price counts as null.
+    """Rows per (analysis, kind and tier, price); no positive price counts as null.
 
     ``approx`` keeps four significant digits, which bounds the different prices of any
     group at some ten thousand per power of ten.
@@ -38,37 +41,29 @@ def _counts(items: DataFrame, approx: bool) -> DataFrame:
         price = F.when(price > 0, F.round(price * scale) / scale)
     keyed = base.select(
         "analysis_id",
-        _kind(F.col("status")).alias("status_kind"),
-        "tier",
+        _code(status_norm("status"), F.col("tier")).alias("_code"),
         F.when(price > 0, price).alias("price"),
     )
-    return value_counts(keyed, [*_GROUP, "tier"], "price")
+    return value_counts(keyed, _LEVEL, "price")
 
 
 def price_levels(items: DataFrame, approx: bool = False) -> DataFrame:
     """Statistics at three levels: per tier, per status kind ("status") and over all ("all").
 
-    ``count_items`` counts every row, ``count`` the priced ones.
+    ``count_items`` counts every row, ``count`` the priced ones.  A group is as large as
+    its number of different cent amounts.
     """
-    kind, tier = F.col("status_kind"), F.col("tier")
-    none_text, none_int = F.lit(None).cast("string"), F.lit(None).cast("int")
+    code = F.col("_code")
+    # every row counts for all; with a kind for code 100 + kind; with a tier for its own code
     levels = F.array_compact(
-        F.array(
-            F.struct(F.lit("all").alias("level"), none_text.alias("status_kind"), none_int.alias("tier")),
-            F.when(
-                kind.isNotNull(),
-                F.struct(F.lit("status").alias("level"), kind.alias("status_kind"), none_int.alias("tier")),
-            ),
-            F.when(
-                kind.isNotNull() & tier.isNotNull(),
-                F.struct(F.lit("tier").alias("level"), kind.alias("status_kind"), tier.alias("tier")),
-            ),
-        )
+        F.array(F.lit(0), F.when(code > 0, 100 + F.floor(code / 10).cast("int")), F.when(code % 10 > 0, code))
     )
-    spread = _counts(items, approx).select("analysis_id", F.inline(levels), "price", "n")
+    spread = _counts(items, approx).select("analysis_id", F.explode(levels).alias("_code"), "price", "n")
     price, priced = F.col("price"), F.when(F.col("price").isNotNull(), F.col("n")).otherwise(0)
-    group = Window.partitionBy(*_LEVEL)
-    running = group.orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    # one sort serves both frames
+    ordered = Window.partitionBy(*_LEVEL).orderBy("price")
+    group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     ranked = spread.withColumn("_n", priced).withColumns(
         {"_total": F.sum("_n").over(group), "_upto": F.sum("_n").over(running)}
     )
@@ -78,7 +73,7 @@ def price_levels(items: DataFrame, approx: bool = False) -> DataFrame:
     )
     low, high = F.col("_median") * 0.7, F.col("_median") * 1.2
     clamped = F.greatest(F.least(price, high), low)
-    return middle.groupBy(*_LEVEL).agg(
+    stats = middle.groupBy(*_LEVEL).agg(
         F.sum("n").alias("count_items"),
         F.sum("_n").alias("count"),
         F.round(F.max("_median"), 2).alias("median_usd"),
@@ -88,6 +83,14 @@ def price_levels(items: DataFrame, approx: bool = False) -> DataFrame:
         F.sum(F.when(price < low, F.col("n")).otherwise(0)).alias("clamped_low_count"),
         F.sum(F.when(price > high, F.col("n")).otherwise(0)).alias("clamped_high_count"),
     )
+    kind = F.when(code >= 100, code - 100).when(code > 0, F.floor(code / 10))
+    return stats.withColumns(
+        {
+            "level": F.when(code == 0, F.lit("all")).when(code >= 100, F.lit("status")).otherwise(F.lit("tier")),
+            "status_kind": F.when(kind == 1, F.lit("sold")).when(kind == 2, F.lit("available")),
+            "tier": F.when((code > 0) & (code < 100), code % 10),
+        }
+    ).drop("_code")
 
 
 _DETAIL = (
