@@ -63,11 +63,14 @@ def text_lines(html: ColumnOrName, limit: int | None = None) -> Column:
     return F.filter(nodes, ok)
 
 
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of one attribute of an opening tag as written, null when absent or empty."""
+    both = F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*(\"[^\"]*\"|'[^']*')", 1)
+    return blank_to_null(F.trim(F.substring(both, F.lit(2), F.length(both) - 2)))
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """Value of one attribute of an opening tag, null when absent or empty."""
-    double = F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*\"([^\"]*)\"", 1)
-    single = F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*'([^']*)'", 1)
-    return blank_to_null(F.trim(unescape(F.when(double != "", double).otherwise(single))))
+    return unescape(raw_attribute(tag, name))
 
 
 def meta_entries(html: ColumnOrName) -> Column:
@@ -76,7 +79,9 @@ def meta_entries(html: ColumnOrName) -> Column:
     pairs = F.transform(
         tags,
         lambda t: F.struct(
-            F.lower(F.coalesce(attribute(t, "property"), attribute(t, "name"), attribute(t, "itemprop"))).alias("key"),
+            F.lower(
+                F.coalesce(raw_attribute(t, "property"), raw_attribute(t, "name"), raw_attribute(t, "itemprop"))
+            ).alias("key"),
             attribute(t, "content").alias("content"),
         ),
     )
@@ -143,8 +148,13 @@ def element_pattern(selector: str) -> str:
     return f"(?is)<({tag})\\b[^>]*?\\s{test}[^>]*>(.*?)</\\1>"
 
 
+def element_html(html: ColumnOrName, selector: str) -> Column:
+    """Inner html of an element; :func:`text_of` turns it into text."""
+    return F.regexp_extract(text(html), element_pattern(selector), 2)
+
+
 def element_text(html: ColumnOrName, selector: str) -> Column:
-    return blank_to_null(text_of(F.regexp_extract(text(html), element_pattern(selector), 2)))
+    return blank_to_null(text_of(element_html(html, selector)))
 
 
 def has_element(html: ColumnOrName, selector: str) -> Column:

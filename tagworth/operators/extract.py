@@ -162,7 +162,9 @@ def price_universal(lines: Column, objects: Column, scripts: Column, html: Colum
     valid = lambda p: F.when(plausible_price(p["price"]), p)
     short = F.filter(lines, lambda t: (F.length(t) < 30) & t.rlike("[0-9]"))
     data = F.regexp_extract(html, "(?i)\\sdata-(?:price|amount|value)\\s*=\\s*[\"']([^\"']{1,49})[\"']", 1)
-    elements = F.array(h.element_text(html, "span.price"), h.element_text(html, "div.price"), data)
+    elements = F.transform(
+        F.array(h.element_html(html, "span.price"), h.element_html(html, "div.price"), data), lambda t: h.text_of(t)
+    )
     texts = F.concat(
         F.filter(short, lambda t: t.rlike("[$€£¥₽]")), F.filter(elements, lambda t: F.length(t) < 50), short
     )
@@ -281,7 +283,7 @@ def _price_rule(r: Rule) -> Column:
             blank_to_null(F.upper(F.regexp_extract("_allscripts", "\"(?:currency_code|price_currency|priceCurrency)\"\\s*:\\s*\"([A-Z]{3})\"", 1))),
         ),
         "meta": lambda: _meta_candidate(r.pattern),
-        "element": lambda: _text_candidate(h.element_text(html, r.pattern)),
+        "element": lambda: _text_candidate(blank_to_null(h.element_html(html, r.pattern))),
         "lenient": lambda: _money(parse_price_lenient(h.element_text(html, r.pattern))),
         "attr": lambda: _number_candidate(F.replace(_attr(r.pattern), F.lit(","), F.lit(".")).try_cast("double")),
         "html_price": lambda: _money(parse_price(F.regexp_extract(html, r.pattern, 1))),
@@ -309,11 +311,14 @@ def _settle(candidates: Column) -> Column:
     """First candidate with a positive price; texts are parsed and checked here, once."""
 
     def price(c: Column) -> Column:
-        number = F.replace(c["text"], F.lit(","), F.lit("")).try_cast("double")
+        return let(h.text_of(c["text"]), lambda t: settled(c, t))
+
+    def settled(c: Column, shown: Column) -> Column:
+        number = F.replace(shown, F.lit(","), F.lit("")).try_cast("double")
         plain = F.when(
             number > 0, F.struct(number.alias("price"), F.lit(None).cast("string").alias("currency"))
         )
-        parsed = F.coalesce(plain, valid_price(c["text"]))
+        parsed = F.coalesce(plain, valid_price(shown))
         own = F.when(c["price"] > 0, F.struct(c["price"].alias("price"), c["currency"].alias("currency")))
         known = let(
             parsed,
@@ -328,13 +333,23 @@ def _settle(candidates: Column) -> Column:
 
 
 def _title_rule(r: Rule) -> Column:
-    raw = {
+    """Raw title of one rule; :func:`_read_title` cleans it."""
+    return {
         "objects": lambda: o.name_from_objects(F.col("_objects")),
-        "heading": lambda: h.heading("html"),
+        "heading": lambda: F.regexp_extract("html", "(?is)<h1\\b[^>]*>(.*?)</h1>", 1),
         "meta": lambda: h.meta_get(F.col("_entries"), *r.pattern.split(",")),
-        "element": lambda: h.element_text("html", r.pattern),
+        "element": lambda: h.element_html("html", r.pattern),
     }[r.kind]()
-    return clean_title(raw, r.site) if r.site in ("ebay", "therealreal", "poshmark") else raw
+
+
+def _read_title(raw: Column) -> Column:
+    def clean(t: Column) -> Column:
+        out = F.when(t == "", F.lit(None).cast("string"))
+        for site in ("ebay", "therealreal", "poshmark"):
+            out = out.when(F.col("site") == site, clean_title(t, site))
+        return out.otherwise(t)
+
+    return let(h.text_of(text(raw)), clean)
 
 
 def _status_rule(r: Rule) -> Column:
@@ -354,9 +369,9 @@ def _status_rule(r: Rule) -> Column:
 
 def _condition_rule(r: Rule) -> Column:
     """Candidate ``(how, text)`` of one rule."""
-    element = lambda: h.element_text("html", r.pattern)
+    element = lambda: h.element_html("html", r.pattern)
     how, value = {
-        "element": lambda: ("norm", F.regexp_replace(element(), "(?i)^condition\\s*:?\\s*", "")),
+        "element": lambda: ("norm", element()),
         "attr": lambda: ("norm", _attr(r.pattern)),
         "script": lambda: ("norm", F.regexp_extract("_allscripts", r.pattern, 1)),
         "html_value": lambda: ("norm", F.regexp_extract("html", r.pattern, 1)),
@@ -368,14 +383,24 @@ def _condition_rule(r: Rule) -> Column:
 
 
 def _read_condition(c: Column) -> Column:
-    by_text, by_label = condition_from_text(c["text"]), labeled_condition(c["text"])
-    return (
-        F.when(F.trim(text(c["text"])) == "", F.lit(None).cast("string"))
-        .when(c["how"] == "described", F.coalesce(by_text, by_label))
-        .when(c["how"] == "labeled", F.coalesce(by_label, by_text))
-        .when(c["how"] == "rank", condition_rank(c["text"]))
-        .otherwise(condition_norm(c["text"]))
-    )
+    def read(t: Column) -> Column:
+        found = F.struct(condition_from_text(t).alias("words"), labeled_condition(t).alias("label"))
+        bare = F.regexp_replace(t, "(?i)^condition\\s*:?\\s*", "")
+        return (
+            F.when(t == "", F.lit(None).cast("string"))
+            .when(c["how"] == "norm", condition_norm(bare))
+            .when(c["how"] == "rank", condition_rank(t))
+            .otherwise(
+                let(
+                    found,
+                    lambda f: F.when(c["how"] == "described", F.coalesce(f["words"], f["label"])).otherwise(
+                        F.coalesce(f["label"], f["words"])
+                    ),
+                )
+            )
+        )
+
+    return let(h.text_of(text(c["text"])), read)
 
 
 def _per_site(compile_rule, rules: Iterable[Rule], fields: tuple[str, ...], join=F.coalesce) -> Column:
@@ -448,7 +473,7 @@ def listing_generic(df: DataFrame) -> DataFrame:
     first = F.array(
         _money(F.col("_ldprice")),
         _meta_candidate("price,product:price:amount,og:price:amount"),
-        *[_text_candidate(h.element_text(html, s)) for s in selectors],
+        *[_text_candidate(blank_to_null(h.element_html(html, s))) for s in selectors],
     )
     price = _settle(F.concat(first, spots))
     sold = F.col("_text").rlike("\\bsold\\b|out of stock|unavailable|продано") | (
@@ -483,7 +508,7 @@ def extract_listings(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         F.col("site").isin(generic_sites), price_universal(F.col("_lines"), F.col("_objects"), F.col("_scripts"), F.col("html"))
     )
     offers = meta.withColumn("_universal", universal).withColumn("_c", _per_site(_price_rule, rules, ("price",), F.array))
-    priced = offers.withColumns({"_p": _settle(F.col("_c")), "_t": _per_site(_title_rule, rules, ("title",))})
+    priced = offers.withColumns({"_p": _settle(F.col("_c")), "_t": _first(F.transform(_per_site(_title_rule, rules, ("title",), F.array), _read_title))})
     status = F.coalesce(_per_site(_status_rule, rules, ("sold", "available")), _literal_by_site(DEFAULT_STATUS))
     found = listing_generic(priced.withColumn("_s", status))
     guessed = F.when(F.col("site") == "vestiairecollective", _page_currency()).otherwise(_literal_by_site(DEFAULT_CURRENCY))
