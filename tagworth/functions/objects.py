@@ -116,10 +116,12 @@ def state_texts(scripts: Column) -> Column:
 def object_price(o: Column) -> Column:
     """``struct(price, currency)`` of an object; currency falls back to USD."""
     number = F.replace(F.trim(text(o["price"])), F.lit(","), F.lit("")).try_cast("double")
-    value = F.coalesce(number, parse_price(o["price"])["price"])
-    return F.when(
-        value > 0,
-        F.struct(value.alias("price"), F.coalesce(currency_code(o["currency"]), F.lit("USD")).alias("currency")),
+    return let(
+        F.coalesce(number, parse_price(o["price"])["price"]),
+        lambda value: F.when(
+            value > 0,
+            F.struct(value.alias("price"), F.coalesce(currency_code(o["currency"]), F.lit("USD")).alias("currency")),
+        ),
     )
 
 

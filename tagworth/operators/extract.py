@@ -157,9 +157,9 @@ def _first(prices: Column) -> Column:
     return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
 
 
-def price_universal(lines: Column, objects: Column, scripts: Column, html: Column) -> Column:
+def price_universal(lines: Column, from_objects: Column, scripts: Column, html: Column) -> Column:
     """Generic price: JSON-LD, scripts, short texts with a symbol, price elements, any short text."""
-    valid = lambda p: F.when(plausible_price(p["price"]), p)
+    valid = lambda found: let(found, lambda p: F.when(plausible_price(p["price"]), p))
     short = F.filter(lines, lambda t: (F.length(t) < 30) & t.rlike("[0-9]"))
     data = F.regexp_extract(html, "(?i)\\sdata-(?:price|amount|value)\\s*=\\s*[\"']([^\"']{1,49})[\"']", 1)
     elements = F.transform(
@@ -169,7 +169,7 @@ def price_universal(lines: Column, objects: Column, scripts: Column, html: Colum
         F.filter(short, lambda t: t.rlike("[$€£¥₽]")), F.filter(elements, lambda t: F.length(t) < 50), short
     )
     return F.coalesce(
-        valid(o.price_from_objects(objects)), valid(price_from_scripts(scripts)), _first(F.transform(texts, valid_price))
+        valid(from_objects), valid(price_from_scripts(scripts)), _first(F.transform(texts, valid_price))
     )
 
 
@@ -256,9 +256,14 @@ def _slug() -> Column:
     return F.lower(F.regexp_extract(path_of("url"), "([^/]+)/*$", 1))
 
 
-def _money(p: Column) -> Column:
+def _money(found: Column) -> Column:
     """A found price as a candidate."""
-    return F.struct(F.lit(None).cast("string").alias("text"), p["price"].alias("price"), p["currency"].alias("currency"))
+    return let(
+        found,
+        lambda p: F.struct(
+            F.lit(None).cast("string").alias("text"), p["price"].alias("price"), p["currency"].alias("currency")
+        ),
+    )
 
 
 def _text_candidate(t: Column, currency: Column | None = None) -> Column:
@@ -505,7 +510,7 @@ def extract_listings(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     meta = condition_country(fields, rules)
     generic_sites = sorted({r.site for r in rules if r.kind == "universal"})
     universal = F.when(
-        F.col("site").isin(generic_sites), price_universal(F.col("_lines"), F.col("_objects"), F.col("_scripts"), F.col("html"))
+        F.col("site").isin(generic_sites), price_universal(F.col("_lines"), F.col("_ldprice"), F.col("_scripts"), F.col("html"))
     )
     offers = meta.withColumn("_universal", universal).withColumn("_c", _per_site(_price_rule, rules, ("price",), F.array))
     priced = offers.withColumns({"_p": _settle(F.col("_c")), "_t": _first(F.transform(_per_site(_title_rule, rules, ("title",), F.array), _read_title))})
