@@ -93,14 +93,14 @@ def reject_counts(spark, d):
 
 
 @query(
-    "pipeline_stats",
+    "run_counters",
     """SELECT analysis_id, (SELECT count(*) FROM @domain_ranked k WHERE k.analysis_id = i.analysis_id AND dr <= 3) AS kept_total,
         count(*) AS final_items, count(*) FILTER (price > 0) AS prices_found, count(*) FILTER (status = 'Blocked') AS blocked_items,
         (SELECT count(*) FROM @routed r WHERE r.analysis_id = i.analysis_id AND reason_code IS NOT NULL) AS rejected_total,
         (SELECT CAST(sum(clamped_low_count + clamped_high_count) AS BIGINT) FROM @tiers t WHERE t.analysis_id = i.analysis_id) AS clamped_prices
         FROM @items i GROUP BY 1""",
 )
-def pipeline_stats(spark, d):
+def run_counters(spark, d):
     rows = items(spark, d)
     kept = cap_per_domain(fixture(spark, d, "cands"), 3)
     return audit.pipeline_stats(kept, rows, _rejected(spark, d), pricing.market_prices(rows))
