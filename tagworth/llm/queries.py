@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, license_scan, line_dedup, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,153 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def _quality_sql() -> str:
+    def fold(v: str) -> str:
+        return f"({v}) - ({v}) % (1::BIGINT << greatest(length(bin({v})) - 6, 0))"
+
+    n = len(quality_rules.RULES)
+    slack = "CASE rule " + " ".join(f"WHEN {i} THEN {r.slack}" for i, r in enumerate(quality_rules.RULES)) + " END"
+    times = "CASE rule " + " ".join(f"WHEN {i} THEN {r.spread}" for i, r in enumerate(quality_rules.RULES)) + " END"
+    low = "rule IN (" + ", ".join(str(i) for i, r in enumerate(quality_rules.RULES) if r.low) + ")"
+    return rf"""
+    WITH d AS (
+        SELECT doc_id, lang, source, coalesce(text, '') AS t,
+               list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda x: x <> '') AS w,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents),
+    win AS (
+        SELECT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS key, i
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d) x),
+    twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS c FROM win) x WHERE c > 1),
+    rep AS (
+        SELECT doc_id, sum(least(8, i - before)) AS n FROM (
+            SELECT doc_id, i, lag(i, 1, -8) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM twice) x GROUP BY doc_id),
+    m AS (
+        SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+               len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[A-Z]{{2,}}'))::BIGINT AS n_shouts,
+               len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+               coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+        FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+    f AS (
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               [n_symbols * 1000 // greatest(n_words, 1), n_shouts * 1000 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_lines, 1),
+                n_repeat_words * 1000 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1)] AS vals FROM m),
+    sk AS (
+        SELECT lang, source, rule, {fold('v')} AS v, count(*) AS n
+        FROM (SELECT lang, source, unnest(range({n})) AS rule, unnest(vals) AS v FROM f WHERE NOT base_failed) x GROUP BY ALL),
+    lv AS (
+        SELECT 2 AS level, lang, source, rule, v, n FROM sk
+        UNION ALL SELECT 1, lang, NULL, rule, v, sum(n) FROM sk GROUP BY lang, rule, v
+        UNION ALL SELECT 0, NULL, NULL, rule, v, sum(n) FROM sk GROUP BY rule, v),
+    cum AS (
+        SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY v) AS upto,
+               sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM lv),
+    q AS (
+        SELECT level, lang, source, rule, max(total) AS total, min(v) FILTER (WHERE upto * 4 >= total) AS q1,
+               min(v) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM cum GROUP BY ALL),
+    b AS (
+        SELECT *, CASE WHEN {low} THEN q1 - greatest({slack}, {times} * (q3 - q1)) ELSE -1 END AS lo,
+               q3 + greatest({slack}, {times} * (q3 - q1)) AS hi FROM q WHERE total >= 50 OR level = 0),
+    g AS (
+        SELECT k.lang, k.source, b.rule, max(b.level) AS limit_level, arg_max(b.lo, b.level) AS lo, arg_max(b.hi, b.level) AS hi
+        FROM (SELECT DISTINCT lang, source FROM sk) k JOIN b
+          ON b.level = 0 OR (b.level = 1 AND b.lang IS NOT DISTINCT FROM k.lang)
+          OR (b.level = 2 AND b.lang IS NOT DISTINCT FROM k.lang AND b.source IS NOT DISTINCT FROM k.source) GROUP BY ALL)
+    SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, any_value(base_failed) AS base_failed,
+           NOT any_value(base_failed) AND coalesce(bool_and(vals[rule + 1] BETWEEN lo AND hi), false) AS kept
+    FROM f LEFT JOIN g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source GROUP BY ALL"""
+
+
+@query("op8_quality_rules", _quality_sql())
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _license_sql() -> str:
+    def words(text: str) -> str:
+        return f"list_filter(regexp_split_to_array({LOWER.format(text)}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+    values = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.NOTICES)
+    return rf"""
+    WITH t AS (SELECT license, {words('text')} AS w FROM (VALUES {values}) x(license, text)),
+    ts AS (SELECT DISTINCT license, array_to_string(list_slice(w, i, i + 4), ' ') AS key
+           FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM t) x),
+    tn AS (SELECT license, count(*) AS n, CASE WHEN count(*) <= 1 THEN 1 ELSE 1 << length(bin(count(*) - 1)) END AS stride FROM ts GROUP BY license),
+    d AS (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+    ds AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS key
+           FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) >= 5) x),
+    hits AS (SELECT doc_id, license, i, ds.key, n, stride FROM ds JOIN ts ON ds.key = ts.key JOIN tn USING (license)),
+    win AS (SELECT doc_id, license, n, stride, key, i // stride AS a FROM hits
+            UNION ALL SELECT doc_id, license, n, stride, key, i // stride - 1 FROM hits WHERE i // stride >= 1),
+    got AS (SELECT doc_id, license, n, a * stride AS start, count(DISTINCT key) AS found FROM win GROUP BY ALL)
+    SELECT doc_id, license, n AS n_template, max(found) AS n_found, max(found) / n AS share, min(start)::BIGINT AS first_window, count(*) AS n_windows
+    FROM got WHERE found >= 0.75 * n GROUP BY doc_id, license, n"""
+
+
+@query("op4_license_scan", _license_sql())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+SWEEPS, ROUNDS, KEEP = 8, 8, 0.5
+LANG_SHARES = {"en": 0.45, "fr": 0.2, "de": 0.2, "es": 0.15}
+TOPIC_SHARES = {"general": 0.8, "table": 0.1, "contact": 0.06, "legal": 0.04}
+
+
+def mix_sql(docs: str = "documents") -> str:
+    """Common table expressions of the mix; ``mixed`` is the last."""
+
+    def shares(dim: str, table: dict) -> str:
+        case = f"CASE {dim} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in table.items()) + " ELSE 0.1::DOUBLE END"
+        return f"SELECT {dim} AS value, {case} / sum({case}) OVER () AS share FROM (SELECT DISTINCT {dim} FROM cells WHERE tokens > 0) x"
+
+    topics = "CASE " + " ".join(
+        "WHEN " + " OR ".join(f"contains(coalesce(text, ''), '{w}')" for w in ws) + f" THEN '{t}'" for t, ws in mixing.TOPICS
+    ) + " ELSE 'general' END"
+    parts = [
+        f"marks AS (SELECT *, {topics} AS topic, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda x: x <> ''))::BIGINT AS tokens FROM {docs})",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM marks GROUP BY ALL)",
+        "total AS (SELECT sum(tokens)::DOUBLE AS tok FROM cells)",
+        "t_source AS MATERIALIZED (SELECT value, m / sum(m) OVER () AS share FROM (SELECT source AS value, pow(sum(tokens)::DOUBLE, 0.5::DOUBLE) AS m FROM cells GROUP BY source) x WHERE m > 0)",
+        f"t_lang AS MATERIALIZED ({shares('lang', LANG_SHARES)})",
+        f"t_topic AS MATERIALIZED ({shares('topic', TOPIC_SHARES)})",
+        "w0 AS MATERIALIZED (SELECT *, tokens::DOUBLE AS w FROM cells WHERE tokens > 0)",
+    ]
+    n = 0
+    for _ in range(SWEEPS):
+        for dim in mixing.DIMS:
+            parts.append(
+                f"w{n + 1} AS MATERIALIZED (SELECT c.* EXCLUDE (w), c.w * (t.share * (SELECT tok FROM total) / s.s) AS w FROM w{n} c "
+                f"JOIN (SELECT {dim} AS v, sum(w) AS s FROM w{n} GROUP BY {dim}) s ON c.{dim} IS NOT DISTINCT FROM s.v "
+                f"JOIN t_{dim} t ON c.{dim} IS NOT DISTINCT FROM t.value)"
+            )
+            n += 1
+    parts.append("l0 AS (SELECT 0::DOUBLE AS scale)")
+    for i in range(ROUNDS):
+        full = f"w * (SELECT scale FROM l{i}) >= tokens"
+        parts.append(
+            f"l{i + 1} AS MATERIALIZED (SELECT greatest((SELECT scale FROM l{i}), coalesce(({KEEP}::DOUBLE * (SELECT tok FROM total) - "
+            f"coalesce(sum(tokens) FILTER (WHERE {full}), 0)) / sum(w) FILTER (WHERE NOT ({full})), 0)) AS scale FROM w{n})"
+        )
+    parts.append(
+        f"mixed AS (SELECT m.*, coalesce(c.w / c.tokens, 0) AS rate, least(1, coalesce(c.w / c.tokens, 0) * (SELECT scale FROM l{ROUNDS})) AS probability, "
+        "('0x' || substr(md5(coalesce(m.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496 AS u FROM marks m "
+        f"LEFT JOIN w{n} c ON m.source IS NOT DISTINCT FROM c.source AND m.lang IS NOT DISTINCT FROM c.lang AND m.topic = c.topic)"
+    )
+    return ",\n".join(parts)
+
+
+@query(
+    "op3_mixing",
+    f"WITH {mix_sql()}\nSELECT doc_id, source, lang, topic, tokens, round(rate, 6) AS rate, round(probability, 6) AS probability, u < probability AS selected FROM mixed",
+)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(
+        table(spark, sf_dir, "documents"), alpha=0.5, lang_shares=LANG_SHARES, topic_shares=TOPIC_SHARES, rest=0.1, keep=KEEP, sweeps=SWEEPS
+    )
+    return out.select(
+        "doc_id", "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), F.round("probability", 6).alias("probability"), "selected"
+    )
