@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, line_dedup, mixing, quality_rules
+from . import exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,3 +213,24 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "source", "lang", "topic", "tokens", F.round("rate", 6).alias("rate"), F.round("probability", 6).alias("probability"), "selected"
     )
+
+
+@query(
+    "op7_near_dedup",
+    rf"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '{WS}+'), lambda x: x <> '') AS w FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS key
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0) x),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS in_both FROM s a JOIN s b ON a.key = b.key AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * in_both >= 75 * (x.n + y.n - in_both)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
+    FROM reach r LEFT JOIN n ON r.a = n.doc_id GROUP BY r.a""",
+)
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=75)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
