@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality_rules
+from . import exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +234,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=75)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query(
+    "op5_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS html FROM pages),
+    r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+    SELECT page_id, n AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+               ((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM r""",
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived(table(spark, sf_dir, "pages"), min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
