@@ -69,19 +69,35 @@ def _last(four: Column, one: Column) -> Column:
     return let(n, lambda m: F.zip_with(F.slice(four, 1, m), F.slice(one, WIDTH, m), lambda x, y: F.xxhash64(x, y)))
 
 
-def signature(keys: Column, bands: int) -> Column:
-    """``bands`` minima under hash functions of their own; each is a band of one row."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.array_min(F.transform(keys, lambda k: F.xxhash64(k, j))))
+def signature(keys: Column, passes: int) -> Column:
+    """Bin minima of the keys under ``passes`` hash functions: one-permutation MinHash.
+
+    The upper seven bits of a hash choose one of 128 bins, and each bin that is not empty
+    gives its smallest hash.  A bin is a band of one row: two sets agree in a bin of their
+    union with a probability equal to their similarity.  Sorted hashes have their bins in
+    a row, so a minimum is a value whose predecessor lies in another bin.
+    """
+
+    def minima(seed: int) -> Column:
+        ordered = F.sort_array(F.transform(keys, lambda k: F.xxhash64(k, F.lit(seed))))
+        return let(
+            ordered,
+            lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(F.get(s, F.greatest(i - 1, F.lit(0))), 57) != F.shiftright(x, 57))),
+        )
+
+    return F.concat(*[minima(seed) for seed in range(passes)])
 
 
-def miss_probability(bands: int, share: float) -> float:
-    """Chance that a window which holds ``share`` of a template is not retrieved.
+def miss_probability(template: int, window: int, share: float, passes: int, bins: int = 128) -> float:
+    """Chance that a window which holds ``share`` of a template agrees with it in no bin.
 
-    A window has at most four times the shingles of a template of its class, so the two
-    sets have a similarity of ``share / (5 - share)`` or more, and each band agrees with that
-    probability.
+    A shared shingle is a common minimum unless its bin holds a smaller one of the union;
+    each of the filled bins agrees with the similarity as its probability.
     """
-    return (1 - share / (5 - share)) ** bands
+    common = max(1, round(share * template))
+    union = window + template - common
+    filled = bins * (1 - (1 - 1 / bins) ** union)
+    return ((1 - common / union) ** filled) ** passes if union > bins // 8 else ((union - 1) / (2 * bins)) ** (common * passes)
 
 
 def _size_class(n: Column) -> Column:
@@ -101,17 +117,17 @@ def template_table(spark: SparkSession, templates=NOTICES) -> DataFrame:
 
 
 def license_scan(
-    docs: DataFrame, *, templates=NOTICES, text: str = "text", doc_id: str = "doc_id", min_share: float = 0.75, bands: int = 96, max_templates: int = 10_000
+    docs: DataFrame, *, templates=NOTICES, text: str = "text", doc_id: str = "doc_id", min_share: float = 0.75, passes: int = 3, max_templates: int = 10_000
 ) -> DataFrame:
     """License notices found in documents.
 
     The shingles (five words) of a text are cut into windows that overlap by half.  A
     template of n shingles belongs to size class k, the smallest with 2**k >= n, and meets
     windows of 2 * 2**k shingles that start at multiples of 2**k, so a copy always lies
-    whole in one window.  Windows get MinHash signatures of ``bands`` bands of one row;
-    a template is retrieved by any equal band, and matches if the window holds at least
-    ``min_share`` of its distinct shingles, counted exactly.  With 96 bands a window that
-    qualifies is missed with a probability below 1e-7 (``miss_probability``).
+    whole in one window.  Windows get MinHash signatures of ``passes`` times 128 bins, each
+    a band; a template is retrieved by any equal band, and matches if the window holds at
+    least ``min_share`` of its distinct shingles, counted exactly.  With three passes a
+    window that qualifies is missed with a probability below 1e-6 (``miss_probability``).
 
     Result: one row per document and license found: ``doc_id, license, n_template,
     n_found`` (most template shingles in one window), ``share``, ``first_window`` (index
@@ -137,10 +153,14 @@ def license_scan(
     t1, t2 = digest(F.coalesce(text, F.lit("")))
     shingles = docs.select(F.col(doc_id).alias("doc_id"), t1.alias("t1"), t2.alias("t2"), shingle_keys(plain_words(F.col(text))).alias("keys"))
     held = shingles.where(F.arrays_overlap("keys", all_keys)).select("doc_id", "t1", "t2", "keys", F.explode(classes).alias("c"))
-    hits = F.filter(
-        F.transform("keys", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: F.array_contains("own", e["x"])
+    # bound once: inlined into the lambda, the intersection would be computed for every shingle
+    hits = let(
+        F.array_intersect("keys", "c.keys"),
+        lambda own: F.transform(
+            F.filter(F.transform("keys", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: F.array_contains(own, e["x"])), lambda e: e["i"]
+        ),
     )
-    positions = held.withColumn("own", F.array_intersect("keys", "c.keys")).where(F.size("own") > 0).withColumn("hits", F.transform(hits, lambda e: e["i"]))
+    positions = held.withColumn("hits", hits).where(F.size("hits") > 0)
     stride = F.pow(F.lit(2.0), F.col("c.k")).cast("int")
     cells = F.array_distinct(F.transform("hits", lambda i: F.floor(i / F.col("stride")).cast("int")))
     starts = F.array_distinct(F.flatten(F.transform(cells, lambda w: F.filter(F.array(w - 1, w), lambda x: x >= 0))))
@@ -152,11 +172,11 @@ def license_scan(
             F.array_distinct(F.slice("keys", F.col("w") * F.col("stride") + 1, F.col("stride") * 2)).alias("window"),
         )
     )
-    signed = windows.select("*", F.posexplode(signature(F.col("window"), bands)).alias("band", "low"))
+    signed = windows.select("*", F.explode(signature(F.col("window"), passes)).alias("low"))
     template_bands = F.broadcast(
-        known.select("license", "k", F.col("keys").alias("template"), F.posexplode(signature(F.col("keys"), bands)).alias("band", "low"))
+        known.select("license", "k", F.col("keys").alias("template"), F.explode(signature(F.col("keys"), passes)).alias("low"))
     )
-    found = signed.join(template_bands, ["k", "band", "low"]).select(
+    found = signed.join(template_bands, ["k", "low"]).select(
         "doc_id", "t1", "t2", "license", "start",
         F.size("template").alias("n_template"), F.size(F.array_intersect("window", "template")).alias("n_found"),
     )
