@@ -80,6 +80,23 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BUILT: dict[str, object] = {}
+
+
+class Shared:
+    """A broadcast value and what each worker process builds of it, once."""
+
+    def __init__(self, spark: SparkSession, value, build) -> None:
+        self.key, self.sent, self.build = uuid.uuid4().hex, spark.sparkContext.broadcast(value), build
+
+    def get(self):
+        if self.key not in _BUILT:
+            while len(_BUILT) > 3:  # tables of earlier queries
+                _BUILT.pop(next(iter(_BUILT)))
+            _BUILT[self.key] = self.build(self.sent.value)
+        return _BUILT[self.key]
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a variant of it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import let
-from .common import WHITE, digest, lower_az
+from .common import WHITE, digest, lower_az, stage
 
 
 def line_key(line: Column) -> Column:
@@ -53,8 +53,9 @@ def line_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", m
     The result is ``docs`` with ``text`` replaced and ``n_lines`` (before), ``n_dropped``
     added; columns of these names are replaced.
 
-    Only hashes travel to the counting and to the join with the common keys, in which a
-    hot key is split by adaptive execution.  Texts are shuffled once, to meet the list of
+    Keys are staged, so texts are split and hashed once.  Only hashes travel to the
+    counting and to the join with the common keys, in which a hot key is split by
+    adaptive execution.  Texts are shuffled once, to meet the list of
     their own dropped positions.
 
     Null and empty texts are one empty line and become the empty text.  Rows with the
@@ -62,8 +63,8 @@ def line_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", m
     smaller than any other.  Repeated rows are treated alike.  An empty table gives an
     empty one.  Very long texts need no special care: the work per row is linear.
     """
-    keys = _keys(docs, text, doc_id, min_chars)
-    common = _common(keys, min_docs)
+    keys = stage(_keys(docs, text, doc_id, min_chars), "line-keys")
+    common = stage(_common(keys, min_docs), "line-common")  # so that the join shuffles both sides and can split a hot key
     drops = (
         keys.join(common, ["k1", "k2"])
         .where(~F.col("__id").eqNullSafe(F.col("keeper")))

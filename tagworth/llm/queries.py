@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality_kn, quality_rules, warc
+from . import exact_dedup, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality_kn, quality_rules, sentencepiece_viterbi, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -257,3 +257,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_kn.quality_scores(docs, labels).select("doc_id", "lang", "perplexity", "z", "kept")
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_viterbi.encoded_and_checked(docs).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))

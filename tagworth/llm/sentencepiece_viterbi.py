@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
-from .common import byte_slices
+from .common import Shared, byte_slices
 from .tokens import mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -272,16 +272,6 @@ class Pieces:
         return out
 
 
-_LOADED: dict[int, Pieces] = {}
-
-
-def _pieces(broadcast) -> Pieces:
-    if broadcast.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[broadcast.id] = Pieces(broadcast.value)
-    return _LOADED[broadcast.id]
-
-
 def _slices(column):
     texts = column.to_pylist()
     for i, j in byte_slices([len(t or "") for t in texts], SLICE):
@@ -324,7 +314,7 @@ def encode(docs: DataFrame, *, text: str = "text", path: str = MODEL, ids: str =
     (its size is that of the vocabulary) is broadcast, and texts are worked on in slices.
     """
     base = docs.select([c for c in docs.columns if c != ids])
-    sent = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
+    shared = Shared(docs.sparkSession, load_pieces(path), Pieces)
     names = base.columns
 
     def run(batches):
@@ -333,7 +323,7 @@ def encode(docs: DataFrame, *, text: str = "text", path: str = MODEL, ids: str =
         for batch in batches:
             column = batch.column(names.index(text))
             for i, j, part in _slices(column):
-                flat, counts = _encoded(_pieces(sent), part)
+                flat, counts = _encoded(shared.get(), part)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([*(t is None for t in part), False])), pa.array(flat, pa.int32())
                 )
@@ -345,7 +335,7 @@ def encode(docs: DataFrame, *, text: str = "text", path: str = MODEL, ids: str =
 def decode(docs: DataFrame, *, ids: str = "ids", path: str = MODEL, text: str = "decoded") -> DataFrame:
     """``docs`` with the text of the id arrays in ``ids``; null stays null."""
     base = docs.select([c for c in docs.columns if c != text])
-    sent = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
+    shared = Shared(docs.sparkSession, load_pieces(path), Pieces)
     names = base.columns
 
     def run(batches):
@@ -357,7 +347,7 @@ def decode(docs: DataFrame, *, ids: str = "ids", path: str = MODEL, text: str =
             for i, j in byte_slices(sizes, SLICE // 4):
                 part = column.slice(i, j - i)
                 flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = _pieces(sent).decode(flat, np.array(sizes[i:j], dtype=np.int64))
+                texts = shared.get().decode(flat, np.array(sizes[i:j], dtype=np.int64))
                 texts = [t if v else None for t, v in zip(texts, part.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(texts, pa.string())], [*names, text])
 
@@ -373,7 +363,7 @@ def encoded_and_checked(docs: DataFrame, *, text: str = "text", path: str = MODE
     the text is null, and ``count`` is 0 there.
     """
     base = docs.select([c for c in docs.columns if c not in (ids, count, same)])
-    sent = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
+    shared = Shared(docs.sparkSession, load_pieces(path), Pieces)
     names = base.columns
     rest = [c for c in names if c != text]
 
@@ -382,8 +372,8 @@ def encoded_and_checked(docs: DataFrame, *, text: str = "text", path: str = MODE
 
         for batch in batches:
             for i, j, part in _slices(batch.column(names.index(text))):
-                flat, counts = _encoded(_pieces(sent), part)
-                back = _pieces(sent).decode(flat, counts)
+                flat, counts = _encoded(shared.get(), part)
+                back = shared.get().decode(flat, counts)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([*(t is None for t in part), False])), pa.array(flat, pa.int32())
                 )
