@@ -74,29 +74,33 @@ def _describe(node: dict, lineage: str) -> dict:
 
 def _objects(texts) -> list[dict]:
     out: list[dict] = []
-    decoder = json.JSONDecoder()
     for doc in texts:
-        starts = [i for i in (doc.find("{"), doc.find("[")) if i >= 0]
         try:
-            root, _ = decoder.raw_decode(doc, min(starts))
-        except ValueError:
+            _walk(doc, out)
+        except (ValueError, RecursionError):  # broken, or nested deeper than Python follows
             continue
-        stack = [(root, "")]
-        while stack:
-            node, lineage = stack.pop()
-            if isinstance(node, dict):
-                own = [str(node[k]) for k in fixed.IDENTITY_KEYS if isinstance(node.get(k), (str, int))]
-                offers = node.get("offers")
-                own += [str(o["url"]) for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict) and o.get("url")]
-                lineage = " ".join([lineage, *own]).strip()
-                out.append({"seq": len(out), **_describe(node, lineage)})
-                children = list(node.values())
-            else:
-                children = node
-            stack.extend((c, lineage) for c in reversed(children) if isinstance(c, (dict, list)))
     return out
 
 
+def _walk(doc: str, out: list[dict]) -> None:
+    """Append the objects of one JSON text in reading order."""
+    starts = [i for i in (doc.find("{"), doc.find("[")) if i >= 0]
+    root, _ = json.JSONDecoder().raw_decode(doc, min(starts))
+    stack = [(root, "")]
+    while stack:
+        node, lineage = stack.pop()
+        if isinstance(node, dict):
+            own = [str(node[k]) for k in fixed.IDENTITY_KEYS if isinstance(node.get(k), (str, int))]
+            offers = node.get("offers")
+            own += [str(o["url"]) for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict) and o.get("url")]
+            lineage = " ".join([lineage, *own]).strip()
+            out.append({"seq": len(out), **_describe(node, lineage)})
+            children = list(node.values())
+        else:
+            children = node
+        stack.extend((c, lineage) for c in reversed(children) if isinstance(c, (dict, list)))
+
+
 @F.pandas_udf(T.ArrayType(OBJECT))
 def json_objects(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else _objects(t))
@@ -162,6 +166,8 @@ def _carries(o: Column, product_id: Column) -> Column:
 def matched_price(objects: Column, product_id: Column, tie: str = "high", floor: float = 20.0) -> Column:
     """Best price among objects below one that carries the product id.
 
+    Without an id every object may give the price.
+
     Objects with a final or sale price weigh more; ties take the higher price, or the
     earlier one with ``tie="position"``.
     """
@@ -181,7 +187,7 @@ def matched_price(objects: Column, product_id: Column, tie: str = "high", floor:
             ),
         )
 
-    mine = F.filter(objects, lambda o: _carries(o, product_id) & o["price"].rlike("[1-9]"))
+    mine = F.filter(objects, lambda o: (product_id.isNull() | _carries(o, product_id)) & o["price"].rlike("[1-9]"))
     usable = F.filter(F.transform(mine, candidate), lambda c: (c["price"] >= floor) & (c["price"] < fixed.MAX_REASONABLE_PRICE))
     return let(
         F.array_min(usable),

@@ -80,36 +80,42 @@ def failure_streaks(
 ) -> DataFrame:
     """Consecutive failures since the last success, and whether the proxy counts as bad.
 
-    Soft blocks do not count as failures.  Slots are summarised first (failures after the
-    last success), the summaries are chained, and each slot starts from its carry.
+    Soft blocks do not count as failures, and open fetches (``ok`` null) change nothing.  A
+    rotating proxy is bad at once after a critical proxy error, until a success.  Slots
+    are summarised first (failures and critical errors after the last success), the
+    summaries are chained, and each slot starts from its carry.
     """
     k = list(keys)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    fails = (~F.col("ok") & ~F.coalesce(error_class("error") == "soft_block", F.lit(False))).cast("int")
-    rows = events.withColumns({"_slot": F.floor(at / (slot_sec * 1_000_000)), "_f": fails, "_s": F.col("ok").cast("int")})
+    failed = ~F.col("ok")
+    kind = F.coalesce(error_class("error"), F.lit(""))
+    counts = {"_f": (failed & (kind != "soft_block")).cast("int"), "_k": (failed & (kind == "critical_proxy")).cast("int")}
+    rows = events.withColumns({"_slot": F.floor(at / (slot_sec * 1_000_000)), "_s": F.coalesce(F.col("ok").cast("int"), F.lit(0))})
+    rows = rows.withColumns({c: F.coalesce(v, F.lit(0)) for c, v in counts.items()})
     order = Window.partitionBy(*k, "_slot").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     marked = rows.withColumn("_g", F.sum("_s").over(order))
     inside = Window.partitionBy(*k, "_slot", "_g").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    local = marked.withColumn("_local", F.sum("_f").over(inside))
-    # failures after the last success of a slot: partial sums per success group, newest group wins
+    local = marked.withColumns({f"_local{c}": F.sum(c).over(inside) for c in counts})
+    # counts after the last success of a slot: partial sums per success group, newest group wins
     summary = (
         marked.groupBy(*k, "_slot", "_g")
-        .agg(F.sum("_f").alias("_n"))
+        .agg(*[F.sum(c).alias(c) for c in counts])
         .groupBy(*k, "_slot")
-        .agg(F.max_by("_n", "_g").alias("_tail"), (F.max("_g") > 0).cast("int").alias("_reset"))
+        .agg(*[F.max_by(c, "_g").alias(f"_tail{c}") for c in counts], (F.max("_g") > 0).cast("int").alias("_reset"))
     )
     slots = Window.partitionBy(*k).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
     chained = summary.withColumn("_island", F.sum("_reset").over(slots))
     island = Window.partitionBy(*k, "_island").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    after = chained.withColumn("_after", F.sum("_tail").over(island))
-    carry = after.select(*k, "_slot", F.lag("_after", 1, 0).over(Window.partitionBy(*k).orderBy("_slot")).alias("_carry"))
+    after = chained.withColumns({f"_after{c}": F.sum(f"_tail{c}").over(island) for c in counts})
+    last = Window.partitionBy(*k).orderBy("_slot")
+    carry = after.select(*k, "_slot", *[F.lag(f"_after{c}", 1, 0).over(last).alias(f"_carry{c}") for c in counts])
     limit = F.when(F.col("proxy_type") == "rotating", F.lit(rotating_limit)).otherwise(F.lit(static_limit))
-    streak = F.col("_local") + F.when(F.col("_g") == 0, F.col("_carry")).otherwise(0)
+    since = {c: F.col(f"_local{c}") + F.when(F.col("_g") == 0, F.col(f"_carry{c}")).otherwise(0) for c in counts}
     return (
         local.join(carry, [*k, "_slot"])
-        .withColumn("streak", streak.cast("long"))
-        .withColumn("is_bad", F.col("streak") >= limit)
-        .drop("_slot", "_f", "_s", "_g", "_local", "_carry")
+        .withColumns({"streak": since["_f"].cast("long"), "_critical": since["_k"]})
+        .withColumn("is_bad", (F.col("streak") >= limit) | ((F.col("proxy_type") == "rotating") & (F.col("_critical") > 0)))
+        .drop("_slot", "_s", "_g", "_critical", *[p + c for c in counts for p in ("", "_local", "_carry")])
     )
 
 

@@ -135,20 +135,30 @@ def is_catalog_page(site: Column, html: Column) -> Column:
 # --- prices -----------------------------------------------------------------------------
 
 
-def price_from_scripts(scripts: Column) -> Column:
-    """First price-like value up to 10000 in inline scripts, with a currency from the script."""
-    keys = any_of(SCRIPT_PRICE_KEYS)
-    pattern = f"(?i)[\"']?\\b{keys}[\"']?\\s*[:=]\\s*[\"']?([0-9][0-9,]*(?:\\.[0-9]+)?)"
+def price_from_scripts(scripts: Column, limit: float = fixed.DEFAULT_MAX_PRICE, context: int = 100) -> Column:
+    """First price-like value up to ``limit`` in inline scripts, with a currency from the script.
+
+    In a script the keys are tried in their order, wherever they stand; of the values of
+    a key the first with a currency counts, else the last.  ``context`` characters on either
+    side of a value may name the currency.
+    """
 
     def of_script(s: Column) -> Column:
         def amount(m: Column) -> Column:
             value = F.replace(m["value"], F.lit(","), F.lit("")).try_cast("double")
             named = F.regexp_extract(s, "(?i)[\"']?(?:price)?currency[\"']?\\s*[:=]\\s*[\"']([A-Z]{3})[\"']", 1)
-            near = parse_price(h.around(s, m, 100, 100))["currency"]
-            return _price(F.when(value <= fixed.DEFAULT_MAX_PRICE, value), F.coalesce(blank_to_null(F.upper(named)), near))
+            near = parse_price(h.around(s, m, context, context))["currency"]
+            return _price(F.when(value <= limit, value), F.coalesce(blank_to_null(F.upper(named)), near))
+
+        def of_key(key: str) -> Column:
+            pattern = f"(?i)[\"']?\\b{key}[\"']?\\s*[:=]\\s*[\"']?([0-9][0-9,]*(?:\\.[0-9]+)?)"
+            spans = F.filter(F.transform(h.match_spans(s, pattern, 1), amount), lambda p: p.isNotNull())
+            chosen = lambda found: F.coalesce(
+                F.get(F.filter(found, lambda p: p["currency"].isNotNull()), F.lit(0)), F.try_element_at(found, F.lit(-1))
+            )
+            return F.when(s.rlike(f"(?i)\\b{key}[\"']?\\s*[:=]"), let(spans, chosen))
 
-        spans = F.filter(F.transform(h.match_spans(s, pattern, 1), amount), lambda p: p.isNotNull())
-        return F.coalesce(F.get(F.filter(spans, lambda p: p["currency"].isNotNull()), F.lit(0)), F.get(spans, F.lit(0)))
+        return F.coalesce(*[of_key(key) for key in SCRIPT_PRICE_KEYS])
 
     return F.get(F.filter(F.transform(scripts, of_script), lambda p: p.isNotNull()), F.lit(0))
 

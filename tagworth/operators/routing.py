@@ -31,13 +31,14 @@ def exact_first(df: DataFrame) -> list[Column]:
 
 
 def infer_brand(
-    cands: DataFrame, hints: DataFrame | None = None, sample: int = 20, min_count: int = 3, min_ratio: float = 0.55
+    cands: DataFrame, hints: DataFrame | None = None, sample: int | None = None, min_count: int = 3, min_ratio: float = 0.55
 ) -> DataFrame:
-    """Target brand per analysis: a hint, else the vote of the first candidates.
+    """Target brand per analysis: a hint, else the vote of its candidates.
 
-    Ties go to the later name.  ``hints`` has ``analysis_id`` and ``brand_hint``.
+    All candidates vote; ``sample`` leaves the vote to the first ones, exact matches
+    first.  Ties go to the later name.  ``hints`` has ``analysis_id`` and ``brand_hint``.
     """
-    first = top_k(cands, ["analysis_id"], exact_first(cands), sample, "_rank")
+    first = cands if sample is None else top_k(cands, ["analysis_id"], exact_first(cands), sample, "_rank")
     votes = first.groupBy("analysis_id", brand_of("title", "url").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
     winner = votes.groupBy("analysis_id").agg(
         F.coalesce(F.sum(F.when(F.col("brand").isNotNull(), F.col("n"))), F.lit(0)).alias("known_brand_hits"),
@@ -69,13 +70,13 @@ def infer_brand(
 def detect_brand(df: DataFrame, column: str, aliases: DataFrame, key: list[str]) -> DataFrame:
     """Brand by a table of aliases of any size, longest alias first.
 
-    Texts are cut into word runs that meet the aliases by equality; ``key`` names the
-    row key.  For the built-in aliases :func:`brand_of` needs no join.
+    Texts are cut into word runs, as long as the longest alias, that meet the aliases by
+    equality; ``key`` names the row key.  For the built-in aliases :func:`brand_of` needs no join.
     """
     words = F.filter(F.split(brand_token(column), " "), lambda w: w != "")
-    grams = df.select(*key, words.alias("_w")).select(
-        *key, F.explode(F.array_distinct(F.concat(F.col("_w"), ngrams(F.col("_w"), 2), ngrams(F.col("_w"), 3)))).alias("alias")
-    )
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    runs = F.concat(*[ngrams(F.col("_w"), n) for n in range(1, longest + 1)])
+    grams = df.select(*key, words.alias("_w")).select(*key, F.explode(F.array_distinct(runs)).alias("alias"))
     found = grams.join(aliases, "alias").groupBy(*key).agg(
         F.max_by("brand", F.struct("alias_len", "alias")).alias("brand")
     )

@@ -30,9 +30,10 @@ def top_terms(counts: DataFrame, n: int, keys: list[str] = A, term: str = "ngram
     return top_k(counts, keys, [-F.col("count"), *(ties or [F.col(term)])], n)
 
 
-def _working(df: DataFrame, pool: int) -> DataFrame:
-    """The first rows of each analysis with their tokens and rank ``_at``."""
-    return top_k(df, A, place(df), pool, "_at").select("analysis_id", "_at", title_tokens("title").alias("_t"))
+def _working(df: DataFrame, pool: int | None) -> DataFrame:
+    """Rows with their tokens and place ``_at``; with ``pool`` only the first of each analysis."""
+    rows = df if pool is None else top_k(df, A, place(df), pool, "_rank")
+    return rows.select("analysis_id", F.struct(*place(df)).alias("_at"), title_tokens("title").alias("_t"))
 
 
 def _counted(rows: DataFrame, terms: Column) -> DataFrame:
@@ -54,8 +55,11 @@ def _terms(c: str | Column) -> Column:
     return F.coalesce(F.col(c)["term"] if isinstance(c, str) else c["term"], F.array().cast("array<string>"))
 
 
-def keyword_profile(df: DataFrame, limit: int = 10, pool: int = 220) -> DataFrame:
-    """Keywords of an analysis: repeated two-word phrases, then frequent words."""
+def keyword_profile(df: DataFrame, limit: int = 10, pool: int | None = None) -> DataFrame:
+    """Keywords of an analysis: repeated two-word phrases, then frequent words.
+
+    All titles count; ``pool`` restricts the counts to the first titles of an analysis.
+    """
     rows = _working(df, pool)
     unequal = F.filter(ngrams(F.col("_t"), 2), lambda p: F.substring_index(p, " ", 1) != F.substring_index(p, " ", -1))
     phrases = _top_list(_counted(rows, unequal), limit * 2, "_phrases")
@@ -72,7 +76,7 @@ def target_name(
     brands: DataFrame | None = None,
     profiles: DataFrame | None = None,
     max_tokens: int = 4,
-    sample: int = 25,
+    sample: int | None = None,
     stop_words: list[str] = fixed.TITLE_STOP_WORDS,
 ) -> DataFrame:
     """Readable model name from brand, keyword hints and frequent title words."""
@@ -142,17 +146,22 @@ def title_shortlist(scored: DataFrame, keep: int, minimum: int = 60) -> DataFram
     return top_k(scored, A, order, max(keep, minimum), "shortlist_rank")
 
 
-def frequency_select(df: DataFrame, brands: DataFrame, keep: int, sample: int = 30) -> DataFrame:
-    """Selection without a profile: words frequent in the first rows weigh most."""
-    counts = _counted(_working(df, sample), F.col("_t"))
-    weights = counts.groupBy(*A).agg(F.map_from_entries(F.collect_list(F.struct("term", "count"))).alias("_w"))
-    joined = df.join(weights, "analysis_id", "left").join(brands.select("analysis_id", "target_brand"), "analysis_id", "left")
-    weight = lambda t: F.coalesce(F.try_element_at("_w", t), F.lit(0))
-    total = F.aggregate(title_tokens("title"), F.lit(0).cast("long"), lambda acc, t: acc + weight(t))
+def frequency_select(df: DataFrame, brands: DataFrame, keep: int, sample: int | None = None) -> DataFrame:
+    """Selection without a profile: words that are frequent in the analysis weigh most.
+
+    All titles count; ``sample`` restricts the counts to the first of an analysis.  Words
+    meet their counts in a join, so the vocabulary of an analysis may be of any size.
+    """
+    counts = _counted(_working(df, sample), F.col("_t")).select("analysis_id", "term", "count")
+    terms = df.select("analysis_id", F.struct(*place(df)).alias("_at"), F.explode(title_tokens("title")).alias("term"))
+    totals = terms.join(counts, ["analysis_id", "term"]).groupBy("analysis_id", "_at").agg(F.sum("count").alias("_total"))
+    placed = df.withColumn("_at", F.struct(*place(df)))
+    joined = placed.join(totals, ["analysis_id", "_at"], "left").join(brands.select("analysis_id", "target_brand"), "analysis_id", "left")
+    total = F.coalesce("_total", F.lit(0))
     score = (
         F.when(exact_rank() == 0, 4).otherwise(0) + F.when(has_brand("title", "url", "target_brand"), 3).otherwise(0) + total
     )
-    scored = joined.withColumn("title_score", score).drop("_w", "target_brand")
+    scored = joined.withColumn("title_score", score).drop("_at", "_total", "target_brand")
     return top_k(scored, A, [-F.col("title_score"), *place(df)], keep, "title_rank")
 
 

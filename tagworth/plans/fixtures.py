@@ -166,29 +166,16 @@ FIXTURES: dict[str, str] = {
                     ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'started' WHEN o_orderkey % 3 = 1 THEN 'failed' ELSE 'lost' END END AS raw_status
         FROM {orders}""",
     "doc_titles": """
-        SELECT source AS analysis_id, doc_id AS pos, split_part(text, '.', 1) AS title, lang,
+        SELECT source AS analysis_id, doc_id AS pos, text AS title, lang,
                'https://example.com/' || CAST(doc_id AS STRING) AS url,
                CASE WHEN doc_id % 4 = 0 THEN 'exact_matches' ELSE 'visual_matches' END AS serp_source
         FROM {documents}""",
 }
 
 
-# Fact tables; the others are small dimensions.
-FACTS = {"lineitem", "orders", "events", "documents", "embeddings", "pages"}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.
-
-    A small table may be one file with one row group, which a single task would read and
-    process alone.  Such inputs are dealt out to all cores; a table with enough splits of
-    its own is left as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in FACTS and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

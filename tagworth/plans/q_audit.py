@@ -50,7 +50,8 @@ def soft_block_flags(spark, d):
     "failure_streaks",
     """WITH g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY proxy ORDER BY ts, event_id) AS grp FROM @classed),
         s AS (SELECT *, CAST(sum(CASE WHEN NOT ok AND class <> 'soft_block' THEN 1 ELSE 0 END) OVER (PARTITION BY proxy, grp ORDER BY ts, event_id) AS BIGINT) AS streak FROM g)
-        SELECT event_id, streak, streak >= CASE proxy_type WHEN 'rotating' THEN 3 ELSE 2 END AS is_bad FROM s""",
+        SELECT event_id, streak, streak >= CASE proxy_type WHEN 'rotating' THEN 3 ELSE 2 END
+          OR (proxy_type = 'rotating' AND count(*) FILTER (NOT ok AND class = 'critical_proxy') OVER (PARTITION BY proxy, grp ORDER BY ts, event_id) > 0) AS is_bad FROM s""",
 )
 def failure_streaks(spark, d):
     return crawl.failure_streaks(fixture(spark, d, "crawl_events")).select("event_id", "streak", "is_bad")
@@ -140,13 +141,15 @@ def task_status(spark, d):
 
 @query(
     "task_states_for",
-    """SELECT CAST(c_custkey AS VARCHAR) AS task_id, coalesce(CASE raw_status WHEN 'queued' THEN 'queued' WHEN 'started' THEN 'running' WHEN 'finished' THEN 'ready'
-        WHEN 'failed' THEN 'failed' WHEN 'lost' THEN 'unknown' END, 'not_found') AS status FROM {customer}
-        LEFT JOIN (SELECT task_id, arg_max(raw_status, (ts, seq)) AS raw_status FROM @tasks WHERE seq % 5 = 0 GROUP BY 1) ON task_id = CAST(c_custkey AS VARCHAR)""",
+    """SELECT i.task_id, coalesce(CASE raw_status WHEN 'queued' THEN 'queued' WHEN 'started' THEN 'running' WHEN 'finished' THEN 'ready'
+        WHEN 'failed' THEN 'failed' WHEN 'lost' THEN 'unknown' END, 'not_found') AS status
+        FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'new-' ELSE '' END || CAST(c_custkey AS VARCHAR) AS task_id FROM {customer}) i
+        LEFT JOIN (SELECT task_id, arg_max(raw_status, (ts, seq)) AS raw_status FROM @tasks GROUP BY 1) t ON t.task_id = i.task_id""",
 )
 def task_states_for(spark, d):
-    ids = load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("task_id"))
-    return audit.task_states_for(ids, fixture(spark, d, "tasks").filter(F.col("seq") % 5 == 0)).select("task_id", "status")
+    key = F.col("c_custkey").cast("string")
+    ids = load(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("new-"), key)).otherwise(key).alias("task_id"))
+    return audit.task_states_for(ids, fixture(spark, d, "tasks")).select("task_id", "status")
 
 
 def _money(expr: str) -> str:
@@ -206,7 +209,7 @@ def fresh_snapshots(spark, d):
         F.col("user_id").cast("string").alias("image_hash"), F.col("ts").cast("timestamp").alias("written_at"), F.col("event_id").cast("string").alias("payload")
     )
     now = F.lit("2024-01-30 12:00:00").cast("timestamp")
-    return snapshots.fresh_snapshots(rows.filter(F.col("written_at") <= now), now)
+    return snapshots.fresh_snapshots(rows, now)
 
 
 @query(

@@ -34,7 +34,7 @@ cte(
     "votes",
     f"""SELECT analysis_id, brand, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id
         ORDER BY CASE WHEN serp_source = 'exact_matches' THEN 0 ELSE 1 END, {_ORD}) AS rn FROM @branded)
-        WHERE rn <= 20 GROUP BY 1, 2""",
+        GROUP BY 1, 2""",
 )
 cte(
     "brand_targets",

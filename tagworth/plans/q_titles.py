@@ -51,7 +51,7 @@ def top_terms(spark, d):
     return t.top_terms(counts, 20).select("analysis_id", "ngram", "count")
 
 
-cte("work", "SELECT * FROM @tok WHERE place <= 220")
+cte("work", "SELECT * FROM @tok")
 cte(
     "phrase_top",
     f"""SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY n DESC, f) AS r FROM (
@@ -114,7 +114,7 @@ def title_shortlist(spark, d):
 
 @query(
     "frequency_select",
-    f"""WITH w AS (SELECT analysis_id, g, count(*) AS n FROM ({grams_sql('(SELECT * FROM tok WHERE place <= 30)', 1)}) GROUP BY 1, 2),
+    f"""WITH w AS (SELECT analysis_id, g, count(*) AS n FROM ({grams_sql('(SELECT * FROM tok)', 1)}) GROUP BY 1, 2),
         s AS (SELECT pos, sum(w.n) AS total FROM (SELECT analysis_id, pos, unnest(t) AS g FROM @tok) x JOIN w USING (analysis_id, g) GROUP BY 1)
         SELECT pos, title_rank, CAST(score AS BIGINT) AS title_score FROM (
           SELECT pos, score, row_number() OVER (PARTITION BY analysis_id ORDER BY score DESC, {_ORD}) AS title_rank FROM (
@@ -136,7 +136,7 @@ def target_name(spark, d):
 
 @query(
     "merge_votes",
-    """SELECT analysis_id, array_to_string(list(term ORDER BY r) FILTER (kind = 'keyword' AND r <= 10), '|') AS keywords,
+    """SELECT analysis_id, coalesce(array_to_string(list(term ORDER BY r) FILTER (kind = 'keyword' AND r <= 10), '|'), '') AS keywords,
         coalesce(array_to_string(list(term ORDER BY r) FILTER (kind = 'negative' AND r <= 5), '|'), '') AS negatives,
         any_value(term) FILTER (kind = 'name' AND r = 1) AS target_name FROM (
         SELECT *, row_number() OVER (PARTITION BY analysis_id, kind ORDER BY n DESC, f, term) AS r FROM (

@@ -10,9 +10,12 @@ from ..schemas import SNAPSHOT
 
 
 def fresh_snapshots(df: DataFrame, now: Column, ttl: int = 86400) -> DataFrame:
-    """Newest snapshot per image hash that is not older than ``ttl`` seconds."""
+    """Newest snapshot per image hash that is not older than ``ttl`` seconds.
+
+    Snapshots from the future are not fresh.
+    """
     age = (F.unix_micros(now) - F.unix_micros(F.col("written_at").cast("timestamp"))) / 1_000_000
-    young = df.withColumn("_age", age).filter(F.col("_age") <= ttl)
+    young = df.withColumn("_age", age).filter(F.col("_age").between(0, ttl))
     return young.groupBy("image_hash").agg(
         F.max_by("payload", "written_at").alias("payload"),
         F.lit(True).alias("cached"),

@@ -132,10 +132,10 @@ class _Quarantine(StatefulProcessor):
 def quarantine_stream(
     events: DataFrame, block_sec: int = 600, network_sec: int = 300, network_streak: int = 2, late: str = "10 minutes"
 ) -> DataFrame:
-    """Every event of rotating proxies with streak and hold of its proxy and domain."""
+    """Every finished fetch of rotating proxies with streak and hold of its proxy and domain."""
     rows = (
         _micros(events)
-        .filter(F.col("proxy_type") == "rotating")
+        .filter((F.col("proxy_type") == "rotating") & F.col("ok").isNotNull())
         .withWatermark("ts", late)
         .select("proxy", "domain", "event_id", "ts", "at", "ok", F.coalesce(error_class("error"), F.lit("none")).alias("kind"))
     )
@@ -155,7 +155,7 @@ def quarantine_states(events: DataFrame, block_sec: int = 600, network_sec: int
     """
     from ..operators.crawl import failure_streaks
 
-    rotating = _micros(events).filter(F.col("proxy_type") == "rotating")
+    rotating = _micros(events).filter((F.col("proxy_type") == "rotating") & F.col("ok").isNotNull())
     # every failure counts here, so soft blocks are shown to the streak as plain failures
     kinds = rotating.withColumn("kind", error_class("error"))
     counted = failure_streaks(kinds.withColumn("error", F.when(F.col("kind").isNotNull(), F.lit("x"))), ("proxy", "domain"))
