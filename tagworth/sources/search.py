@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.base import blank_to_null, let, text
 from ..functions.money import parse_price
 from ..functions.urls import domain_of, likely_sold
 from ..operators.lookups import filter_supported
-from ..schemas import SEARCH_PAYLOAD, SECTIONS
+from ..schemas import SEARCH_ITEM, SEARCH_PAYLOAD, SECTIONS
 
 _PRICE_FIELDS = ("price", "extracted_price", "price_with_symbol", "price_str")
 
@@ -20,10 +19,13 @@ def _filled(c: Column) -> Column:
     return blank_to_null(text(c))
 
 
-def _item_price(item: Column, fields: tuple[str, ...] = _PRICE_FIELDS) -> Column:
+def _shown(item: Column, fields: tuple[str, ...]) -> Column:
+    return F.coalesce(*[_filled(item[f]) for f in fields], F.lit(""))
+
+
+def _item_price(item: Column, shown: Column) -> Column:
     """Price text, else the numeric field in USD, else a price inside the title."""
     number = item["extracted_price"].try_cast("double")
-    shown = F.coalesce(*[_filled(item[f]) for f in fields], F.lit(""))
 
     def pick(p: Column) -> Column:
         return (
@@ -51,46 +53,47 @@ def _item_price(item: Column, fields: tuple[str, ...] = _PRICE_FIELDS) -> Column
     return let(parts, pick)
 
 
-def _section(parsed: DataFrame, rank: int, legacy: bool) -> DataFrame:
-    name = SECTIONS[rank]
-    item = F.col("item")
-    rows = parsed.select("analysis_id", F.posexplode(F.col(f"payload.{name}")).alias("pos", "item")).filter(item.isNotNull())
-    link = _filled(item["link"])
-    if rank < 2:
-        link = F.coalesce(link, _filled(item["source"]))
-    fields = _PRICE_FIELDS
-    if legacy and name == "shopping_results":
-        fields = ("extracted_price", "price", "price_with_symbol", "price_str")
-    if legacy and name == "organic_results":
-        fields = ("price", "extracted_price")
-    return rows.select(
-        "analysis_id",
-        F.lit(rank).alias("section_rank"),
-        "pos",
-        F.lit(name).alias("serp_source"),
-        F.coalesce(link, F.lit("")).alias("url"),
-        F.coalesce(_filled(item["thumbnail"]), _filled(item["image"]), F.lit("")).alias("image"),
-        text(item["title"]).alias("title"),
-        _item_price(item, fields).alias("_price"),
-    ).select("*", F.col("_price.price").alias("serp_price"), F.col("_price.currency").alias("serp_currency")).drop("_price")
-
-
 def parse_payloads(df: DataFrame, json: str = "payload") -> DataFrame:
     return df.withColumn("payload", F.from_json(json, SEARCH_PAYLOAD))
 
 
 def payload_rows(df: DataFrame, json: str = "payload", legacy: bool = False) -> DataFrame:
-    """Every item of every section, in section order, not yet merged by link."""
+    """Every item of every section, in section order, not yet merged by link.
+
+    A payload is parsed once; its sections are put together with their number and
+    exploded in one pass.
+    """
     parsed = parse_payloads(df, json)
-    parts = []
-    for rank, name in enumerate(SECTIONS):
-        if legacy and name == "exact_matches":
-            continue
-        rows = _section(parsed, rank, legacy)
-        if name == "organic_results" and not legacy:
-            rows = filter_supported(rows).drop("domain")
-        parts.append(rows)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+
+    def entries(rank: int) -> Column:
+        section = F.col(f"payload.{SECTIONS[rank]}")
+        return F.transform(F.coalesce(section, F.array().cast(f"array<{SEARCH_ITEM}>")), lambda x, i: F.struct(F.lit(rank).alias("section_rank"), i.alias("pos"), x.alias("item")))
+
+    ranks = [r for r, name in enumerate(SECTIONS) if not (legacy and name == "exact_matches")]
+    rows = parsed.select("analysis_id", F.inline(F.concat(*[entries(r) for r in ranks]))).filter(F.col("item").isNotNull())
+    item, rank = F.col("item"), F.col("section_rank")
+    organic, shopping = rank == SECTIONS.index("organic_results"), rank == SECTIONS.index("shopping_results")
+    shown = _shown(item, _PRICE_FIELDS)
+    if legacy:
+        shown = (
+            F.when(organic, _shown(item, ("price", "extracted_price")))
+            .when(shopping, _shown(item, ("extracted_price", "price", "price_with_symbol", "price_str")))
+            .otherwise(shown)
+        )
+    link = F.coalesce(_filled(item["link"]), F.when(rank < 2, _filled(item["source"])), F.lit(""))
+    out = rows.select(
+        "analysis_id",
+        "section_rank",
+        "pos",
+        F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), rank + 1).alias("serp_source"),
+        link.alias("url"),
+        F.coalesce(_filled(item["thumbnail"]), _filled(item["image"]), F.lit("")).alias("image"),
+        text(item["title"]).alias("title"),
+        _item_price(item, shown).alias("_price"),
+    )
+    if not legacy:
+        out = out.filter((rank != SECTIONS.index("organic_results")) | domain_of("url").isin(*fixed.SITE_BY_DOMAIN))
+    return out.select("*", F.col("_price.price").alias("serp_price"), F.col("_price.currency").alias("serp_currency")).drop("_price")
 
 
 def read_search_results(df: DataFrame, json: str = "payload", legacy: bool = False, drop_sold: bool = False) -> DataFrame:
