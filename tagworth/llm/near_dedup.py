@@ -151,44 +151,122 @@ def _open_members(members: DataFrame, found: DataFrame | None) -> DataFrame:
     """Bucket members with their component, of buckets that hold more than one component."""
     if found is None:
         return members.withColumn("c", F.col("cid"))
-    named = members.join(found, members["cid"] == found["node"], "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("c"))
+    named = members.join(found, members["cid"] == found["node"], "left").select("key", "cid", "n", "weight", F.coalesce("root", "cid").alias("c"))
     mixed_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     return named.join(mixed_, "key", "left_semi")
 
 
-def class_links(classes: DataFrame, sets: DataFrame, members: DataFrame, percent: int, stars: int = 6, cheap: int = 4) -> DataFrame:
+def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes under one key that lie in different components and fit in size.
+
+    Members outside the largest component of a key are paired with all members, so a
+    component costs nothing within itself.
+    """
+    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n_c")).groupBy("key").agg(F.max_by("c", F.struct("n_c", "c")).alias("big"))
+    outside = rows.join(sizes, "key").where("c <> big").select("key", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    pairs = outside.join(rows, "key").where((F.col("cx") != F.col("c")) & _fits("nx", "n", percent))
+    return pairs.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
+
+
+def _linkable(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The classes that can be linked at all, with their sets.
+
+    Shingles are ordered by the number of classes that have them.  Two sets with the
+    wanted similarity share one of the first ``n - ceil(n * percent / 100) + 1`` of each, and
+    shingles of one class only come first.  So a class with that many of its own links
+    with nobody, whatever passage it quotes.
+    """
+    every = classes.join(sets, "cid").select("cid", F.explode("keys").alias("key"))
+    often = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = every.join(often, "key").groupBy("cid").agg(F.count("*").alias("common"))
+    needed = F.floor((F.col("n") * percent + 99) / 100)
+    return classes.join(shared, "cid").where(F.col("common") >= needed).select("cid").join(sets, "cid")
+
+
+def _block_links(rows: DataFrame, percent: int, block: int = 200_000) -> DataFrame:
+    """Links across components under one key, found block by block.
+
+    Members outside the largest component of a key, and all its members, are dealt into
+    blocks of some ``block`` shingles; every pair of blocks is a group of its own, in which
+    sets are compared in numpy and only links come out.  Blocks bound the memory of a
+    group and spread a large key over many tasks.
+    """
+    sizes = rows.groupBy("key", "c").agg(F.sum("n").alias("t")).groupBy("key").agg(F.max_by("c", F.struct("t", "c")).alias("big"), F.sum("t").alias("all"), F.max("t").alias("most"))
+    sizes = sizes.select("key", "big", F.ceil(F.col("all") / block).alias("n_right"), F.ceil((F.col("all") - F.col("most")) / block).alias("n_left")).where("n_left > 0")
+    dealt = rows.join(sizes, "key")
+
+    def numbers(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = dealt.where("c <> big").select("key", F.pmod(F.xxhash64("cid"), "n_left").alias("i"), numbers("n_right").alias("j"), "cid", "c", "keys")
+    right = dealt.select("key", numbers("n_left").alias("i"), F.pmod(F.xxhash64("cid"), "n_right").alias("j"), "cid", "c", "keys")
+
+    def compare(x, y):
+        import pyarrow as pa
+
+        def parts(t, mark):
+            lists = t.column(mark + "keys").combine_chunks()
+            return t.column(mark + "cid").to_numpy(), t.column(mark + "c").to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+        (xi, xc, xk, xn), (yi, yc, yk, yn) = parts(x, "x_"), parts(y, "y_")
+        a, b = [], []
+        if len(xi) and len(yi):
+            known = np.unique(xk)
+            code = np.minimum(np.searchsorted(known, yk), len(known) - 1)
+            code[known[code] != yk] = len(known)
+            begin = np.concatenate([[0], np.cumsum(yn)])[:-1]
+            edges = np.concatenate([[0], np.cumsum(xn)])
+            for k in range(len(xi)):
+                held = np.zeros(len(known) + 1, dtype=np.int32)
+                held[np.searchsorted(known, xk[edges[k] : edges[k + 1]])] = 1
+                both = np.add.reduceat(held[code], begin)
+                hit = np.flatnonzero((both * 100 >= (xn[k] + yn - both) * percent) & (yc != xc[k]))
+                a.append(np.full(len(hit), xi[k]))
+                b.append(yi[hit])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([*a, none]), pa.int64()), "b": pa.array(np.concatenate([*b, none]), pa.int64())})
+
+    at = ["key", "i", "j"]
+    left, right = (side.select(*[F.col(c).alias(mark + c) for c in side.columns]) for mark, side in (("x_", left), ("y_", right)))
+    return left.groupBy(*["x_" + c for c in at]).cogroup(right.groupBy(*["y_" + c for c in at])).applyInArrow(compare, "a bigint, b bigint")
+
+
+def class_links(sets: DataFrame, members: DataFrame, percent: int, stars: int = 2, small: int = 32) -> DataFrame | None:
     """``node, root`` of classes that are linked with another.
 
-    In a bucket of a band, members are first compared with one of them: a star of pairs.
-    Members that fall into the same component by what is known need no comparison.  As
-    long as the pairs between different components of a bucket outnumber its members by
-    more than ``cheap`` times, further stars around other members follow, ``stars`` at
-    most; then all pairs between different components that are left are compared.  So
-    every pair in a bucket is either compared or already connected, and a large group of
-    near copies costs some pairs per member, not all pairs.
+    In a bucket of a band, members are first compared with one of them, that which meets
+    most others over all its bands and so lies in the middle of its group: a star of
+    pairs, ``stars`` times around other such members.  Members that fall into one component
+    need no comparison with each other.  What is left is compared across components:
+    within buckets of at most ``small`` members pair by pair; of larger ones, classes with
+    too much text of their own to be linked are set aside, and the others are compared
+    block by block.  So every linked pair of a bucket is compared or already connected,
+    while a large group of near copies gives some pairs per member, not all pairs.
     """
     found = None
     for turn in range(stars + 1):
         open_ = stage(_open_members(members, found), "near-open")
         if open_.isEmpty():
             break
-        sizes = open_.groupBy("key", "c").agg(F.count("*").alias("n_c")).groupBy("key").agg(F.sum("n_c").alias("all"), F.max_by("c", "n_c").alias("big"), F.max("n_c").alias("most"))
-        cost = sizes.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs"), F.sum("all").alias("rows")).first()
-        last = turn == stars or (turn > 0 and cost["pairs"] <= cheap * cost["rows"])
-        if last:
-            outside = open_.join(sizes.select("key", "big"), "key").where("c <> big").select("key", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-            pairs = outside.join(open_, "key").where((F.col("cx") != F.col("c")) & _fits("nx", "n", percent))
-            pairs = pairs.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
+        if turn < stars:
+            chance = F.pmod(F.xxhash64(F.lit(turn), "cid"), F.lit(1000)) / 1000
+            rank = F.col("weight") * (1 if turn == 0 else 0.8 + 0.2 * chance)
+            first = F.struct(rank.alias("r"), F.col("cid").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+            heads = open_.groupBy("key").agg(F.max(first).alias("s")).select("key", "s.x", "s.cx", "s.nx")
+            pairs = open_.join(heads, "key").where((F.col("cx") != F.col("c")) & _fits("nx", "n", percent)).select(F.col("x").alias("a"), F.col("cid").alias("b"))
         else:
-            heads = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), F.col("cid")).alias("h"), F.col("cid").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))).alias("s"))
-            pairs = open_.join(heads.select("key", "s.x", "s.cx", "s.nx"), "key").where((F.col("cx") != F.col("c")) & _fits("nx", "n", percent))
-            pairs = pairs.select(F.col("x").alias("a"), F.col("cid").alias("b"))
+            large = open_.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > small).select("key")
+            few = open_.join(large, "key", "left_anti").select("key", "cid", "n", "c")
+            many = stage(open_.join(large, "key", "left_semi").select("key", "cid", "n", "c"), "near-many")
+            able = stage(_linkable(many.select("cid", "n").distinct(), sets, percent), "near-able")
+            pairs = _cross_pairs(few, percent)
         links = _verified(pairs.distinct(), sets, percent)
+        if turn == stars:
+            links = links.unionAll(_block_links(many.join(able, "cid"), percent))
+        links = stage(links, "near-links")
         known = links if found is None else links.unionAll(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
         found = components(known)
-        discard(open_)
-        if last:
-            break
+        discard(open_, links)
     return found
 
 
@@ -229,15 +307,17 @@ def near_dedup(
     )
     classes = stage(classes, "near-classes")
     banded = classes.select("cid", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    members = stage(banded.join(shared, "key"), "near-members")
+    shared = stage(banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near-shared")
+    in_shared = banded.join(shared, "key")
+    weights = in_shared.groupBy("cid").agg(F.sum("m").alias("weight"))
+    members = stage(in_shared.drop("m").join(weights, "cid"), "near-members")
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "d1", "d2", "rep_id", "r1", "r2")
     texts = given.join(
         wanted, given["id"].eqNullSafe(wanted["rep_id"]) & (given["t1"] == wanted["r1"]) & (given["t2"] == wanted["r2"])
     ).select("cid", "d1", "d2", "text")
     sets = texts.mapInArrow(_collect_sets, "cid bigint, same boolean, keys array<bigint>").where("same").dropDuplicates(["cid"]).select("cid", "keys")
     sets = stage(sets, "near-sets")
-    found = class_links(classes, sets, members, percent)
+    found = class_links(sets, members, percent)
     discard(sets, members)
     rooted = classes.select("cid", "d1", "d2", "n", "low") if found is None else classes.join(found, classes["cid"] == found["node"], "left").select("cid", "d1", "d2", "n", "low", "root")
     root = F.col("cid") if found is None else F.coalesce("root", "cid")
