@@ -20,7 +20,7 @@ def read_pages(spark, d):
     return rows.select("page_id", F.md5("url").alias("url"), F.md5("html").alias("html"), F.length("html").cast("long").alias("chars"))
 
 
-@query("read_event_log", "SELECT epoch_ms(ts) AS at, event, level, domain, trace, stage, seconds FROM @log_events")
+@query("read_event_log", "SELECT epoch_us(ts) // 1000 AS at, event, level, domain, trace, stage, seconds FROM @log_events")
 def read_event_log(spark, d):
     """Events written as JSON lines and read by their schema, times to the millisecond."""
     path = shared_dir(spark)
