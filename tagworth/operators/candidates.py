@@ -219,6 +219,7 @@ class CrawlPolicy:
     """Limits of crawl batches and thresholds of follow-up passes."""
 
     first_limit: int = 20
+    exact_limit: int = 12
     ebay_cap: int = 1
     domain_cap: int = 3
     realreal_cap: int = 2
@@ -256,24 +257,33 @@ def next_crawl_batch(cands: DataFrame, limit: int = 20, policy: CrawlPolicy = Cr
     """The next ``limit`` pages to crawl per analysis.
 
     Rows within the domain and eBay caps come first, then the rest in order.  Only the
-    head of each domain and of each analysis can be picked, so just these are ranked.
+    head of each domain can be picked, so just these rows reach the ranking of an
+    analysis: at most ``limit`` per domain.
     """
     rows = _with_domain(distinct_links(cands))
     order = crawl_order(rows)
     cap = F.when(F.col("domain").endswith("therealreal.com"), F.lit(policy.realreal_cap)).otherwise(F.lit(policy.domain_cap))
-    heads = top_k(rows, [*A, "domain"], order, max(policy.domain_cap, policy.realreal_cap), "_d").filter(F.col("_d") <= cap)
-    ebay = is_ebay("domain")
-    ebay_rank = F.row_number().over(Window.partitionBy(*A, "_ebay").orderBy(*order))
-    within = (
-        heads.withColumn("_ebay", ebay)
-        .withColumn("_er", ebay_rank)
-        .filter(~F.col("_ebay") | (F.col("_er") <= policy.ebay_cap))
-        .drop("_d", "_ebay", "_er")
-        .withColumn("over_cap", F.lit(0))
-    )
-    rest = top_k(rows, A, order, limit, "_r").drop("_r").withColumn("over_cap", F.lit(1))
-    both = first_rows(within.unionByName(rest), [*A, "url"], [F.col("over_cap")])
-    return top_k(both, A, [F.col("over_cap"), *order], limit, "pick")
+    heads = top_k(rows, [*A, "domain"], order, max(limit, policy.domain_cap, policy.realreal_cap), "_d")
+    in_cap = F.col("_d") <= cap
+    ebay = in_cap & is_ebay("domain")
+    so_far = Window.partitionBy(*A).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    taken = F.sum(ebay.cast("int")).over(so_far)
+    over = F.when(in_cap & (~ebay | (F.col("_taken") <= policy.ebay_cap)), F.lit(0)).otherwise(F.lit(1))
+    marked = heads.withColumn("_taken", taken).withColumn("over_cap", over).drop("_d", "_taken")
+    return top_k(marked, A, [F.col("over_cap"), *order], limit, "pick")
+
+
+def first_crawl_batch(cands: DataFrame, policy: CrawlPolicy = CrawlPolicy()) -> DataFrame:
+    """The pages of the first pass.
+
+    An analysis with exact matches starts with these alone, at most ``exact_limit`` of
+    them; another one starts with the first ``first_limit`` of all its candidates.
+    """
+    exact = exact_rank() == 0
+    kinds = cands.groupBy(*A).agg((F.count_if(exact) > 0).alias("_by_exact"))
+    pool = cands.join(kinds, A).filter(~F.col("_by_exact") | exact)
+    picked = next_crawl_batch(pool, policy.first_limit, policy)
+    return picked.filter(~F.col("_by_exact") | (F.col("pick") <= policy.exact_limit)).drop("_by_exact")
 
 
 def follow_up_batch(

@@ -572,9 +572,40 @@ def follow_up_overflow(spark, d):
     return c.follow_up_batch(*_crawl_state(spark, d), "overflow").select("pos", F.col("pick").cast("long").alias("pick"))
 
 
-@query("follow_up_phase2")
+@query("follow_up_backfill", _follow_sql(6, 8))
+def follow_up_backfill(spark, d):
+    return c.follow_up_batch(*_crawl_state(spark, d), "backfill").select("pos", F.col("pick").cast("long").alias("pick"))
+
+
+def _links_sql(rows: str) -> str:
+    """First row per link of ``rows``."""
+    return f"(SELECT * FROM {rows} WHERE url IS NOT NULL AND url <> '' QUALIFY row_number() OVER (PARTITION BY analysis_id, url ORDER BY {_ORD}) = 1)"
+
+
+@query(
+    "first_crawl_batch",
+    f"""SELECT pos, pick FROM ({batch_sql(_links_sql("(SELECT * FROM @cands WHERE serp_source = 'exact_matches')"), 12)})
+        UNION ALL SELECT pos, pick FROM ({batch_sql(_links_sql("(SELECT * FROM @cands WHERE analysis_id NOT IN (SELECT analysis_id FROM @cands WHERE serp_source = 'exact_matches'))"), 20)})""",
+)
+def first_crawl_batch(spark, d):
+    return c.first_crawl_batch(fixture(spark, d, "cands")).select("pos", F.col("pick").cast("long").alias("pick"))
+
+
+_PHASE2 = """(SELECT l.* FROM @cands l LEFT JOIN @crawl_state s USING (analysis_id)
+    WHERE serp_source <> 'exact_matches' AND (coalesce(n_items, 0) < 8 OR coalesce(n_priced, 0) < 8)
+      AND analysis_id IN (SELECT analysis_id FROM @cands WHERE serp_source = 'exact_matches')
+      AND (analysis_id, url) NOT IN (SELECT analysis_id, url FROM @crawled))"""
+
+
+@query(
+    "follow_up_phase2",
+    f"""WITH room AS (SELECT analysis_id, least(count(*), 20) - (SELECT count(DISTINCT url) FROM @crawled d WHERE d.analysis_id = c.analysis_id) AS free FROM @cands c GROUP BY 1)
+        SELECT pos, pick, 'phase2' AS crawl_pass FROM ({batch_sql(_links_sql(_PHASE2), 8)}) JOIN room USING (analysis_id)
+        WHERE pick <= CASE WHEN free > 0 THEN least(free, 8) ELSE 8 END""",
+)
 def follow_up_phase2(spark, d):
-    return c.follow_up_batch(*_crawl_state(spark, d), "phase2").select("pos", "pick", "crawl_pass")
+    out = c.follow_up_batch(*_crawl_state(spark, d), "phase2")
+    return out.select("pos", F.col("pick").cast("long").alias("pick"), "crawl_pass")
 
 
 @query(
