@@ -157,8 +157,7 @@ def candidate_rank(df: DataFrame, limit: int | None = None) -> DataFrame:
     order = candidate_order(rows)
     if limit is not None:
         return top_k(rows, A, order, limit)
-    lead = ((order[0] * 2.0**25 + order[1]) * 2 + order[2]) * 2 + (F.lit(1.0) - _similarity())
-    return rank_in_group(rows, A, order, lead)
+    return rank_in_group(rows, A, order)
 
 
 def title_rank(df: DataFrame, lead: Column, order: list[Column]) -> DataFrame:

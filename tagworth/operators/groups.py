@@ -37,33 +37,40 @@ def beyond_top(df: DataFrame, top: DataFrame, keys: list[str], order: list[Colum
     return marked.join(last, keys).filter(F.col("_key") > F.col("_last")).drop("_key", "_last")
 
 
-def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], lead: Column, rank: str = "rank", parts: int = 32) -> DataFrame:
+def rank_in_group(
+    df: DataFrame, keys: list[str], order: list[Column], lead: Column | None = None, rank: str = "rank", parts: int | None = None
+) -> DataFrame:
     """Rank every row of every group, without sorting a large group in one task.
 
-    ``lead`` is a number that rises with ``order`` (its first column, or a coarser form).
-    Groups are cut at quantiles of ``lead``; a row's rank is the size of the earlier
-    parts plus its place inside its own part.
+    Rows are dealt to ranges of (keys, order), so a group of any size, with any ties in
+    its leading columns, is cut into even parts; ``parts`` ranges, or as many as Spark's
+    shuffles have.  A row's rank is the size of the group's earlier ranges plus its place
+    in its own.  ``lead``, if given, is a number that rises with ``order`` and is compared
+    before it.  The dealt rows are written to the shared folder, so that counts and
+    places are taken from the same cut.
     """
-    cuts = F.percentile_approx("_lead", [i / parts for i in range(1, parts)], 1000)
-    based = df.withColumn("_lead", lead.cast("double"))
-    bounds = based.groupBy(*keys).agg(cuts.alias("_cuts"))
-    placed = (
-        based.join(bounds, keys)
-        .withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_lead"))))
-        .drop("_cuts", "_lead")
-    )
+    from ..streaming.run import shared_dir
+
+    spark = df.sparkSession
+    whole = [*([] if lead is None else [lead]), *order]
+    named = df.withColumns({f"_o{i}": c for i, c in enumerate(whole)})
+    columns = [F.col(k) for k in keys] + [F.col(f"_o{i}") for i in range(len(whole))]
+    dealt = named.repartitionByRange(*columns) if parts is None else named.repartitionByRange(parts, *columns)
+    path = shared_dir(spark)
+    dealt.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.schema(dealt.withColumn("_part", F.lit(0)).schema).parquet(path)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*keys, "_part")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*[F.col(f"_o{i}") for i in range(len(whole))])
     return (
         placed.withColumn("_place", F.row_number().over(inside))
         .join(offsets, [*keys, "_part"])
         .withColumn(rank, (F.col("_before") + F.col("_place")).cast("int"))
-        .drop("_part", "_place", "_before")
+        .drop("_part", "_place", "_before", *[f"_o{i}" for i in range(len(whole))])
     )
 
 

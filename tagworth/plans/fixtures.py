@@ -56,7 +56,8 @@ FIXTURES: dict[str, str] = {
         SELECT p.p_brand AS analysis_id,
                CAST(l.l_linenumber % 4 AS INT) AS section_rank,
                {_SECTION} AS serp_source,
-               (l.l_orderkey * 8 + l.l_linenumber) * 100000000 + l.l_partkey * 1000 + l.l_suppkey % 1000 AS pos,
+               (l.l_orderkey * 8 + l.l_linenumber) * 100000000 + l.l_partkey * 1000
+                 + CAST(l.l_suppkey + floor(l.l_extendedprice) AS BIGINT) % 1000 AS pos,
                d.domain AS domain,
                {_URL} AS url,
                trim({_case(f"({_BRAND_NO})", _BRANDS)} || ' ' || p.p_brand || ' ' || p.p_name || ' ' || p.p_type) AS title,

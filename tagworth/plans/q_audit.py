@@ -180,7 +180,7 @@ def report_summary(spark, d):
 
 @query(
     "report_cards",
-    f"""SELECT analysis_id, row_number() OVER (PARTITION BY analysis_id ORDER BY pos) AS card_no, replace(title, '&', '&amp;') AS title, site,
+    f"""SELECT analysis_id, row_number() OVER (PARTITION BY analysis_id ORDER BY pos, price_original) AS card_no, replace(title, '&', '&amp;') AS title, site,
         CASE WHEN price IS NULL THEN 'No price' WHEN status = 'Sold' THEN 'Sold' ELSE 'Available' END AS badge,
         CASE WHEN partkey % 2 = 0 THEN 'used' ELSE '{fixed.DEFAULT_CONDITION}' END AS condition, printf('%.1f%%', discount * 100) AS similarity, {_money('price')} AS price_usd,
         CAST(CAST(trunc(price_original) AS BIGINT) AS VARCHAR) || ' ' || currency_original AS price_original, url AS source_url FROM @items""",
@@ -189,7 +189,7 @@ def report_cards(spark, d):
     rows = items(spark, d).withColumns(
         {"condition": F.when(F.col("partkey") % 2 == 0, F.lit("used")).otherwise(F.lit("n/a")), "similarity": F.col("discount")}
     )
-    out = report.report_cards(rows, [F.col("pos")], F.col("pos"))
+    out = report.report_cards(rows, [F.col("pos"), F.col("price_original")])
     return out.withColumn("card_no", F.col("card_no").cast("long"))
 
 

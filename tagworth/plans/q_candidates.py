@@ -176,7 +176,7 @@ def likely_sold(spark, d):
 cte(
     "payload_rows",
     """SELECT CAST(orderkey AS VARCHAR) AS analysis_id, section_rank,
-        row_number() OVER (PARTITION BY orderkey, section_rank ORDER BY pos) - 1 AS pos,
+        row_number() OVER (PARTITION BY orderkey, section_rank ORDER BY pos, url NULLS FIRST, title, printf('$%.2f', price_original)) - 1 AS pos,
         serp_source, coalesce(url, '') AS url, title, domain, quantity, price_original FROM @listings""",
 )
 

@@ -10,10 +10,21 @@ from .fixtures import FIXTURES, load
 from .registry import cte, query
 
 
-def event_stream(spark, d, name):
-    """A derived event table as a stream of the events files."""
-    schema = load(spark, d, "events").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+def event_stream(spark, d, name, closing=False):
+    """A derived event table as a stream of the events files.
+
+    With ``closing`` one event of the far future joins the stream: it moves the watermark
+    past all others, so every window of theirs is closed, while its own stays open and
+    out of the result.
+    """
+    events = load(spark, d, "events")
+    source = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet")
+    if closing:
+        last = {"event_id": F.lit(0), "ts": F.lit("2200-01-01 00:00:00"), "event_type": F.lit("error")}
+        row = spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+        path = shared_dir(spark)
+        row.write.parquet(path)
+        source = source.unionByName(spark.readStream.schema(events.schema).parquet(path))
     return spark.sql(FIXTURES[name], events=source)
 
 
@@ -23,11 +34,10 @@ def _exact(spark):
 
 @query(
     "log_metrics_stream",
-    """SELECT start_at, event, level, domain, count(*) AS n FROM (SELECT *, epoch_us(ts) // 60000000 * 60000000 AS start_at FROM @log_events)
-       WHERE start_at + 60000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM @log_events) GROUP BY 1, 2, 3, 4""",
+    """SELECT start_at, event, level, domain, count(*) AS n FROM (SELECT *, epoch_us(ts) // 60000000 * 60000000 AS start_at FROM @log_events) GROUP BY 1, 2, 3, 4""",
 )
 def log_metrics_stream(spark, d):
-    out = run_available(logs.log_metrics_stream(event_stream(spark, d, "log_events")), shared_dir(spark))
+    out = run_available(logs.log_metrics_stream(event_stream(spark, d, "log_events", closing=True)), shared_dir(spark))
     return out.select(F.unix_micros("from").alias("start_at"), "event", "level", "domain", "n")
 
 
@@ -45,12 +55,12 @@ def dedupe_stream(spark, d):
 @query(
     "soft_block_stream",
     """WITH b AS (SELECT domain, epoch_us(ts) AS u FROM @classed WHERE class IN ('soft_block', 'hard_block')),
-        w AS (SELECT domain, (u // 60000000 - k) * 60000000 AS s FROM b, range(0, 60) AS r(k))
+        w AS (SELECT domain, (u // 3600000000 - k) * 3600000000 AS s FROM b, range(0, 24) AS r(k))
         SELECT domain, s AS start_at, count(*) AS hits FROM w GROUP BY 1, 2
-        HAVING count(*) >= 2 AND s + 3600000000 <= (SELECT max(u) // 1000 * 1000 - 600000000 FROM b)""",
+        HAVING count(*) >= 2""",
 )
 def soft_block_stream(spark, d):
-    alerts = crawl.soft_block_stream(event_stream(spark, d, "crawl_events"), window_sec=3600)
+    alerts = crawl.soft_block_stream(event_stream(spark, d, "crawl_events", closing=True), window_sec=86400, slide_sec=3600)
     out = run_available(alerts, shared_dir(spark))
     return out.select("domain", F.unix_micros("from").alias("start_at"), "hits")
 

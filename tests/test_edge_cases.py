@@ -94,3 +94,14 @@ def test_no_snapshot_from_the_future(spark):
     df = rows.select("image_hash", F.timestamp_seconds("s").alias("written_at"), "payload")
     got = snapshots.fresh_snapshots(df, F.timestamp_seconds(F.lit(2000))).collect()
     assert [(r["image_hash"], r["payload"], r["cache_age"]) for r in got] == [("h", "old", 1000)]
+
+
+def test_a_group_of_equal_leads_is_cut_evenly(spark):
+    """One analysis holds all rows and its leading column is the same everywhere."""
+    from tagworth.operators import groups as g
+
+    df = spark.range(4000).select(F.lit("a").alias("analysis_id"), F.lit(1).alias("section_rank"), ((F.col("id") * 7919) % 4000).alias("pos"))
+    out = g.rank_in_group(df, ["analysis_id"], [F.col("section_rank"), F.col("pos")], parts=8).cache()
+    assert out.where("rank <> pos + 1").count() == 0
+    shares = df.repartitionByRange(8, "analysis_id", "section_rank", "pos").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert shares < 1000
