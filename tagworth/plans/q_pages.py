@@ -211,7 +211,7 @@ def site_hint(spark, d):
 
 @query("page_snapshot")
 def page_snapshot(spark, d):
-    return e.page_snapshot(load(spark, d, "pages")).select("page_id", F.length("snapshot").alias("chars"))
+    return e.page_snapshot(load(spark, d, "pages")).select("page_id", "snapshot")
 
 
 # Status by kind of fixture page, for the sites in the order of _DOMAINS.  A stated

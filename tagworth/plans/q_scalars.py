@@ -412,12 +412,15 @@ def mojibake_score(spark, d):
     return load(spark, d, "documents").select("doc_id", words.mojibake_score("text").cast("long").alias("score"))
 
 
-@query("repair_mojibake")
+@query(
+    "repair_mojibake",
+    "SELECT doc_id, md5(CASE WHEN strlen(text) = length(text) THEN 'привет ' || text ELSE text END) AS repaired FROM {documents}",
+)
 def repair_mojibake(spark, d):
-    """Documents whose text a re-decoding improves."""
-    fixed_text = words.repair_mojibake("text")
-    rows = load(spark, d, "documents").select("doc_id", F.length("text").alias("n"), (fixed_text != F.col("text")).alias("changed"))
-    return rows.groupBy("changed").agg(F.count(F.lit(1)).alias("n"))
+    """A word read in the wrong code page before every text that this page can hold."""
+    plain = F.octet_length("text") == F.char_length("text")
+    rows = load(spark, d, "documents").select("doc_id", F.when(plain, F.concat(F.lit("РїСЂРёРІРµС‚ "), "text")).otherwise(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.md5(words.repair_mojibake("text")).alias("repaired"))
 
 
 @query(
