@@ -247,7 +247,7 @@ def canonical_key(url: ColumnOrName) -> Column:
     raw = F.trim(text(url))
 
     def build(p: Column) -> Column:
-        path = F.regexp_replace(p["path"], "/+", "/")
+        path = F.when(p["path"].contains("//"), F.regexp_replace(p["path"], "/+", "/")).otherwise(p["path"])
         path = F.when(path == "", F.lit("/")).when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
         has_locale = (
             p["domain"].endswith("popchill.com")
@@ -256,18 +256,15 @@ def canonical_key(url: ColumnOrName) -> Column:
         )
         path = F.when(has_locale, F.regexp_replace(path, "(?i)^/[a-z]{2}(?:-[a-z]{2})?/", "/")).otherwise(path)
 
-        def finish(q: Column) -> Column:
-            return (
-                F.when(q["token"] != "", F.concat_ws("|", p["domain"], q["token"]))
-                .when(q["query"] == "", F.concat(F.lit("https://"), p["domain"], q["path"]))
-                .otherwise(F.concat(F.lit("https://"), p["domain"], q["path"], F.lit("?"), q["query"]))
-            )
-
-        parts = F.struct(
-            path.alias("path"),
-            product_token(p["domain"], path).alias("token"),
-            clean_query(p["query"]).alias("query"),
-        )
+        def with_query(path: Column) -> Column:
+            base = F.concat(F.lit("https://"), p["domain"], path)
+            cleaned = let(clean_query(p["query"]), lambda q: F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q)))
+            return F.when(p["query"] == "", base).otherwise(cleaned)
+
+        def finish(q: Column) -> Column:  # the query is cleaned only where it is part of the key
+            return F.when(q["token"] != "", F.concat_ws("|", p["domain"], q["token"])).otherwise(with_query(q["path"]))
+
+        parts = F.struct(path.alias("path"), product_token(p["domain"], path).alias("token"))
         return F.when(p["host"] == "", p["raw"]).otherwise(let(parts, finish))
 
     return let(
