@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 import math
 from collections.abc import Sequence
 
@@ -60,7 +62,8 @@ def _hash_rows(points: np.ndarray) -> np.ndarray:
 class Pieces:
     """The pieces as sorted keys per length, with scores and ids."""
 
-    def __init__(self, pieces: Sequence[tuple[str, float, int]]) -> None:
+    def __init__(self, pieces: Sequence[tuple[str, float, int]], merges: bool = False) -> None:
+        self.merges = merges
         normal = [(i, p, s) for i, (p, s, kind) in enumerate(pieces) if kind in (1, 4)]
         if any(SPACE in p[1:] and p.strip(SPACE) for _, p, _ in normal):
             raise ValueError("a piece has a space behind another character: words cannot be cut apart")
@@ -163,6 +166,70 @@ class Pieces:
             path.append(ident)
         return np.array(path[::-1], dtype=np.int64), np.array([len(path)])
 
+    def merged(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of one length by the merges of a BPE model, with the form of :meth:`viterbi`.
+
+        All words take one step at a time: of the neighbours whose union is a piece, the
+        best-ranked and then leftmost are joined, until a word has none.
+        """
+        rows, length = points.shape
+        found = self._probe(points)
+        score = np.full((length + 1, rows, length), -np.inf)
+        ident = np.zeros((length + 1, rows, length), dtype=np.int64)
+        for n, (values, ids) in found.items():
+            score[n, :, : length - n + 1], ident[n, :, : length - n + 1] = values, ids
+        end = np.tile(np.arange(1, length + 1), (rows, 1))
+        alive = np.ones((rows, length), dtype=bool)
+        every, starts = np.arange(rows)[:, None], np.arange(length)[None, :]
+        while True:
+            last = end >= length
+            after = end[every, np.minimum(end, length - 1)]
+            gain = np.where(alive & ~last, score[after - starts, every, starts], -np.inf)
+            pick = gain.argmax(axis=1)
+            go = np.flatnonzero(gain[np.arange(rows), pick] > -np.inf)
+            if not len(go):
+                break
+            i, j = pick[go], end[go, pick[go]]
+            end[go, i], alive[go, j] = end[go, j], False
+        size = end - starts
+        ids = ident[size, every, starts]
+        unknown = np.isneginf(score[size, every, starts])
+        return np.where(unknown, -1 - points.astype(np.int64), ids)[alive], alive.sum(axis=1)
+
+    def one_merged(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a single long word, with a queue of possible merges."""
+        text = "".join(chr(c) if c < 0x110000 and c != _OTHER else "\x00" for c in points.tolist())
+        n = len(text)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        dead = [False] * n
+        queue: list[tuple[float, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = end[i]
+            if i >= 0 and j < n and end[j] - i <= self.longest:
+                hit = self.by_text.get(text[i : end[j]])
+                if hit is not None:
+                    heapq.heappush(queue, (-hit[1], i, j, end[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while queue:
+            _, i, j, k = heapq.heappop(queue)
+            if dead[i] or dead[j] or end[i] != j or end[j] != k:
+                continue
+            end[i], dead[j] = k, True
+            if k < n:
+                before[k] = i
+                offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        path = []
+        for i in range(n):
+            if not dead[i]:
+                hit = self.by_text.get(text[i : end[i]])
+                path.append(hit[0] if hit is not None and points[i] != _OTHER else -1 - int(points[i]))
+        return np.array(path, dtype=np.int64), np.array([len(path)])
+
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their counts.
 
@@ -221,11 +288,13 @@ class Pieces:
             n = int(lengths[group[0]])
             if n > LONGEST:
                 for w in group:
-                    parts.append((np.array([w]), *self.one_word(points[starts[w] : starts[w] + n])))
+                    alone = self.one_merged if self.merges else self.one_word
+                    parts.append((np.array([w]), *alone(points[starts[w] : starts[w] + n])))
                 continue
             for k in range(0, len(group), ROWS):
                 some = group[k : k + ROWS]
-                parts.append((some, *self.viterbi(points[starts[some][:, None] + np.arange(n)])))
+                matrix = points[starts[some][:, None] + np.arange(n)]
+                parts.append((some, *(self.merged(matrix) if self.merges else self.viterbi(matrix))))
         words = np.concatenate([p[0] for p in parts])
         flat = np.concatenate([p[1] for p in parts])
         counts = np.concatenate([p[2] for p in parts])
@@ -303,18 +372,19 @@ def _encoded(pieces: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.nd
     return pieces.encode(texts)
 
 
-def encode(docs: DataFrame, *, text: str = "text", path: str = MODEL, ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, *, text: str = "text", path: str = MODEL, ids: str = "ids", merges: bool = False) -> DataFrame:
     """``docs`` with the piece ids of ``text`` as the array column ``ids``.
 
     The segmentation is the one with the highest sum of piece scores, as SentencePiece
     defines it for its unigram models; of equal ones that with the longest last piece.
+    With ``merges`` it is that of SentencePiece's BPE models, for vocabularies of that kind.
     Characters that no piece has become the byte pieces of their UTF-8 form, so decoding
     restores every text.  Null stays null, the empty text has no ids.  A column named
     like ``ids`` is replaced; other columns stay.  Nothing is shuffled: the piece table
     (its size is that of the vocabulary) is broadcast, and texts are worked on in slices.
     """
     base = docs.select([c for c in docs.columns if c != ids])
-    shared = Shared(docs.sparkSession, load_pieces(path), Pieces)
+    shared = Shared(docs.sparkSession, load_pieces(path), functools.partial(Pieces, merges=merges))
     names = base.columns
 
     def run(batches):
@@ -356,14 +426,16 @@ def decode(docs: DataFrame, *, ids: str = "ids", path: str = MODEL, text: str =
     return base.mapInArrow(run, StructType(list(base.schema.fields)).add(text, StringType()))
 
 
-def encoded_and_checked(docs: DataFrame, *, text: str = "text", path: str = MODEL, ids: str = "ids", count: str = "n_tokens", same: str = "round_trip") -> DataFrame:
+def encoded_and_checked(
+    docs: DataFrame, *, text: str = "text", path: str = MODEL, ids: str = "ids", count: str = "n_tokens", same: str = "round_trip", merges: bool = False
+) -> DataFrame:
     """Ids, their number, and whether decoding them gives the text again, in one pass.
 
     The text itself is not in the result; the other columns are.  ``same`` is null where
     the text is null, and ``count`` is 0 there.
     """
     base = docs.select([c for c in docs.columns if c not in (ids, count, same)])
-    shared = Shared(docs.sparkSession, load_pieces(path), Pieces)
+    shared = Shared(docs.sparkSession, load_pieces(path), functools.partial(Pieces, merges=merges))
     names = base.columns
     rest = [c for c in names if c != text]
 

@@ -150,6 +150,22 @@ def test_as_the_library(pieces, library):
     assert same > 280 and lost < min(scores.values())
 
 
+@needs_pieces
+def test_merges_as_the_library():
+    """The other segmentation gives exactly the ids of the library's BPE mode."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    theirs, mine = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL), sp.Pieces(sp.load_pieces(), merges=True)
+    rng = random.Random(8)
+    syllables = ["tion", "the", "er", "ß", "é", "ing", "q", "上", "🙂", ".", "$$$", "0", "ou", "  ", "\n"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    texts += ["", "therefore" * 40, "x" * 300 + " ab$$$" * 40, "   "]
+    ids, counts = mine.encode(texts)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    for k, t in enumerate(texts):
+        assert ids[edges[k] : edges[k + 1]].tolist() == theirs.encode(t)
+    assert mine.decode(ids, counts) == texts
+
+
 @needs_pieces
 def test_long_words_and_long_texts(pieces, library, monkeypatch):
     word = "therefore" * 12

@@ -35,3 +35,25 @@ def test_stages(spark):
     last = out[-1].collect()
     assert {r.doc_id for r in last} == ids[4] and all(r.round_trip for r in last)
     assert {r.doc_id: tuple(r.ids) for r in cp.run(spark, SF).collect()} == {r.doc_id: tuple(r.ids) for r in last}
+
+
+ODD = [
+    (1, None, "en", "a", None), (2, "", None, None, 0), (3, " \n\t", "en", "a", 3), (3, " \n\t", "en", "a", 3), (None, "A text without an id, but with some words.", "en", "a", 9),
+    (4, "word " * 40_000, "fr", "b", 5), (5, "The same text twice in the table, row by row.", "en", "a", 5), (5, "The same text twice in the table, row by row.", "en", "a", 5),
+    (6, "東京 😀 \x00 ▁ é", None, "c", 1), (7, "x" * 100_000, "zz", None, 1),
+]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+@pytest.mark.parametrize("k", range(5))
+def test_odd_rows(spark, rows, k):
+    """Nulls, empty and very long texts, repeated rows, no rows and clashing columns."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, ids string, topic string, t1 int, rid int, line string"
+    docs = spark.createDataFrame([(*r, "k", "i", "t", 1, 2, "l") for r in rows], schema)
+    out = cp.STAGES[k][1](spark, docs, SF).collect()
+    if k in (1, 4):
+        assert len(out) == len(rows)
+    if k == 2 and rows:
+        assert sorted((r.doc_id for r in out), key=str) == sorted([1, 2, 3, 3, None, 4, 5, 6, 7], key=str)
+    if k == 4:
+        assert all(r.round_trip for r in out if r.ids is not None)
