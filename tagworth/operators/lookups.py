@@ -88,15 +88,20 @@ def to_usd_asof(
 
     Quotes become validity intervals that do not overlap (until the next quote or until
     they expire), cut at multiples of ``ttl``.  Each row then meets at most one quote by
-    an equality join on code and time slot, so a busy currency is spread over slots and
-    no row is multiplied.
+    an equality join on code and time slot, so a busy currency is spread over slots, also
+    where a quote looks for the next one, and no row is multiplied.
     """
-    by_code = Window.partitionBy("code").orderBy("as_of")
-    start = F.unix_micros(F.col("as_of").cast("timestamp"))
     span = ttl * 1_000_000
+    start = F.unix_micros(F.col("as_of").cast("timestamp"))
+    quotes = rates.withColumn("_from", start).withColumn("_own", F.floor(start / span))
+    # a quote that ends another before it expires lies in the same slot or opens the next one
+    in_slot = Window.partitionBy("code", "_own").orderBy("_from")
+    openings = quotes.groupBy(F.col("code").alias("_c"), (F.col("_own") - 1).alias("_s")).agg(F.min("_from").alias("_opening"))
+    followed = quotes.withColumn("_following", F.lead("_from").over(in_slot)).join(
+        openings, (F.col("code") == F.col("_c")) & (F.col("_own") == F.col("_s")), "left"
+    )
     intervals = (
-        rates.withColumn("_from", start)
-        .withColumn("_to", F.least(F.col("_from") + span, F.coalesce(F.lead(start).over(by_code), F.col("_from") + span)))
+        followed.withColumn("_to", F.least(F.col("_from") + span, F.coalesce("_following", "_opening", F.col("_from") + span)))
         .withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_from") / span), F.floor((F.col("_to") - 1) / span))))
         .select(F.col("code").alias("_code"), F.col("rate").alias("_rate"), "_from", "_to", F.col("_slot").alias("_rate_slot"))
     )
