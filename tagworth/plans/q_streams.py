@@ -20,7 +20,7 @@ def event_stream(spark, d, name, closing=False):
     events = load(spark, d, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet")
     if closing:
-        last = {"event_id": F.lit(0), "ts": F.lit("2200-01-01 00:00:00"), "event_type": F.lit("error")}
+        last = {"event_id": F.lit(0), "user_id": F.lit(0), "ts": F.lit("2200-01-01 00:00:00"), "event_type": F.lit("error")}
         row = spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
         path = shared_dir(spark)
         row.write.parquet(path)
@@ -74,7 +74,7 @@ def soft_block_stream(spark, d):
 )
 def soft_block_holds(spark, d):
     _exact(spark)
-    held = crawl.soft_block_holds(event_stream(spark, d, "crawl_events"), window_sec=3600, hold_sec=1800)
+    held = crawl.soft_block_holds(event_stream(spark, d, "crawl_events", closing=True), window_sec=3600, hold_sec=1800)
     return run_available(held, shared_dir(spark)).select("event_id", "hits", "hold_until")
 
 
@@ -91,7 +91,7 @@ cte(
 @query("quarantine_stream", "SELECT event_id, streak, hold_until FROM @quarantined")
 def quarantine_stream(spark, d):
     _exact(spark)
-    states = crawl.quarantine_stream(event_stream(spark, d, "crawl_events"), block_sec=36000, network_sec=18000)
+    states = crawl.quarantine_stream(event_stream(spark, d, "crawl_events", closing=True), block_sec=36000, network_sec=18000)
     return run_available(states, shared_dir(spark)).select("event_id", "streak", "hold_until")
 
 

@@ -35,47 +35,98 @@ def soft_block_stream(events: DataFrame, window_sec: int = 600, slide_sec: int =
     return alerts.select("domain", F.col("window.start").alias("from"), F.col("window.end").alias("until"), "hits")
 
 
-class _Holds(StatefulProcessor):
-    """Exact sliding count of a domain's block events and the hold it causes."""
+class _InOrder(StatefulProcessor):
+    """Hands the events of a key to ``step`` in event order.
 
-    def __init__(self, window: int, threshold: int, hold: int):
-        self.window, self.threshold, self.hold = window, threshold, hold
+    Events wait in the state until the watermark has passed them, since an earlier one may
+    come in a later batch; a timer of the earliest wakes the key.  So a key holds the
+    events of the allowed lateness and what ``step`` keeps, and results do not depend on
+    how events were dealt to files and batches.
+    """
+
+    PENDING = "at bigint, event_id bigint, ok boolean, kind string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getValueState("recent", "times array<bigint>, hold_until bigint")
+        self.pending = handle.getListState("pending", self.PENDING)
+        self.kept = handle.getValueState("kept", self.KEPT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["at", "event_id"])
-        times, until = ([], 0)
-        if self.recent.exists():
-            times, until = self.recent.get()
-        times, out = list(times), []
-        for event_id, at in zip(batch["event_id"], batch["at"]):
-            times = [t for t in times if t >= at - self.window] + [int(at)]
-            if len(times) >= self.threshold:
-                until = max(until, int(at) + self.hold)
-            out.append((key[0], int(event_id), int(at), len(times), until if until > at else None))
-        self.recent.update((times, until))
-        last = max(times[-1] + self.window, until)
-        self.handle.registerTimer(last // 1000 + 1)
-        frame = pd.DataFrame(out, columns=["domain", "event_id", "at", "hits", "hold_until"])
-        yield frame.astype({"hold_until": "Int64"})
+        first = None
+        for part in rows:
+            self.pending.appendList(
+                [(int(at), int(e), None if ok is None else bool(ok), kind) for at, e, ok, kind in zip(part["at"], part["event_id"], part["ok"], part["kind"])]
+            )
+            first = int(part["at"].min()) if first is None else min(first, int(part["at"].min()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.recent.exists():
-            times, until = self.recent.get()
-            if max(list(times)[-1] + self.window, until) < expiredTimerInfo.getExpiryTimeInMs() * 1000:
-                self.recent.clear()
-        yield from ()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.pending.get()) if self.pending.exists() else []
+        due = [e for e in waiting if e[0] < passed]
+        kept = self.kept.get() if self.kept.exists() else None
+        out = []
+        for at, event_id, ok, kind in due:
+            kept, row = self.step(kept, at, ok, kind)
+            out.append((*key, event_id, at, *row))
+        if due:
+            later = waiting[len(due) :]
+            if later:
+                self.pending.put(later)
+                self.handle.registerTimer(later[0][0] // 1000 + 1)
+            else:
+                self.pending.clear()
+        if kept is not None and self.over(kept, passed):
+            kept = None
+        if kept is None:
+            self.kept.clear()
+        else:
+            self.kept.update(kept)
+            if due:
+                self.handle.registerTimer(max(self.end(kept) // 1000 + 1, passed // 1000 + 1))
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS).astype({"hold_until": "Int64"})
 
     def close(self) -> None:
         pass
 
 
+class _Holds(_InOrder):
+    """Exact sliding count of a domain's block events and the hold it causes."""
+
+    KEPT = "times array<bigint>, hold_until bigint"
+    COLUMNS = ["domain", "event_id", "at", "hits", "hold_until"]
+
+    def __init__(self, window: int, threshold: int, hold: int):
+        self.window, self.threshold, self.hold = window, threshold, hold
+
+    def step(self, kept, at, ok, kind):
+        times, until = kept if kept is not None else ([], 0)
+        times = list(times)
+        old = 0
+        while old < len(times) and times[old] < at - self.window:
+            old += 1
+        times = [*times[old:], at]
+        if len(times) >= self.threshold:
+            until = max(until, at + self.hold)
+        return (times, until), (len(times), until if until > at else None)
+
+    def end(self, kept) -> int:
+        return max(list(kept[0])[-1] + self.window, kept[1])
+
+    def over(self, kept, passed: int) -> bool:
+        return self.end(kept) < passed
+
+
 def soft_block_holds(events: DataFrame, window_sec: int = 600, threshold: int = 2, hold_sec: int = 600, late: str = "10 minutes") -> DataFrame:
-    """Every block event with its sliding count and the hold in force after it."""
-    blocks = _micros(events).filter(is_block("error")).withWatermark("ts", late).select("domain", "event_id", "ts", "at")
+    """Every block event with its sliding count and the hold in force after it.
+
+    An event is given out when the watermark has passed it.
+    """
+    kind = F.coalesce(error_class("error"), F.lit("none")).alias("kind")
+    blocks = _micros(events).filter(is_block("error")).withWatermark("ts", late).select("domain", "event_id", "ts", "at", "ok", kind)
     return blocks.groupBy("domain").transformWithStateInPandas(
         statefulProcessor=_Holds(window_sec * 1_000_000, threshold, hold_sec * 1_000_000),
         outputStructType=HOLD_SCHEMA,
@@ -84,55 +135,40 @@ def soft_block_holds(events: DataFrame, window_sec: int = 600, threshold: int =
     )
 
 
-class _Quarantine(StatefulProcessor):
+class _Quarantine(_InOrder):
     """Failure streak and hold of one proxy on one domain."""
 
+    KEPT = "streak bigint, hold_until bigint"
+    COLUMNS = ["proxy", "domain", "event_id", "at", "streak", "hold_until"]
+
     def __init__(self, block_hold: int, network_hold: int, network_streak: int):
         self.block_hold, self.network_hold, self.network_streak = block_hold, network_hold, network_streak
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.health = handle.getValueState("health", "streak bigint, hold_until bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["at", "event_id"])
-        streak, until = self.health.get() if self.health.exists() else (0, 0)
-        out = []
-        for event_id, at, ok, kind in zip(batch["event_id"], batch["at"], batch["ok"], batch["kind"]):
-            if ok:
-                streak, until = 0, 0
-            else:
-                streak += 1
-                if kind in ("soft_block", "hard_block"):
-                    until = max(until, int(at) + self.block_hold)
-                elif kind == "network" and streak >= self.network_streak:
-                    until = max(until, int(at) + self.network_hold)
-            out.append((key[0], key[1], int(event_id), int(at), streak, until if until > at else None))
-        if streak:
-            self.health.update((streak, until))
-            if until:
-                self.handle.registerTimer(until // 1000 + 1)
-        else:
-            self.health.clear()
-        frame = pd.DataFrame(out, columns=["proxy", "domain", "event_id", "at", "streak", "hold_until"])
-        yield frame.astype({"hold_until": "Int64"})
+    def step(self, kept, at, ok, kind):
+        streak, until = kept if kept is not None else (0, 0)
+        if ok:
+            return None, (0, None)
+        streak += 1
+        if kind in ("soft_block", "hard_block"):
+            until = max(until, at + self.block_hold)
+        elif kind == "network" and streak >= self.network_streak:
+            until = max(until, at + self.network_hold)
+        return (streak, until), (streak, until if until > at else None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # an expired hold is dropped, the streak lives on until a success
-        if self.health.exists():
-            streak, until = self.health.get()
-            if until < expiredTimerInfo.getExpiryTimeInMs() * 1000:
-                self.health.update((streak, 0))
-        yield from ()
+    def end(self, kept) -> int:
+        return kept[1]
 
-    def close(self) -> None:
-        pass
+    def over(self, kept, passed: int) -> bool:
+        return False  # the streak lives on until a success
 
 
 def quarantine_stream(
     events: DataFrame, block_sec: int = 600, network_sec: int = 300, network_streak: int = 2, late: str = "10 minutes"
 ) -> DataFrame:
-    """Every finished fetch of rotating proxies with streak and hold of its proxy and domain."""
+    """Every finished fetch of rotating proxies with streak and hold of its proxy and domain.
+
+    An event is given out when the watermark has passed it.
+    """
     rows = (
         _micros(events)
         .filter((F.col("proxy_type") == "rotating") & F.col("ok").isNotNull())

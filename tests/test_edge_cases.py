@@ -71,7 +71,7 @@ EVENTS = "event_id bigint, ts timestamp, proxy string, proxy_type string, domain
 
 def events(spark, rows):
     """(minute, type, ok, error) of one proxy, as events."""
-    data = [(k, m * 60, "p", kind, "d", ok, error) for k, (m, kind, ok, error) in enumerate(rows)]
+    data = [(k, (m + 1000) * 60, "p", kind, "d", ok, error) for k, (m, kind, ok, error) in enumerate(rows)]
     return spark.createDataFrame(data, EVENTS.replace("timestamp", "bigint")).withColumn("ts", F.timestamp_seconds("ts"))
 
 
@@ -105,3 +105,50 @@ def test_a_group_of_equal_leads_is_cut_evenly(spark):
     assert out.where("rank <> pos + 1").count() == 0
     shares = df.repartitionByRange(8, "analysis_id", "section_rank", "pos").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert shares < 1000
+
+
+def dealt_stream(spark, rows, folder):
+    """Events as a stream of several files, read one by one in the order of their names."""
+    for k, part in enumerate(rows):
+        frame = events(spark, part).withColumn("event_id", F.col("event_id") + 100 * k)
+        frame.coalesce(1).write.parquet(f"{folder}/{k}")
+    schema = events(spark, rows[0]).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/*")
+
+
+def test_late_rows_give_the_batch_result(spark, tmp_path):
+    """Rows out of order over several files, the last of which closes the stream."""
+    from tagworth.plans.q_streams import _exact
+    from tagworth.streaming import crawl as c
+    from tagworth.streaming.run import run_available
+
+    parts = [
+        [(0, "rotating", False, "HTTP 403 access denied"), (9, "rotating", False, "Read timed out")],
+        [(4, "rotating", True, None), (3, "rotating", False, "Proxy blocked by target"), (12, "rotating", False, "HTTP 403 access denied")],
+        [(8, "rotating", False, "HTTP 403 access denied"), (10, "rotating", None, None), (15, "rotating", False, "Read timed out")],
+        [(100_000, "rotating", False, "HTTP 403 access denied")],
+    ]
+    whole = None
+    for k, part in enumerate(parts[:3]):
+        frame = events(spark, part).withColumn("event_id", F.col("event_id") + 100 * k)
+        whole = frame if whole is None else whole.unionAll(frame)
+    _exact(spark)
+    stream = dealt_stream(spark, parts, str(tmp_path / "in"))
+    held = run_available(c.soft_block_holds(stream, late="20 minutes"), str(tmp_path / "holds"))
+    want = crawl.soft_block_flags(whole).select("event_id", "hits", F.unix_micros("hold_until"))
+    assert sorted(map(tuple, held.select("event_id", "hits", "hold_until").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    states = run_available(c.quarantine_stream(stream, late="20 minutes"), str(tmp_path / "states"))
+    want = quarantine_states(whole).select("event_id", "streak", "hold_until")
+    assert sorted(map(tuple, states.select("event_id", "streak", "hold_until").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_repeats_after_the_cache_time_are_new(spark, tmp_path):
+    from tagworth.streaming.logs import dedupe_stream
+    from tagworth.streaming.run import run_available
+
+    rows = [[("h", 0), ("h", 50)], [("h", 90), ("g", 5000)], [("q", 6000)], [("h", 9000)], [("z", 90_000)]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "image_hash string, s bigint").select("image_hash", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("image_hash string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = run_available(dedupe_stream(stream, ttl_sec=100), str(tmp_path / "out")).collect()
+    assert sorted((r["image_hash"], int(r["ts"].timestamp())) for r in got)[0][0] == "g" and sum(r["image_hash"] == "h" for r in got) == 2
