@@ -216,9 +216,15 @@ def valid_price(c: ColumnOrName) -> Column:
     return F.when((t != "") & ~has_any(F.lower(t), fixed.PRICE_STOP_WORDS), let(parse_price(t), good))
 
 
-def plausible_price(price: Column) -> Column:
-    """Plausibility of a bare number, as :func:`is_valid_price_text` treats its text."""
-    return (price >= fixed.DEFAULT_MIN_PRICE) & (price <= fixed.DEFAULT_MAX_PRICE)
+def highest_price(currency: Column, max_price: dict[str, float] = fixed.MAX_PRICE) -> Column:
+    """The highest plausible amount in a currency; more than the default for small units."""
+    return F.greatest(lookup(currency, max_price), F.lit(fixed.DEFAULT_MAX_PRICE))
+
+
+def plausible_price(price: Column, currency: Column | None = None) -> Column:
+    """Plausibility of a bare number; the upper limit rises with the currency, if given."""
+    high = F.lit(fixed.DEFAULT_MAX_PRICE) if currency is None else highest_price(currency)
+    return (price >= fixed.DEFAULT_MIN_PRICE) & (price <= high)
 
 
 def asking_price(amount: ColumnOrName, currency: ColumnOrName, default: str = "RUB") -> Column:

@@ -16,7 +16,7 @@ from .. import fixed
 from ..functions import html as h
 from ..functions import objects as o
 from ..functions.base import any_of, blank_to_null, first_contained, has_any, let, text
-from ..functions.money import currency_code, parse_price, parse_price_lenient, plausible_price, valid_price
+from ..functions.money import currency_code, highest_price, parse_price, parse_price_lenient, plausible_price, valid_price
 from ..functions.status import (
     condition_from_text,
     condition_norm,
@@ -135,8 +135,10 @@ def is_catalog_page(site: Column, html: Column) -> Column:
 # --- prices -----------------------------------------------------------------------------
 
 
-def price_from_scripts(scripts: Column, limit: float = fixed.DEFAULT_MAX_PRICE, context: int = 100) -> Column:
-    """First price-like value up to ``limit`` in inline scripts, with a currency from the script.
+def price_from_scripts(scripts: Column, limit: float | None = None, context: int = 100) -> Column:
+    """First price-like value in inline scripts, with a currency from the script.
+
+    Values over ``limit``, or over what is plausible in their currency, are passed over.
 
     In a script the keys are tried in their order, wherever they stand; of the values of
     a key the first with a currency counts, else the last.  ``context`` characters on either
@@ -148,7 +150,8 @@ def price_from_scripts(scripts: Column, limit: float = fixed.DEFAULT_MAX_PRICE,
             value = F.replace(m["value"], F.lit(","), F.lit("")).try_cast("double")
             named = F.regexp_extract(s, "(?i)[\"']?(?:price)?currency[\"']?\\s*[:=]\\s*[\"']([A-Z]{3})[\"']", 1)
             near = parse_price(h.around(s, m, context, context))["currency"]
-            return _price(F.when(value <= limit, value), F.coalesce(blank_to_null(F.upper(named)), near))
+            found = F.struct(value.alias("v"), F.coalesce(blank_to_null(F.upper(named)), near).alias("c"))
+            return let(found, lambda x: _price(F.when(x["v"] <= (highest_price(x["c"]) if limit is None else F.lit(limit)), x["v"]), x["c"]))
 
         def of_key(key: str) -> Column:
             pattern = f"(?i)[\"']?\\b{key}[\"']?\\s*[:=]\\s*[\"']?([0-9][0-9,]*(?:\\.[0-9]+)?)"
@@ -167,16 +170,22 @@ def _first(prices: Column) -> Column:
     return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
 
 
-def price_universal(lines: Column, from_objects: Column, scripts: Column, html: Column) -> Column:
-    """Generic price: JSON-LD, scripts, short texts with a symbol, price elements, any short text."""
-    valid = lambda found: let(found, lambda p: F.when(plausible_price(p["price"]), p))
-    short = F.filter(lines, lambda t: (F.length(t) < 30) & t.rlike("[0-9]"))
-    data = F.regexp_extract(html, "(?i)\\sdata-(?:price|amount|value)\\s*=\\s*[\"']([^\"']{1,49})[\"']", 1)
+def price_universal(
+    lines: Column, from_objects: Column, scripts: Column, html: Column, short_text: int = 30, short_element: int = 50
+) -> Column:
+    """Generic price: JSON-LD, scripts, short texts with a symbol, price elements, any short text.
+
+    A text below ``short_text`` or an element or attribute below ``short_element`` characters
+    can be a price.  What is plausible depends on the currency.
+    """
+    valid = lambda found: let(found, lambda p: F.when(plausible_price(p["price"], p["currency"]), p))
+    short = F.filter(lines, lambda t: (F.length(t) < short_text) & t.rlike("[0-9]"))
+    data = F.regexp_extract(html, f"(?i)\\sdata-(?:price|amount|value)\\s*=\\s*[\"']([^\"']{{1,{short_element - 1}}})[\"']", 1)
     elements = F.transform(
         F.array(h.element_html(html, "span.price"), h.element_html(html, "div.price"), data), lambda t: h.text_of(t)
     )
     texts = F.concat(
-        F.filter(short, lambda t: t.rlike("[$€£¥₽]")), F.filter(elements, lambda t: F.length(t) < 50), short
+        F.filter(short, lambda t: t.rlike("[$€£¥₽]")), F.filter(elements, lambda t: F.length(t) < short_element), short
     )
     return F.coalesce(
         valid(from_objects), valid(price_from_scripts(scripts)), _first(F.transform(texts, valid_price))

@@ -59,6 +59,12 @@ def test_keys_of_a_script_in_their_order(spark):
     assert {r["id"]: r["p"] for r in wide.collect()}[2] == 12000.0
 
 
+def test_the_limit_follows_the_currency(spark):
+    df = spark.createDataFrame([(1, ['{"price": 120000, "currency": "JPY"}']), (2, ['{"price": 120000, "currency": "USD"}']), (3, ['{"price": 9500, "currency": "EUR"}'])], "id int, scripts array<string>")
+    got = {r["id"]: r["p"] for r in df.select("id", extract.price_from_scripts(F.col("scripts"))["price"].alias("p")).collect()}
+    assert got == {1: 120000.0, 2: None, 3: 9500.0}
+
+
 def test_without_a_product_id_any_object_counts(spark):
     df = spark.createDataFrame([(['{"sku": "77", "price": 150, "priceCurrency": "EUR"}'],)], "texts array<string>")
     objects = o.json_objects("texts")
