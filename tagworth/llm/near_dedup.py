@@ -152,8 +152,10 @@ def _open_members(members: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         return members.withColumn("c", F.col("cid"))
     named = members.join(found, members["cid"] == found["node"], "left").select("key", "cid", "n", "weight", F.coalesce("root", "cid").alias("c"))
+    named = stage(named, "near-named-members")
     mixed_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return named.join(mixed_, "key", "left_semi")
+    # staged, as other tables below that a hot key joins: only a join of two shuffles is split
+    return named.join(stage(mixed_, "near-mixed"), "key", "left_semi")
 
 
 def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -168,21 +170,6 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
 
 
-def _linkable(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The classes that can be linked at all, with their sets.
-
-    Shingles are ordered by the number of classes that have them.  Two sets with the
-    wanted similarity share one of the first ``n - ceil(n * percent / 100) + 1`` of each, and
-    shingles of one class only come first.  So a class with that many of its own links
-    with nobody, whatever passage it quotes.
-    """
-    every = classes.join(sets, "cid").select("cid", F.explode("keys").alias("key"))
-    often = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = every.join(often, "key").groupBy("cid").agg(F.count("*").alias("common"))
-    needed = F.floor((F.col("n") * percent + 99) / 100)
-    return classes.join(shared, "cid").where(F.col("common") >= needed).select("cid").join(sets, "cid")
-
-
 def _block_links(rows: DataFrame, percent: int, block: int = 200_000) -> DataFrame:
     """Links across components under one key, found block by block.
 
@@ -193,6 +180,7 @@ def _block_links(rows: DataFrame, percent: int, block: int = 200_000) -> DataFra
     """
     sizes = rows.groupBy("key", "c").agg(F.sum("n").alias("t")).groupBy("key").agg(F.max_by("c", F.struct("t", "c")).alias("big"), F.sum("t").alias("all"), F.max("t").alias("most"))
     sizes = sizes.select("key", "big", F.ceil(F.col("all") / block).alias("n_right"), F.ceil((F.col("all") - F.col("most")) / block).alias("n_left")).where("n_left > 0")
+    sizes = stage(sizes, "near-blocks")
     dealt = rows.join(sizes, "key")
 
     def numbers(n: str):
@@ -238,9 +226,8 @@ def class_links(sets: DataFrame, members: DataFrame, percent: int, stars: int =
     most others over all its bands and so lies in the middle of its group: a star of
     pairs, ``stars`` times around other such members.  Members that fall into one component
     need no comparison with each other.  What is left is compared across components:
-    within buckets of at most ``small`` members pair by pair; of larger ones, classes with
-    too much text of their own to be linked are set aside, and the others are compared
-    block by block.  So every linked pair of a bucket is compared or already connected,
+    within buckets of at most ``small`` members pair by pair, in larger ones block by block
+    (:func:`_block_links`).  So every linked pair of a bucket is compared or already connected,
     while a large group of near copies gives some pairs per member, not all pairs.
     """
     found = None
@@ -252,17 +239,16 @@ def class_links(sets: DataFrame, members: DataFrame, percent: int, stars: int =
             chance = F.pmod(F.xxhash64(F.lit(turn), "cid"), F.lit(1000)) / 1000
             rank = F.col("weight") * (1 if turn == 0 else 0.8 + 0.2 * chance)
             first = F.struct(rank.alias("r"), F.col("cid").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-            heads = open_.groupBy("key").agg(F.max(first).alias("s")).select("key", "s.x", "s.cx", "s.nx")
+            heads = stage(open_.groupBy("key").agg(F.max(first).alias("s")).select("key", "s.x", "s.cx", "s.nx"), "near-heads")
             pairs = open_.join(heads, "key").where((F.col("cx") != F.col("c")) & _fits("nx", "n", percent)).select(F.col("x").alias("a"), F.col("cid").alias("b"))
         else:
-            large = open_.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > small).select("key")
+            large = stage(open_.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > small).select("key"), "near-large")
             few = open_.join(large, "key", "left_anti").select("key", "cid", "n", "c")
             many = stage(open_.join(large, "key", "left_semi").select("key", "cid", "n", "c"), "near-many")
-            able = stage(_linkable(many.select("cid", "n").distinct(), sets, percent), "near-able")
             pairs = _cross_pairs(few, percent)
         links = _verified(pairs.distinct(), sets, percent)
         if turn == stars:
-            links = links.unionAll(_block_links(many.join(able, "cid"), percent))
+            links = links.unionAll(_block_links(many.join(sets, "cid"), percent))
         links = stage(links, "near-links")
         known = links if found is None else links.unionAll(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
         found = components(known)
