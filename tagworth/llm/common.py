@@ -91,7 +91,7 @@ class Shared:
 
     def get(self):
         if self.key not in _BUILT:
-            while len(_BUILT) > 3:  # tables of earlier queries
+            while len(_BUILT) > 1:  # tables of earlier queries; a query uses two at most
                 _BUILT.pop(next(iter(_BUILT)))
             _BUILT[self.key] = self.build(self.sent.value)
         return _BUILT[self.key]
