@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import binascii
+import inspect
 import itertools
 import math
 import random
@@ -300,3 +301,34 @@ def test_attention_learns_on_held_out_text(spark):
     trained = lm_scoring.lm_scores(docs, every=2, rounds=3).where("held_out").agg({"score": "sum"}).first()[0]
     start = lm_scoring.lm_scores(docs, every=2, rounds=0).where("held_out").agg({"score": "sum"}).first()[0]
     assert trained > 0.8 * start
+
+
+@pytest.mark.parametrize("lengths", [[1], [33, 1, 5, 32, 40, 3000], [1544, 1545, 1536, 8]])
+def test_gradient_steps_see_every_place_of_every_text_once(lengths):
+    """As set for production: of short texts as of long ones, with the past that scoring sees."""
+    every = inspect.signature(lm_scoring.lm_scores).parameters["every"].default
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    ids, end = np.arange(at[-1], dtype=np.int32), int(at[-1])
+    before, seen = {}, Counter()
+    for x, y, scored in lm_scoring.batches_of(*lm_scoring.segments(ids, at, end), every, 0):
+        for w in range(len(x)):
+            for i in np.flatnonzero(scored[w]):
+                seen[int(y[w, i])] += 1
+                before[int(y[w, i])] = x[w, : i + 1].tolist()
+    assert seen == Counter(range(end))
+    for r in range(len(lengths)):
+        seq = [end, *range(at[r], at[r + 1])]
+        for i in range(lengths[r]):
+            late = lm_scoring.CONTEXT - lm_scoring.STRIDE
+            start = 0 if i < lm_scoring.CONTEXT else (i - late) // lm_scoring.STRIDE * lm_scoring.STRIDE
+            assert before[int(at[r]) + i] == seq[start : i + 1]
+
+
+@needs_ranks
+def test_short_texts_teach_the_attention(spark):
+    """At the production settings; a part of the windows leaves texts of one window out."""
+    rng = random.Random(0)
+    parts = [["alpha", "beta", "gamma", "delta"], ["uno", "dos", "tres", "cuatro"]]
+    docs = frame(spark, [(k, " ".join(rng.choice(parts[k % 2]) for _ in range(10)), "en") for k in range(4000)])
+    trained, start = (lm_scoring.lm_scores(docs, **x).where("held_out").agg({"score": "sum"}).first()[0] for x in ({}, {"rounds": 0}))
+    assert trained > 0.72 * start
