@@ -332,3 +332,56 @@ def test_short_texts_teach_the_attention(spark):
     docs = frame(spark, [(k, " ".join(rng.choice(parts[k % 2]) for _ in range(10)), "en") for k in range(4000)])
     trained, start = (lm_scoring.lm_scores(docs, **x).where("held_out").agg({"score": "sum"}).first()[0] for x in ({}, {"rounds": 0}))
     assert trained > 0.72 * start
+
+
+def full_model(seed=1):
+    rng = np.random.default_rng(seed)
+    classes = lm_scoring.Classes(rng.integers(0, 50, 2000).astype(float))
+    return lm_scoring.Attention(classes.start()), classes, rng
+
+
+def test_trees_start_at_the_counts_and_stay_a_distribution():
+    model, classes, rng = full_model()
+    paths = classes.paths(np.arange(2000))
+    start = model.inside_scores(rng.normal(0, 1, (2000, lm_scoring.WIDTH)), paths)
+    assert start == pytest.approx(classes.log10_inside * math.log(10), abs=1e-4)
+    model.inside += rng.normal(0, 1, model.inside.shape).astype(np.float32)
+    p = np.exp(model.inside_scores(np.tile(rng.normal(0, 1, lm_scoring.WIDTH), (2000, 1)), paths))
+    assert np.bincount(classes.outputs, weights=p) == pytest.approx(1, abs=1e-4)
+
+
+def test_gradient_of_subwords():
+    model, classes, rng = full_model()
+    model.inside += rng.normal(0, 0.3, model.inside.shape).astype(np.float32)
+    x = rng.integers(0, lm_scoring.INPUTS, (3, lm_scoring.CONTEXT))
+    ids = rng.integers(0, 2000, x.shape)
+    scored = rng.random(x.shape) < 0.7
+    given = (x, classes.outputs[ids], scored, classes.paths(ids[scored]))
+    _, g = model.gradient(*given)
+    dense = np.zeros_like(model.inside)
+    dense[g["nodes"]] = g["inside"]
+    for name, values, slope in [("inside", model.inside, dense), *((n, model.w[n], g[n]) for n in model.w)]:
+        where = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+        keep, step = values[where], 2e-2
+        values[where] = keep + step
+        up, _ = model.gradient(*given)
+        values[where] = keep - step
+        down, _ = model.gradient(*given)
+        values[where] = keep
+        assert slope[where] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=1e-4), name
+
+
+def test_context_tells_subwords_of_a_class_apart():
+    """The past decides between two subwords of one class."""
+    counts = np.full(2000, 10.0)
+    classes = lm_scoring.Classes(counts)
+    tail = np.flatnonzero(classes.outputs == lm_scoring.OUTPUTS - 1)[:2]
+    a, b = np.flatnonzero(classes.inputs < 2)[:2]
+    text = np.array([a, tail[0], b, tail[1]] * 8, dtype=np.int32)
+    model, end = lm_scoring.Attention(classes.start()), 1999
+    rows = lm_scoring.segments(np.tile(text, 64), np.arange(0, 64 * 32 + 1, 32), end)
+    for turn in range(40):
+        model.train((classes.inputs[x], classes.outputs[y], s, classes.paths(y[s])) for x, y, s in lm_scoring.batches_of(*rows, 1, turn))
+    # with the classes alone known exactly, the counts inside would leave
+    left = classes.log10_inside[text].sum()
+    assert lm_scoring.attention_scores(model, classes, text, np.array([0, 32]), end)[0] > 0.5 * left
