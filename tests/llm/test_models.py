@@ -385,3 +385,26 @@ def test_context_tells_subwords_of_a_class_apart():
     # with the classes alone known exactly, the counts inside would leave
     left = classes.log10_inside[text].sum()
     assert lm_scoring.attention_scores(model, classes, text, np.array([0, 32]), end)[0] > 0.5 * left
+
+
+def test_limits_come_from_all_trusted_texts(spark):
+    """``train_rows`` bounds the model alone; a small language has its part of it and its own limits."""
+    rng = random.Random(5)
+    words = {"en": ["stone", "river", "walks"], "xx": ["qqzu", "zzoq", "uxqu"]}
+
+    def text(lang):
+        return " ".join(rng.choice(words[lang]) for _ in range(30))
+
+    rows = [(k, text("en"), "en") for k in range(1000)] + [(2000 + k, text("xx"), "xx") for k in range(60)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, 1) for i, _, _ in rows], "doc_id bigint, quality int")
+    good = spark.createDataFrame([(i, lang) for i, _, lang in rows], "trusted_id bigint, lang string")
+    ids = {r[0] for r in quality_kn.training_ids(good, 200).collect()}
+    assert len(ids) == 200 and sum(i >= 2000 for i in ids) == 60
+    assert quality_kn.training_ids(good, 2000).count() == len(rows)
+    out = quality_kn.quality_scores(docs, labels, train_rows=20, tail=0.05, min_docs=50).collect()
+    for first, last, lang in ((0, 2000, "en"), (2000, 3000, "xx")):
+        own = [r for r in out if first <= r.doc_id < last]
+        n = [len(r.text) + 1 for r in own]
+        assert abs(sum(r.z * math.sqrt(k) for r, k in zip(own, n)) / sum(n)) < 1e-6, lang  # the mean is that of all
+        lo, hi = np.quantile([r.z for r in own], [0.05, 0.95])
+        assert [r.kept for r in own if min(abs(r.z - lo), abs(r.z - hi)) > 2e-3] == [lo <= r.z <= hi for r in own if min(abs(r.z - lo), abs(r.z - hi)) > 2e-3]
