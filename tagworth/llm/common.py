@@ -97,6 +97,11 @@ class Shared:
         return _BUILT[self.key]
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a variant of it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

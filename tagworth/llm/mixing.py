@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, discard, free_name, stage
+from .common import WHITE_RUN, column, discard, free_name, stage
 
 DIMS = ("source", "lang", "topic")
 
@@ -54,26 +54,37 @@ def _normal(mass: DataFrame, dim: str) -> DataFrame:
     return mass.select(F.col(dim).alias("value"), (F.col("m") / F.lit(float(total or 1.0))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = 8) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = 8, small: int = 100_000) -> DataFrame:
     """Token weights of cells whose marginals meet the target shares.
 
     Iterative proportional fitting: for one dimension after the other, cell weights are
-    scaled so that the sum of every category is its share of all tokens.  ``sweeps``
-    rounds; each is staged, so plans stay short.  Cells, not documents, are shuffled.
+    scaled so that the sum of every category is its share of all tokens.  Each of the
+    ``sweeps`` rounds is staged, so plans stay short.
+
+    The shares are columns of the cell, joined once.  Up to ``small`` cells (counted) sit in
+    one partition, where a sweep is three window sums without any shuffle; more cells
+    are summed per category with combining and joined to the sums.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    size = cells.agg(F.sum("tokens"), F.count("*")).first()
+    total = F.lit(float(size[0] or 0))
     now = cells.withColumn("w", F.col("tokens").cast("double"))
-    last = None
+    for dim, shares in targets.items():
+        named = shares.select(F.col("value").alias("named"), F.col("share").alias("to_" + dim))
+        now = now.join(named, F.col(dim).eqNullSafe(F.col("named"))).drop("named")
+    last = now = stage(now, "mix-cells")
     for _ in range(sweeps):
-        for dim, shares in targets.items():
-            sums = now.groupBy(F.col(dim).alias("value")).agg(F.sum("w").alias("sum"))
-            factor = sums.join(shares.withColumnRenamed("value", "named"), F.col("value").eqNullSafe(F.col("named"))).select(
-                "value", F.when(F.col("sum") > 0, F.col("share") * total / F.col("sum")).otherwise(0.0).alias("factor")
-            )
-            now = now.join(factor, F.col(dim).eqNullSafe(F.col("value"))).withColumn("w", F.col("w") * F.col("factor")).drop("value", "factor")
+        if size[1] <= small:
+            now = now.coalesce(1)
+        for dim in targets:
+            if size[1] <= small:
+                sums = F.sum("w").over(Window.partitionBy(dim))
+                now = now.withColumn("w", F.when(sums > 0, F.col("w") * (F.col("to_" + dim) * total / sums)).otherwise(0.0))
+            else:
+                of = now.groupBy(F.col(dim).alias("value")).agg(F.sum("w").alias("sum"))
+                now = now.join(of, F.col(dim).eqNullSafe(F.col("value"))).drop("value")
+                now = now.withColumn("w", F.when(F.col("sum") > 0, F.col("w") * (F.col("to_" + dim) * total / F.col("sum"))).otherwise(0.0)).drop("sum")
         now = stage(now, "mix-cells")
-        if last is not None:
-            discard(last)
+        discard(last)
         last = now
     return now
 
@@ -131,7 +142,8 @@ def mix(
     Missing sources and languages are categories of their own.  Texts without words weigh
     nothing: their cell counts no tokens for them, but they share its probability.  A
     cell without any token has probability 0.  Rows with the same id are drawn together,
-    and rows without an id share one number.  An empty table gives an empty result.
+    and rows without an id share one number.  An empty table gives an empty result.  Texts
+    of any length are counted whole.  Further columns pass through, whatever their names.
 
     The table of cells meets the documents as a broadcast when it has at most
     ``broadcast_cells`` rows (counted first), and by a join otherwise.
@@ -147,28 +159,31 @@ def mix(
         "topic": given(cells, "topic", topic_shares, rest),
     }
     targets = {d: stage(t, "mix-target") for d, t in targets.items()}
-    raked = rake(cells.where("tokens > 0"), targets, sweeps)
+    raked = rake(cells.where("tokens > 0"), targets, sweeps, broadcast_cells)
     scale = calibrate(raked, keep)
+    top, tok, rate, prob, sel = names
+    base = docs.select([column(c) for c in docs.columns if c not in names])
+    taken = base.withColumns({n: F.lit(None) for n in names if n not in base.columns})
+    helper = {n: free_name(taken, "mix_" + n) for n in ("topic", "tokens", "source_of", "lang_of", "topic_of", "rate_of")}
     rates = raked.select(
-        F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"), (F.col("w") / F.col("tokens")).alias("c_rate")
-    )
+        F.col("source").alias(helper["source_of"]), F.col("lang").alias(helper["lang_of"]), F.col("topic").alias(helper["topic_of"]),
+        (F.col("w") / F.col("tokens")).alias(helper["rate_of"]),
+    )
     if rates.count() <= broadcast_cells:
         rates = F.broadcast(rates)
-    top, tok, rate, prob, sel = names
-    base = docs.select([c for c in docs.columns if c not in names])
-    hidden = {n: free_name(base, "__" + n) for n in ("topic", "tokens")}
-    own = docs.select(*base.columns, topic.alias(hidden["topic"]), token_count(F.col(text)).alias(hidden["tokens"]))
+    own = docs.select(*[column(c) for c in base.columns], topic.alias(helper["topic"]), token_count(F.col(text)).alias(helper["tokens"]))
     both = own.join(
         rates,
-        F.col("source").eqNullSafe(F.col("c_source")) & F.col("lang").eqNullSafe(F.col("c_lang")) & (F.col(hidden["topic"]) == F.col("c_topic")),
+        F.col("source").eqNullSafe(F.col(helper["source_of"])) & F.col("lang").eqNullSafe(F.col(helper["lang_of"])) & (F.col(helper["topic"]) == F.col(helper["topic_of"])),
         "left",
     )
-    p = F.least(F.lit(1.0), F.coalesce(F.col("c_rate"), F.lit(0.0)) * F.lit(scale))
+    found = F.coalesce(F.col(helper["rate_of"]), F.lit(0.0))
+    p = F.least(F.lit(1.0), found * F.lit(scale))
     return both.select(
-        *base.columns,
-        F.col(hidden["topic"]).alias(top),
-        F.col(hidden["tokens"]).alias(tok),
-        F.coalesce("c_rate", F.lit(0.0)).alias(rate),
+        *[column(c) for c in base.columns],
+        F.col(helper["topic"]).alias(top),
+        F.col(helper["tokens"]).alias(tok),
+        found.alias(rate),
         p.alias(prob),
         (unit(F.col(doc_id)) < p).alias(sel),
     )
