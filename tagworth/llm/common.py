@@ -96,6 +96,16 @@ class Shared:
             _BUILT[self.key] = self.build(self.sent.value)
         return _BUILT[self.key]
 
+    def end(self) -> None:
+        """Free the value on driver and executors; for results that are staged."""
+        self.sent.destroy()
+
+    def __getstate__(self):
+        return self.key, self.sent, self.build
+
+    def __setstate__(self, state) -> None:
+        self.key, self.sent, self.build = state
+
 
 def column(name: str) -> Column:
     """The column of exactly this name, dots included."""

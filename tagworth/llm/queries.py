@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fill_middle, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality_kn, quality_rules, sentencepiece_viterbi, warc
+from . import collocations, exact_dedup, fill_middle, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality_kn, quality_rules, sentencepiece_viterbi, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -295,3 +295,26 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")
     )
+
+
+@query(
+    "op11_phrases",
+    rf"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+    g AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS m) x WHERE len(w) >= m),
+    f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    c AS (
+        SELECT * FROM f x WHERE m >= 2 AND NOT EXISTS (
+            SELECT 1 FROM f y WHERE y.lang = x.lang AND y.m > x.m AND 100 * y.a >= 100 * x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))),
+    k AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM c),
+    s AS (
+        SELECT k.lang, k.phrase, k.a, k, x.a AS l, y.a AS r, n, ((1000::HUGEINT * k.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+        FROM k JOIN n USING (lang) JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ')
+        JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:k.m], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000""",
+)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=5, min_count=100, top=2000)
