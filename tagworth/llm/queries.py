@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, fill_middle, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality_kn, quality_rules, sentencepiece_viterbi, warc
+from . import collocations, cover_tree, exact_dedup, fill_middle, license_scan, line_dedup, lm_scoring, mixing, near_dedup, quality_kn, quality_rules, sentencepiece_viterbi, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -318,3 +318,22 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), max_words=5, min_count=100, top=2000)
+
+
+@query(
+    "op12_vector_links",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e,
+               embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+               AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e)
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+    FROM reach r LEFT JOIN n ON r.a = n.a GROUP BY r.a""",
+)
+def op12_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.vector_links(table(spark, sf_dir, "embeddings"), least=0.9)
