@@ -1,7 +1,7 @@
-"""Fields of raw html by regular expressions.
+"""Fields of raw html.
 
-Pages stay one row each; every function reads only the html column.  Parsing is not
-exact for nested elements of the same name, which the fields read here do not use.
+Pages stay one row each; every function reads only the html column.  One linear scan per
+page (:mod:`.scan`) gives tags, attributes, nesting and text; calls on the same column share it.
 """
 
 from __future__ import annotations
@@ -10,9 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .base import ColumnOrName, blank_to_null, has_any, let, squeeze, text
+from .scan import scan_page, scanner
 
-_HIDDEN = "(?is)<(script|style|noscript|template)\\b[^>]*>.*?</\\1\\s*>"
-_COMMENT = "(?s)<!--.*?-->"
 _ENTITIES = {
     "&nbsp;": " ", "&#160;": " ", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'",
     "&lt;": "<", "&gt;": ">", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&ndash;": "–",
@@ -31,61 +30,55 @@ def unescape(c: Column) -> Column:
 
 def text_of(fragment: Column) -> Column:
     """Squeezed text of an html fragment."""
-    return squeeze(unescape(F.regexp_replace(fragment, "<[^>]*>", " ")))
+    return squeeze(unescape(F.regexp_replace(fragment, "<[^<>]*>", " ")))
 
 
-def shown_html(html: ColumnOrName) -> Column:
-    """Html without scripts, styles, templates and comments."""
-    return F.regexp_replace(F.regexp_replace(text(html), _HIDDEN, " "), _COMMENT, " ")
+def page(html: ColumnOrName) -> Column:
+    """The scanned page; the functions below take html or what this gives."""
+    return scan_page(text(html))
 
 
-def visible_text(html: ColumnOrName) -> Column:
-    """Lower-case visible text of a page."""
-    return F.lower(text_of(shown_html(html)))
+def pick(html: ColumnOrName, *selectors: str) -> Column:
+    """Map of selectors (see :mod:`.scan`) to the text of their first element; others are absent."""
+    return scanner({}, list(selectors))(text(html), F.lit(None).cast("string"))["picked"]
 
 
-def page_title(html: ColumnOrName) -> Column:
-    return blank_to_null(text_of(F.regexp_extract(text(html), "(?is)<title[^>]*>(.*?)</title>", 1)))
+def _page(html: ColumnOrName, scanned: Column | None) -> Column:
+    return page(html) if scanned is None else scanned
 
 
-def heading(html: ColumnOrName, level: int = 1) -> Column:
-    return blank_to_null(text_of(F.regexp_extract(text(html), f"(?is)<h{level}\\b[^>]*>(.*?)</h{level}>", 1)))
+def shown_text(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
+    """Visible text of a page, squeezed."""
+    return F.array_join(_page(html, scanned)["lines"], " ")
 
 
-def links(html: ColumnOrName) -> Column:
-    return F.regexp_extract_all(text(html), F.lit("(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"']*)[\"']"), F.lit(1))
+def visible_text(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
+    """Lower-case visible text of a page."""
+    return F.lower(shown_text(html, scanned))
 
 
-def text_lines(html: ColumnOrName, limit: int | None = None) -> Column:
-    """Text nodes in order, empty ones dropped; ``limit`` drops longer ones."""
-    nodes = F.transform(F.split(shown_html(html), "<[^>]*>"), lambda t: squeeze(unescape(t)))
-    ok = lambda t: t != "" if limit is None else (t != "") & (F.length(t) <= limit)
-    return F.filter(nodes, ok)
+def page_title(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
+    return blank_to_null(_page(html, scanned)["title"])
 
 
-def raw_attribute(tag: Column, name: str) -> Column:
-    """Value of one attribute of an opening tag as written, null when absent or empty."""
-    both = F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*(\"[^\"]*\"|'[^']*')", 1)
-    return blank_to_null(F.trim(F.substring(both, F.lit(2), F.length(both) - 2)))
+def heading(html: ColumnOrName = "html", level: int = 1, scanned: Column | None = None) -> Column:
+    """Text of the first heading of a level from 1 to 3."""
+    return blank_to_null(_page(html, scanned)[f"h{level}"])
 
 
-def attribute(tag: Column, name: str) -> Column:
-    return unescape(raw_attribute(tag, name))
+def links(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
+    return _page(html, scanned)["links"]
 
 
-def meta_entries(html: ColumnOrName) -> Column:
+def text_lines(html: ColumnOrName = "html", limit: int | None = None, scanned: Column | None = None) -> Column:
+    """Text nodes in order, empty ones dropped; ``limit`` drops longer ones."""
+    lines = _page(html, scanned)["lines"]
+    return lines if limit is None else F.filter(lines, lambda t: F.length(t) <= limit)
+
+
+def meta_entries(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
     """``<meta>`` tags with a content as array of (key, content), in page order."""
-    tags = F.regexp_extract_all(text(html), F.lit("(?is)<meta\\b[^>]*>"), F.lit(0))
-    pairs = F.transform(
-        tags,
-        lambda t: F.struct(
-            F.lower(
-                F.coalesce(raw_attribute(t, "property"), raw_attribute(t, "name"), raw_attribute(t, "itemprop"))
-            ).alias("key"),
-            attribute(t, "content").alias("content"),
-        ),
-    )
-    return F.filter(pairs, lambda p: p["key"].isNotNull() & p["content"].isNotNull())
+    return _page(html, scanned)["metas"]
 
 
 def meta_get(entries: Column, *keys: str) -> Column:
@@ -104,22 +97,12 @@ def meta_values(html: ColumnOrName) -> Column:
     return let(meta_entries(html), build)
 
 
-def label_pairs(html: ColumnOrName) -> Column:
-    """(label, value) pairs of dt/dd and th/td neighbours; labels in lower case."""
+def label_pairs(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
+    """(label, value) pairs of dt/dd and th/td neighbours; labels in lower case.
 
-    def pairs(a: str, b: str) -> Column:
-        found = F.regexp_extract_all(
-            text(html), F.lit(f"(?is)<{a}\\b[^>]*>.*?</{a}>\\s*<{b}\\b[^>]*>.*?</{b}>"), F.lit(0)
-        )
-        return F.transform(
-            found,
-            lambda p: F.struct(
-                F.lower(text_of(F.regexp_extract(p, f"(?is)<{a}\\b[^>]*>(.*?)</{a}>", 1))).alias("label"),
-                text_of(F.regexp_extract(p, f"(?is)<{b}\\b[^>]*>(.*?)</{b}>", 1)).alias("value"),
-            ),
-        )
-
-    return F.concat(pairs("dt", "dd"), pairs("th", "td"))
+    Text of a table inside a cell belongs to the cells of that table.
+    """
+    return let(_page(html, scanned), lambda p: F.concat(p["terms"], p["cells"]))
 
 
 def label_value(pairs: Column, labels: list[str]) -> Column:
@@ -127,60 +110,22 @@ def label_value(pairs: Column, labels: list[str]) -> Column:
     return F.get(hit, F.lit(0))["value"]
 
 
-def element_pattern(selector: str) -> str:
-    """Regular expression for the inner html of the first element with an attribute.
-
-    ``.name`` looks for a class containing the name, ``#id`` for an exact id,
-    ``[attr=value]`` for an attribute containing the value; a tag name may come first.
-    """
-    tag, rest = "\\w+", selector
-    for i, ch in enumerate(selector):
-        if ch in ".#[":
-            tag, rest = selector[:i] or "\\w+", selector[i:]
-            break
-    if rest[0] == ".":
-        test = f"class\\s*=\\s*[\"'][^\"']*{rest[1:]}[^\"']*[\"']"
-    elif rest[0] == "#":
-        test = f"id\\s*=\\s*[\"']{rest[1:]}[\"']"
-    else:
-        attr, value = rest[1:-1].split("=", 1)
-        test = f"{attr}\\s*=\\s*[\"'][^\"']*{value}[^\"']*[\"']"
-    return f"(?is)<({tag})\\b[^>]*?\\s{test}[^>]*>(.*?)</\\1>"
-
-
-def element_html(html: ColumnOrName, selector: str) -> Column:
-    """Inner html of an element; :func:`text_of` turns it into text."""
-    return F.regexp_extract(text(html), element_pattern(selector), 2)
-
-
-def element_text(html: ColumnOrName, selector: str) -> Column:
-    return blank_to_null(text_of(element_html(html, selector)))
-
-
-def has_element(html: ColumnOrName, selector: str) -> Column:
-    return text(html).rlike(element_pattern(selector).split("(.*?)")[0])
-
-
-def scripts(html: ColumnOrName) -> Column:
+def scripts(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
     """Bodies of inline scripts."""
-    found = F.regexp_extract_all(text(html), F.lit("(?is)<script\\b[^>]*>(.*?)</script>"), F.lit(1))
-    return F.filter(found, lambda s: F.trim(s) != "")
+    return _page(html, scanned)["scripts"]
 
 
-def jsonld_texts(html: ColumnOrName) -> Column:
+def jsonld_texts(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
     """JSON-LD bodies without comment and CDATA wrappers."""
-    found = F.regexp_extract_all(
-        text(html), F.lit("(?is)<script\\b[^>]*type\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"), F.lit(1)
-    )
     clean = lambda t: F.trim(
         F.regexp_replace(
             F.trim(F.regexp_replace(F.trim(t), "^<!--|-->$", "")), "^(?://)?<!\\[CDATA\\[|(?://)?\\]\\]>$", ""
         )
     )
-    return F.filter(F.transform(found, clean), lambda t: t != "")
+    return F.filter(F.transform(_page(html, scanned)["jsonld"], clean), lambda t: t != "")
 
 
-def jsonld_blocks(html: ColumnOrName) -> Column:
+def jsonld_blocks(html: ColumnOrName = "html") -> Column:
     """Parsed JSON-LD blocks; a block with stray text around it is cut at its brackets."""
 
     def parse(t: Column) -> Column:
@@ -192,27 +137,18 @@ def jsonld_blocks(html: ColumnOrName) -> Column:
     return F.filter(F.transform(jsonld_texts(html), parse), lambda v: v.isNotNull())
 
 
-def site_hint(html: ColumnOrName) -> Column:
+def site_hint(html: ColumnOrName = "html") -> Column:
     """Lower-case text of canonical link, og:url, site name and card domain."""
 
-    def build(entries: Column) -> Column:
-        tag = F.regexp_extract(text(html), "(?is)<link\\b[^>]*rel\\s*=\\s*[\"']canonical[\"'][^>]*>", 0)
-        return F.lower(
-            F.concat_ws(
-                " ",
-                attribute(tag, "href"),
-                meta_get(entries, "og:url"),
-                meta_get(entries, "og:site_name"),
-                meta_get(entries, "twitter:domain"),
-            )
-        )
+    def build(p: Column) -> Column:
+        m = p["metas"]
+        return F.lower(F.concat_ws(" ", p["canonical"], meta_get(m, "og:url"), meta_get(m, "og:site_name"), meta_get(m, "twitter:domain")))
 
-    return let(meta_entries(html), build)
+    return let(page(html), build)
 
 
-def canonical_url(html: ColumnOrName) -> Column:
-    tag = F.regexp_extract(text(html), "(?is)<link\\b[^>]*rel\\s*=\\s*[\"']canonical[\"'][^>]*>", 0)
-    return F.coalesce(attribute(tag, "href"), meta_get(meta_entries(html), "og:url"))
+def canonical_url(html: ColumnOrName = "html", scanned: Column | None = None) -> Column:
+    return let(_page(html, scanned), lambda p: F.coalesce(p["canonical"], meta_get(p["metas"], "og:url")))
 
 
 def redirect_url(html: ColumnOrName) -> Column:

@@ -189,7 +189,8 @@ def parse_price_lenient(c: ColumnOrName) -> Column:
     return let(text(c), resolve)
 
 
-def _plausible(p: Column, max_price: dict[str, float], min_price: dict[str, float]) -> Column:
+def price_in_limits(p: Column, max_price: dict[str, float] = fixed.MAX_PRICE, min_price: dict[str, float] = fixed.MIN_PRICE) -> Column:
+    """Whether a parsed price is absent or lies between the limits of its currency."""
     high = F.coalesce(lookup(p["currency"], max_price), F.lit(fixed.DEFAULT_MAX_PRICE))
     low = F.coalesce(lookup(p["currency"], min_price), F.lit(fixed.DEFAULT_MIN_PRICE))
     return p["price"].isNull() | ((p["price"] <= high) & (p["price"] >= low))
@@ -206,13 +207,13 @@ def is_valid_price_text(
     t = text(c)
     around = F.lit("") if context is None else text(context)
     words = F.lower(F.concat_ws(" ", t, around))
-    return (t != "") & ~has_any(words, stop_words) & let(parse_price(t), lambda p: _plausible(p, max_price, min_price))
+    return (t != "") & ~has_any(words, stop_words) & let(parse_price(t), lambda p: price_in_limits(p, max_price, min_price))
 
 
 def valid_price(c: ColumnOrName) -> Column:
     """:func:`parse_price` of a text that passes :func:`is_valid_price_text`, else null."""
     t = text(c)
-    good = lambda p: F.when(p["price"].isNotNull() & _plausible(p, fixed.MAX_PRICE, fixed.MIN_PRICE), p)
+    good = lambda p: F.when(p["price"].isNotNull() & price_in_limits(p), p)
     return F.when((t != "") & ~has_any(F.lower(t), fixed.PRICE_STOP_WORDS), let(parse_price(t), good))
 
 

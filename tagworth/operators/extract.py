@@ -16,7 +16,8 @@ from .. import fixed
 from ..functions import html as h
 from ..functions import objects as o
 from ..functions.base import any_of, blank_to_null, first_contained, has_any, let, text
-from ..functions.money import currency_code, highest_price, parse_price, parse_price_lenient, plausible_price, valid_price
+from ..functions.money import currency_code, highest_price, parse_price, parse_price_lenient, plausible_price, price_in_limits, valid_price
+from ..functions.scan import scanner
 from ..functions.status import (
     condition_from_text,
     condition_norm,
@@ -35,6 +36,7 @@ from .site_rules import (
     DEFAULT_CURRENCY,
     DEFAULT_STATUS,
     PRODUCT_SIGNALS,
+    PRODUCT_TAGS,
     PROMO_CONTEXT,
     RULES,
     SCORED_PAYLOAD,
@@ -45,12 +47,19 @@ from .site_rules import (
     Rule,
 )
 
+# Sites that may show a product in spite of a block marker.
+SOFT_SITES = ("theluxurycloset", "therealreal")
+
 
 
 def _price(value: Column, currency: Column) -> Column:
     return F.when(value > 0, F.struct(value.alias("price"), currency.alias("currency")))
 
 
+def _first(prices: Column) -> Column:
+    return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
+
+
 # --- diagnosis --------------------------------------------------------------------------
 
 
@@ -63,8 +72,9 @@ def diagnose_pages(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     opt = lambda c: text(c) if c in have else F.lit("")
     raw = F.lower(text("html"))
-    base = df.withColumns(
-        {"_raw": raw, "_shown": h.visible_text("html"), "_title": F.lower(text(h.page_title("html")))}
+    page = F.col("_page")
+    base = df.withColumn("_page", h.page("html")).withColumns(
+        {"_raw": raw, "_shown": h.visible_text(scanned=page), "_title": F.lower(text(h.page_title(scanned=page)))}
     )
     both = F.concat_ws(" ", "_title", "_shown")
     hard = [(kind, first_contained(both, {w: w for w in words})) for kind, words in fixed.VISIBLE_BLOCK_MARKERS.items()]
@@ -110,16 +120,17 @@ def diagnose_pages(df: DataFrame) -> DataFrame:
 
 def has_price_signals(domain: Column, html: Column) -> Column:
     """Whether the html of three sites shows a price at all; true for other sites."""
-    meta = "(?is)<meta\\b[^>]*(?:product:price:amount|og:price:amount|itemprop=[\"']price[\"'])"
+    stated = F.exists(h.meta_entries(html), lambda e: e["key"].isin("product:price:amount", "og:price:amount", "price"))
+    offered = let(html, lambda x: F.substring(x, F.instr(F.lower(x), '"@type":"offer"'), F.length(x)).contains('"price"') & F.lower(x).contains('"@type":"offer"'))
     signals = {
-        "therealreal.com": "(?i)data-testid=[\"'][^\"']*product-price/final|product-price-info__(?:final|reduced)-price|" + meta,
-        "theluxurycloset.com": "(?i)newProductPrice|\"@type\":\"offer\".*\"price\"|" + meta,
-        "jolicloset.com": "(?i)id=[\"']product[\"']|addcartbutton|" + meta,
+        "therealreal.com": html.rlike("(?i)data-testid=[\"'][^\"']*product-price/final|product-price-info__(?:final|reduced)-price"),
+        "theluxurycloset.com": html.rlike("newProductPrice") | offered,
+        "jolicloset.com": html.rlike("(?i)id=[\"']product[\"']|addcartbutton"),
     }
     out = None
-    for site, pattern in signals.items():
+    for site, shown in signals.items():
         hit = domain.endswith(site)
-        out = F.when(hit, html.rlike(pattern)) if out is None else out.when(hit, html.rlike(pattern))
+        out = F.when(hit, shown | stated) if out is None else out.when(hit, shown | stated)
     return out.otherwise(F.lit(True))
 
 
@@ -155,35 +166,31 @@ def price_from_scripts(scripts: Column, limit: float | None = None, context: int
 
         def of_key(key: str) -> Column:
             pattern = f"(?i)[\"']?\\b{key}[\"']?\\s*[:=]\\s*[\"']?([0-9][0-9,]*(?:\\.[0-9]+)?)"
-            spans = F.filter(F.transform(h.match_spans(s, pattern, 1), amount), lambda p: p.isNotNull())
-            chosen = lambda found: F.coalesce(
-                F.get(F.filter(found, lambda p: p["currency"].isNotNull()), F.lit(0)), F.try_element_at(found, F.lit(-1))
-            )
-            return F.when(s.rlike(f"(?i)\\b{key}[\"']?\\s*[:=]"), let(spans, chosen))
-
-        return F.coalesce(*[of_key(key) for key in SCRIPT_PRICE_KEYS])
+            return F.when(s.rlike(f"(?i)\\b{key}[\"']?\\s*[:=]"), h.match_spans(s, pattern, 1))
 
-    return F.get(F.filter(F.transform(scripts, of_script), lambda p: p.isNotNull()), F.lit(0))
+        def chosen(spans: Column) -> Column:
+            found = F.filter(F.transform(spans, amount), lambda p: p.isNotNull())
+            return let(found, lambda x: F.coalesce(F.get(F.filter(x, lambda p: p["currency"].isNotNull()), F.lit(0)), F.try_element_at(x, F.lit(-1))))
 
+        return _first(F.transform(F.array(*[of_key(key) for key in SCRIPT_PRICE_KEYS]), chosen))
 
-def _first(prices: Column) -> Column:
-    return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(scripts, of_script), lambda p: p.isNotNull()), F.lit(0))
 
 
 def price_universal(
-    lines: Column, from_objects: Column, scripts: Column, html: Column, short_text: int = 30, short_element: int = 50
+    lines: Column, from_objects: Column, scripts: Column, html: Column, elements: Column | None = None, short_text: int = 30, short_element: int = 50
 ) -> Column:
     """Generic price: JSON-LD, scripts, short texts with a symbol, price elements, any short text.
 
-    A text below ``short_text`` or an element or attribute below ``short_element`` characters
-    can be a price.  What is plausible depends on the currency.
+    ``elements`` are texts of price elements, if they are known.  A text below ``short_text`` or an element or
+    attribute below ``short_element`` characters can be a price.  What is plausible depends
+    on the currency.
     """
     valid = lambda found: let(found, lambda p: F.when(plausible_price(p["price"], p["currency"]), p))
     short = F.filter(lines, lambda t: (F.length(t) < short_text) & t.rlike("[0-9]"))
     data = F.regexp_extract(html, f"(?i)\\sdata-(?:price|amount|value)\\s*=\\s*[\"']([^\"']{{1,{short_element - 1}}})[\"']", 1)
-    elements = F.transform(
-        F.array(h.element_html(html, "span.price"), h.element_html(html, "div.price"), data), lambda t: h.text_of(t)
-    )
+    elements = let(h.pick(html, "span.price", "div.price"), lambda m: F.array(F.try_element_at(m, F.lit("span.price")), F.try_element_at(m, F.lit("div.price")))) if elements is None else elements
+    elements = F.concat(F.transform(elements, text), F.array(h.unescape(data)))
     texts = F.concat(
         F.filter(short, lambda t: t.rlike("[$€£¥₽]")), F.filter(elements, lambda t: F.length(t) < short_element), short
     )
@@ -206,22 +213,22 @@ def scored_candidates(c: Column, rules: list[tuple[str, int, bool]], slug: Colum
         + F.when(has_any(low, ["__next_data__", '"offers"']), 6).otherwise(0)
     )
 
-    def of_rule(pattern: str, base: int, cents: bool) -> Column:
-        def candidate(m: Column) -> Column:
-            near = F.lower(h.around(c, m, 180, 180))
-            amount = F.replace(m["value"], F.lit(","), F.lit("")).try_cast("double")
-            value = amount / 100.0 if cents else amount
-            final = F.when(near.rlike("final|reduced"), 4).otherwise(0)
-            return F.struct(
-                (F.lit(base) + page_bonus + final).alias("score"),
-                m["pos"].alias("pos"),
-                F.when(~has_any(near, PROMO_CONTEXT), value).alias("price"),
-                F.coalesce(blank_to_null(F.upper(named)), F.lit("USD")).alias("currency"),
-            )
+    def candidate(m: Column) -> Column:
+        near = F.lower(h.around(c, m["span"], 180, 180))
+        amount = F.replace(m["span"]["value"], F.lit(","), F.lit("")).try_cast("double")
+        final = F.when(near.rlike("final|reduced"), 4).otherwise(0)
+        return F.struct(
+            (m["base"] + page_bonus + final).alias("score"),
+            m["span"]["pos"].alias("pos"),
+            F.when(~has_any(near, PROMO_CONTEXT), amount / m["parts"]).alias("price"),
+            F.coalesce(blank_to_null(F.upper(named)), F.lit("USD")).alias("currency"),
+        )
 
-        return F.transform(h.match_spans(c, pattern, 1), candidate)
+    def spans(pattern: str, base: int, cents: bool) -> Column:
+        parts = F.lit(100.0 if cents else 1.0)
+        return F.transform(h.match_spans(c, pattern, 1), lambda m: F.struct(m.alias("span"), F.lit(base).alias("base"), parts.alias("parts")))
 
-    every = F.concat(*[of_rule(*r) for r in rules])
+    every = F.transform(F.concat(*[spans(*r) for r in rules]), candidate)
     return F.filter(
         every, lambda x: (x["price"] > 0) & (x["price"] < fixed.MAX_REASONABLE_PRICE) & (x["score"] >= min_score)
     )
@@ -239,19 +246,36 @@ def nearby_price(script: Column, product_id: Column) -> Column:
 # --- the job ----------------------------------------------------------------------------
 
 
-def page_fields(pages: DataFrame) -> DataFrame:
-    """Pages with their reusable parts; the html itself is kept for site rules."""
-    return pages.withColumns(
+# Selectors of the rules that hold for every page.
+_PRICE_ELEMENTS = ["[itemprop=price]", "[data-test=price]", ".price", "#price", "span.amount", "div.amount"]
+_COMMON = [*_PRICE_ELEMENTS, "span.price", "div.price", "[buyer-country=]@buyer-country"]
+
+
+def _selectors(r: Rule) -> list[str]:
+    if r.kind in ("has", "element", "lenient", "attr", "html_price", "described", "labeled"):
+        return r.pattern.split(" || ")
+    return []
+
+
+def page_fields(pages: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """Pages with their reusable parts, from one scan that looks for what their site needs."""
+    by_site: dict[str, list[str]] = {site: list(PRODUCT_TAGS) for site in SOFT_SITES}
+    for r in rules:
+        by_site.setdefault(r.site, []).extend(_selectors(r))
+    page = F.col("_page")
+    site = F.col("site") if "site" in pages.columns else F.lit(None).cast("string")
+    return pages.withColumn("_page", scanner(by_site, _COMMON)(text("html"), site)).withColumns(
         {
-            "_entries": h.meta_entries("html"),
-            "_scripts": h.scripts("html"),
-            "_lines": h.text_lines("html"),
-            "_text": h.visible_text("html"),
-            "_allscripts": F.array_join(h.scripts("html"), "\n"),
+            "_entries": h.meta_entries(scanned=page),
+            "_scripts": h.scripts(scanned=page),
+            "_lines": h.text_lines(scanned=page),
+            "_shown": h.shown_text(scanned=page),
+            "_text": h.visible_text(scanned=page),
+            "_allscripts": F.array_join(h.scripts(scanned=page), "\n"),
         }
     ).withColumns(
         {
-            "_objects": o.json_objects(h.jsonld_texts("html")),
+            "_objects": o.json_objects(h.jsonld_texts(scanned=page)),
             "_state": o.json_objects(o.state_texts(F.col("_scripts"))),
             "_metacur": currency_code(
                 h.meta_get(F.col("_entries"), "product:price:currency", "og:price:currency", "priceCurrency", "currency")
@@ -260,40 +284,42 @@ def page_fields(pages: DataFrame) -> DataFrame:
     ).withColumn("_ldprice", o.price_from_objects(F.col("_objects")))
 
 
+def _picked(selector: str) -> Column:
+    """What the scan found for a selector, null when nothing fits."""
+    return F.try_element_at(F.col("_page.picked"), F.lit(selector))
+
+
 def _meta_candidate(keys: str) -> Column:
     """Meta content as text, with the currency the page states."""
     return _text_candidate(h.meta_get(F.col("_entries"), *keys.split(",")), F.col("_metacur"))
 
 
-def _attr(selector: str) -> Column:
-    element, name = selector.split("@")
-    tag = F.regexp_extract(text("html"), h.element_pattern(element).split("(.*?)")[0], 0)
-    return h.attribute(tag, name)
-
-
 def _slug() -> Column:
     return F.lower(F.regexp_extract(path_of("url"), "([^/]+)/*$", 1))
 
 
+def _candidate(shown: Column | None = None, price: Column | None = None, currency: Column | None = None, how: str = "plain") -> Column:
+    none = F.lit(None)
+    return F.struct(
+        (none.cast("string") if shown is None else shown).alias("text"),
+        (none.cast("double") if price is None else price).alias("price"),
+        (none.cast("string") if currency is None else currency).alias("currency"),
+        F.lit(how).alias("how"),
+    )
+
+
 def _money(found: Column) -> Column:
     """A found price as a candidate."""
-    return let(
-        found,
-        lambda p: F.struct(
-            F.lit(None).cast("string").alias("text"), p["price"].alias("price"), p["currency"].alias("currency")
-        ),
-    )
+    return let(found, lambda p: _candidate(None, p["price"], p["currency"]))
 
 
-def _text_candidate(t: Column, currency: Column | None = None) -> Column:
-    """A text still to be parsed, with a known currency if there is one."""
-    known = F.lit(None).cast("string") if currency is None else currency
-    return F.struct(t.alias("text"), F.lit(None).cast("double").alias("price"), known.alias("currency"))
+def _text_candidate(t: Column, currency: Column | None = None, how: str = "plain") -> Column:
+    """A text still to be parsed (see :func:`_settle`), with a known currency if there is one."""
+    return _candidate(t, None, currency, how)
 
 
 def _number_candidate(value: Column, currency: Column | None = None) -> Column:
-    known = F.lit(None).cast("string") if currency is None else currency
-    return F.struct(F.lit(None).cast("string").alias("text"), value.alias("price"), known.alias("currency"))
+    return _candidate(None, value, currency)
 
 
 def _price_rule(r: Rule) -> Column:
@@ -307,10 +333,10 @@ def _price_rule(r: Rule) -> Column:
             blank_to_null(F.upper(F.regexp_extract("_allscripts", "\"(?:currency_code|price_currency|priceCurrency)\"\\s*:\\s*\"([A-Z]{3})\"", 1))),
         ),
         "meta": lambda: _meta_candidate(r.pattern),
-        "element": lambda: _text_candidate(blank_to_null(h.element_html(html, r.pattern))),
-        "lenient": lambda: _money(parse_price_lenient(h.element_text(html, r.pattern))),
-        "attr": lambda: _number_candidate(F.replace(_attr(r.pattern), F.lit(","), F.lit(".")).try_cast("double")),
-        "html_price": lambda: _money(parse_price(F.regexp_extract(html, r.pattern, 1))),
+        "element": lambda: _text_candidate(blank_to_null(_picked(r.pattern))),
+        "lenient": lambda: _text_candidate(_picked(r.pattern), how="lenient"),
+        "attr": lambda: _number_candidate(F.replace(_picked(r.pattern), F.lit(","), F.lit(".")).try_cast("double")),
+        "html_price": lambda: _text_candidate(_picked(r.pattern), how="any"),
         "universal": lambda: _money(F.col("_universal")),
         "matched": lambda: _money(
             o.matched_price(
@@ -331,23 +357,29 @@ def _price_rule(r: Rule) -> Column:
     return kinds[r.kind]()
 
 
-def _settle(candidates: Column) -> Column:
-    """First candidate with a positive price; texts are parsed and checked here, once."""
+def _settle(candidates: Column, lenient: bool = True) -> Column:
+    """First candidate with a positive price; texts are parsed and checked here, once.
+
+    ``plain`` texts are numbers or plausible prices, ``lenient`` ones prices in any form
+    (of rules of sites only) and ``any`` ones prices without a check.
+    """
 
     def price(c: Column) -> Column:
         return let(h.text_of(c["text"]), lambda t: settled(c, t))
 
     def settled(c: Column, shown: Column) -> Column:
         number = F.replace(shown, F.lit(","), F.lit("")).try_cast("double")
-        plain = F.when(
-            number > 0, F.struct(number.alias("price"), F.lit(None).cast("string").alias("currency"))
-        )
-        parsed = F.coalesce(plain, valid_price(shown))
+        plain = F.when((c["how"] == "plain") & (number > 0), F.struct(number.alias("price"), F.lit(None).cast("string").alias("currency")))
+        fair = lambda p: (c["how"] == "any") | (~has_any(F.lower(shown), fixed.PRICE_STOP_WORDS) & price_in_limits(p))
+        checked = let(parse_price(shown), lambda p: F.when(p["price"].isNotNull() & fair(p), p))
+        parsed = F.coalesce(plain, F.when(c["how"] != "lenient", checked))
+        if lenient:
+            parsed = F.when(c["how"] == "lenient", parse_price_lenient(shown)).otherwise(parsed)
         own = F.when(c["price"] > 0, F.struct(c["price"].alias("price"), c["currency"].alias("currency")))
         known = let(
             parsed,
             lambda p: F.when(
-                p.isNotNull(),
+                p["price"] > 0,
                 F.struct(p["price"].alias("price"), F.coalesce(c["currency"], p["currency"]).alias("currency")),
             ),
         )
@@ -360,9 +392,9 @@ def _title_rule(r: Rule) -> Column:
     """Raw title of one rule; :func:`_read_title` cleans it."""
     return {
         "objects": lambda: o.name_from_objects(F.col("_objects")),
-        "heading": lambda: F.regexp_extract("html", "(?is)<h1\\b[^>]*>(.*?)</h1>", 1),
+        "heading": lambda: F.col("_page.h1"),
         "meta": lambda: h.meta_get(F.col("_entries"), *r.pattern.split(",")),
-        "element": lambda: h.element_html("html", r.pattern),
+        "element": lambda: _picked(r.pattern),
     }[r.kind]()
 
 
@@ -384,7 +416,8 @@ def _status_rule(r: Rule) -> Column:
         return o.matched_status(F.col("_objects"), F.col("_pid"))
     hit = {
         "text": lambda: F.col("_text").rlike(r.pattern),
-        "html": lambda: F.col("html").rlike(r.pattern),
+        "has": lambda: F.coalesce(*[_picked(k) for k in r.pattern.split(" || ")]).isNotNull(),
+        "script_has": lambda: F.exists("_scripts", lambda x: x.contains(r.pattern.split("||")[0]) & x.rlike(r.pattern.split("||")[1])),
         "value": lambda: F.col("_p").isNotNull(),
         "any_sold": lambda: F.exists("_objects", lambda x: F.lower(text(x["availability"])).rlike("out ?of ?stock|sold ?out|unavailable|no longer available")),
     }[r.kind]()
@@ -393,12 +426,11 @@ def _status_rule(r: Rule) -> Column:
 
 def _condition_rule(r: Rule) -> Column:
     """Candidate ``(how, text)`` of one rule."""
-    element = lambda: h.element_html("html", r.pattern)
+    element = lambda: _picked(r.pattern)
     how, value = {
         "element": lambda: ("norm", element()),
-        "attr": lambda: ("norm", _attr(r.pattern)),
+        "attr": lambda: ("norm", element()),
         "script": lambda: ("norm", F.regexp_extract("_allscripts", r.pattern, 1)),
-        "html_value": lambda: ("norm", F.regexp_extract("html", r.pattern, 1)),
         "described": lambda: ("described", element()),
         "labeled": lambda: ("labeled", element()),
         "rank": lambda: ("rank", F.regexp_extract(F.col("_text"), r.pattern, 1)),
@@ -457,9 +489,7 @@ def _page_currency() -> Column:
 
 def condition_country(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Condition and country: site block, JSON-LD, meta, label pairs, then page text."""
-    pairs = h.label_pairs("html")
-    shown = h.text_of(h.shown_html("html"))
-    base = df.withColumns({"_pairs": pairs, "_shown": shown})
+    base = df.withColumn("_pairs", h.label_pairs(scanned=F.col("_page")))
     named = lambda p: blank_to_null(F.trim(F.regexp_extract("_shown", p, 1)))
     by_regex = lambda p: F.get(F.filter("_entries", lambda e: e["key"].rlike(p)), F.lit(0))["content"]
     plain = lambda c: F.struct(F.lit("norm").alias("how"), c.alias("text"))
@@ -472,7 +502,7 @@ def condition_country(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     own = F.coalesce(_per_site(_condition_rule, rules, ("condition",), F.array), F.array().cast("array<struct<how:string,text:string>>"))
     places = ["country", "location", "ships from", "shipping from", "located in"]
     shop = F.regexp_extract("_allscripts", "Shopify\\.country\\s*=\\s*\"([A-Z]{2})\"", 1)
-    buyer = h.attribute(F.regexp_extract("html", "(?is)<[^>]*\\sbuyer-country\\s*=[^>]*>", 0), "buyer-country")
+    buyer = _picked("[buyer-country=]@buyer-country")
     spots = F.array(
         o.first_value(F.col("_objects"), "country"),
         by_regex("(?i)(?:geo\\.)?country"),
@@ -485,27 +515,25 @@ def condition_country(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     )
     condition = _first(F.transform(F.concat(own, common), _read_condition))
     country = _first(F.transform(spots, country_norm))
-    return base.withColumns({"condition": condition, "country": country}).drop("_pairs", "_shown")
+    return base.withColumns({"condition": condition, "country": country}).drop("_pairs")
 
 
 def listing_generic(df: DataFrame) -> DataFrame:
     """Generic listing columns ``g_title, g_price, g_currency, g_status`` of any page."""
-    html = F.col("html")
-    selectors = ["[itemprop=price]", "[data-test=price]", ".price", ".Price", "#price", "span.amount", "div.amount"]
     token = "(?i)[$€£]\\s*[0-9]{1,3}(?:[, ]?[0-9]{3})*(?:\\.[0-9]{2})?|[0-9]{1,3}(?:[, ]?[0-9]{3})*(?:\\.[0-9]{2})?\\s*(?:USD|EUR|GBP|CAD|AUD)"
     spots = F.transform(F.regexp_extract_all("_text", F.lit(token), F.lit(0)), lambda t: _text_candidate(t))
     first = F.array(
         _money(F.col("_ldprice")),
         _meta_candidate("price,product:price:amount,og:price:amount"),
-        *[_text_candidate(blank_to_null(h.element_html(html, s))) for s in selectors],
+        *[_text_candidate(blank_to_null(_picked(s))) for s in _PRICE_ELEMENTS],
     )
-    price = _settle(F.concat(first, spots))
+    price = _settle(F.concat(first, spots), lenient=False)
     sold = F.col("_text").rlike("\\bsold\\b|out of stock|unavailable|продано") | (
         o.status_from_objects(F.col("_objects")) == "Sold"
     )
     return df.withColumn("_g", price).withColumns(
         {
-            "g_title": F.coalesce(o.first_value(F.col("_objects"), "name", lambda x: F.lower(text(x["type"])).contains("product")), h.meta_get(F.col("_entries"), "og:title"), h.heading("html")),
+            "g_title": F.coalesce(o.first_value(F.col("_objects"), "name", lambda x: F.lower(text(x["type"])).contains("product")), h.meta_get(F.col("_entries"), "og:title"), h.heading(scanned=F.col("_page"))),
             "g_price": F.col("_g.price"),
             "g_currency": F.col("_g.currency"),
             "g_status": F.when(F.coalesce(sold, F.lit(False)), F.lit("Sold")).otherwise(F.lit("Available")),
@@ -522,14 +550,15 @@ def extract_listings(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """
     keep = [c for c in pages.columns if c not in ("html", "domain", "site")]
     base = pages if "blocked_hint" in pages.columns else pages.withColumn("blocked_hint", F.lit(False))
-    fields = page_fields(with_site(base)).withColumns(
-        {"_own": product_id_of("url"), "_canonical": product_id_of(h.canonical_url("html")), "_target": product_id_of(h.redirect_url("html"))}
+    fields = page_fields(with_site(base), rules).withColumns(
+        {"_own": product_id_of("url"), "_canonical": product_id_of(h.canonical_url(scanned=F.col("_page"))), "_target": product_id_of(h.redirect_url("html"))}
     )
     fields = fields.withColumn("_pid", F.coalesce("_canonical", "_own"))
     meta = condition_country(fields, rules)
     generic_sites = sorted({r.site for r in rules if r.kind == "universal"})
     universal = F.when(
-        F.col("site").isin(generic_sites), price_universal(F.col("_lines"), F.col("_ldprice"), F.col("_scripts"), F.col("html"))
+        F.col("site").isin(generic_sites),
+        price_universal(F.col("_lines"), F.col("_ldprice"), F.col("_scripts"), text("html"), F.array(_picked("span.price"), _picked("div.price"))),
     )
     offers = meta.withColumn("_universal", universal).withColumn("_c", _per_site(_price_rule, rules, ("price",), F.array))
     priced = offers.withColumns({"_p": _settle(F.col("_c")), "_t": _first(F.transform(_per_site(_title_rule, rules, ("title",), F.array), _read_title))})
@@ -541,8 +570,9 @@ def extract_listings(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     mismatch = (F.col("site") == "theluxurycloset") & redirect_mismatch(F.col("_own"), F.col("_canonical"), F.col("_target"))
     no_signal = ~F.col("html").rlike("(?i)pdp_buy_btn|add[-_]to[-_]bag|product:price:amount|og:price:amount|\"@type\"\\s*:\\s*\"Product\"")
     catalog = F.col("_p").isNull() & no_signal & is_catalog_page(F.col("site"), F.col("html"))
-    soft = F.col("site").isin("theluxurycloset", "therealreal")
-    marked = has_any(F.col("_text"), fixed.BLOCKED_TITLE_MARKERS) & ~F.col("html").rlike(PRODUCT_SIGNALS)
+    soft = F.col("site").isin(*SOFT_SITES)
+    product = F.col("html").rlike(PRODUCT_SIGNALS) | F.coalesce(*[_picked(k) for k in PRODUCT_TAGS]).isNotNull()
+    marked = has_any(F.col("_text"), fixed.BLOCKED_TITLE_MARKERS) & ~product
     blocked = (F.col("blocked_hint") & ~soft) | (soft & marked)
     closed = blocked | void | mismatch | catalog | (soft & sold & F.col("_p").isNull())
     own_price = F.when(~closed, F.col("_p.price"))
@@ -569,15 +599,15 @@ def page_snapshot(df: DataFrame, budget: int = 9000) -> DataFrame:
     """Compact page text of distinct telling lines under a character budget."""
     cut = lambda c, n: clean_text(c, n)
     wanted = ["title", "price", "amount", "currency", "availability", "stock", "condition", "product"]
+    page = F.col("_page")
     metas = F.transform(
-        F.filter(h.meta_entries("html"), lambda e: has_any(e["key"], wanted)),
+        F.filter(h.meta_entries(scanned=page), lambda e: has_any(e["key"], wanted)),
         lambda e: F.concat(F.lit("<meta "), e["key"], F.lit('="'), cut(e["content"], 260), F.lit('">')),
     )
-    data = F.transform(h.jsonld_texts("html"), lambda t: F.concat(F.lit("<script>"), cut(t, 1800), F.lit("</script>")))
-    tag = "(?is)<(h[1-3]|button|a|span|div|p)\\b[^>]*(?:price|status|stock|condition|availability)[^>]*>.*?</\\1>|<(h[1-3]|button)\\b[^>]*>.*?</\\2>"
-    tags = F.transform(F.regexp_extract_all(h.shown_html("html"), F.lit(tag), F.lit(0)), lambda t: cut(h.text_of(t), 220))
-    title = F.concat(F.lit("<title>"), F.coalesce(h.page_title("html"), F.lit("")), F.lit("</title>"))
-    body = F.concat(F.lit("<text>"), cut(h.text_of(h.shown_html("html")), 1600), F.lit("</text>"))
+    data = F.transform(h.jsonld_texts(scanned=page), lambda t: F.concat(F.lit("<script>"), cut(t, 1800), F.lit("</script>")))
+    tags = F.transform(page["telling"], lambda t: cut(t, 220))
+    title = F.concat(F.lit("<title>"), F.coalesce(h.page_title(scanned=page), F.lit("")), F.lit("</title>"))
+    body = F.concat(F.lit("<text>"), cut(h.shown_text(scanned=page), 1600), F.lit("</text>"))
     lines = F.filter(F.array_distinct(F.concat(F.array(title), metas, data, tags, F.array(body))), lambda t: F.length(t) >= 4)
     start = F.struct(F.lit(budget).alias("left"), F.expr("array()").cast("array<string>").alias("out"))
 
@@ -590,7 +620,7 @@ def page_snapshot(df: DataFrame, budget: int = 9000) -> DataFrame:
         )
 
     snapshot = F.aggregate(lines, start, step, lambda acc: F.array_join(acc["out"], "\n"))
-    return df.withColumn("snapshot", snapshot).drop("html")
+    return df.withColumn("_page", h.page("html")).withColumn("snapshot", snapshot).drop("html", "_page")
 
 
 def extracted_record(df: DataFrame, json: str = "record", current_currency: str | None = None) -> DataFrame:

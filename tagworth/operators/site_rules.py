@@ -3,11 +3,12 @@
 A rule is ``(site, field, level, kind, pattern)``; the lowest level with a value wins.
 Kinds: ``objects`` (JSON-LD), ``state`` (script JSON), ``script`` (regular expression on
 scripts, first group), ``meta`` (comma-separated keys), ``element`` (selector),
-``attr`` (selector@attribute), ``universal`` (generic price search), ``matched``
-(objects carrying the page's product id), ``scored`` (scored script prices), ``lines``
-(labelled text lines), ``anchor`` (lines near the buy button), ``heading`` (first h1),
-``label`` (dt/dd and th/td), ``html`` (pattern on html), ``text`` (pattern on visible
-text), ``value`` (the price was found).
+``lenient`` (selector, price in any form), ``attr`` (selector@attribute), ``universal`` (generic
+price search), ``matched`` (objects carrying the page's product id), ``scored`` (scored
+script prices), ``lines`` (labelled text lines), ``anchor`` (lines near the buy button),
+``heading`` (first h1), ``has`` (any of the selectors, separated by ``||``), ``script_has``
+(a word and a pattern in one script), ``text`` (pattern on visible text), ``value`` (the price
+was found).  Selectors are those of :mod:`tagworth.functions.scan`.
 """
 
 from __future__ import annotations
@@ -65,7 +66,6 @@ SOLD_VOIDS_PRICE = ["fashionphile", "yoogiscloset", "dallasdesignerhandbags"]
 STRICT_AVAILABILITY = ["poshmark"]
 
 _PRICE_META = "product:price:amount,og:price:amount,price"
-_BUTTON = "(?is)<(?:button|a)\\b[^>]*>(?:(?!</(?:button|a)>).)*"
 
 RULES: list[Rule] = [
     # ebay
@@ -84,7 +84,7 @@ RULES: list[Rule] = [
     Rule("ebay", "price", 10, "universal"),
     Rule("ebay", "available", 1, "objects"),
     Rule("ebay", "sold", 2, "text", "this listing was ended|listing has ended|sold out|out of stock"),
-    Rule("ebay", "available", 3, "html", "(?s)<span[^>]*>[^<]*(?:Buy It Now|Sofort-Kaufen|Achat immédiat)|id=[\"']binBtn_btn|<button[^>]*ux-call-to-action"),
+    Rule("ebay", "available", 3, "has", "span ~ Buy It Now|Sofort-Kaufen|Achat immédiat || [id=binBtn_btn] || button.ux-call-to-action"),
     Rule("ebay", "condition", 1, "element", ".x-item-condition-text"),
     # poshmark
     Rule("poshmark", "title", 1, "objects"),
@@ -100,8 +100,8 @@ RULES: list[Rule] = [
     Rule("poshmark", "price", 8, "element", ".listing__info"),
     Rule("poshmark", "price", 9, "universal"),
     Rule("poshmark", "available", 1, "objects"),
-    Rule("poshmark", "sold", 2, "html", "(?is)listing__inventory-status[^>]*>[^<]*(?:sold|out of stock|not for sale|no longer available)"),
-    Rule("poshmark", "available", 3, "html", _BUTTON + "Buy Now"),
+    Rule("poshmark", "sold", 2, "has", ".listing__inventory-status ~ (?i)sold|out of stock|not for sale|no longer available"),
+    Rule("poshmark", "available", 3, "has", "button ~ (?i)Buy Now || a ~ (?i)Buy Now"),
     Rule("poshmark", "condition", 1, "described", ".listing__description"),
     # vestiaire collective
     Rule("vestiairecollective", "title", 1, "element", "span[data-cy=productTitle_name]"),
@@ -113,7 +113,7 @@ RULES: list[Rule] = [
     Rule("vestiairecollective", "price", 5, "element", "span.product-price"),
     Rule("vestiairecollective", "price", 6, "element", "span.price-amount"),
     Rule("vestiairecollective", "price", 7, "universal"),
-    Rule("vestiairecollective", "available", 1, "html", "(?i)<button[^>]*data-cy=[\"']pdp_buy_btn"),
+    Rule("vestiairecollective", "available", 1, "has", "button[data-cy=pdp_buy_btn]"),
     Rule("vestiairecollective", "condition", 1, "labeled", "[data-cy=condition]"),
     # rebag
     Rule("rebag", "title", 1, "element", "#pdp__title"),
@@ -122,8 +122,8 @@ RULES: list[Rule] = [
     Rule("rebag", "price", 1, "universal"),
     Rule("rebag", "price", 2, "element", "#pdp__price"),
     Rule("rebag", "price", 3, "element", ".product-price"),
-    Rule("rebag", "sold", 1, "html", "(?is)id=[\"']pdp__get-notified[\"'][^>]*>\\s*<button[^>]*>[^<]*set back in stock alert"),
-    Rule("rebag", "available", 2, "html", "id=[\"']add-to-cart-button-input[\"']"),
+    Rule("rebag", "sold", 1, "has", "#pdp__get-notified ~ (?i)set back in stock alert"),
+    Rule("rebag", "available", 2, "has", "#add-to-cart-button-input"),
     Rule("rebag", "condition", 1, "element", "li.pdp__condition-item--selected"),
     Rule("rebag", "condition", 2, "script", "(?i)\\bCondition\\b\\s*:\\s*([A-Za-z][A-Za-z /'-]{1,40})"),
     # the luxury closet
@@ -137,10 +137,10 @@ RULES: list[Rule] = [
     Rule("theluxurycloset", "price", 5, "meta", _PRICE_META),
     Rule("theluxurycloset", "price", 6, "matched", "objects"),
     Rule("theluxurycloset", "price", 7, "nearby"),
-    Rule("theluxurycloset", "sold", 1, "html", "(?i)class=[\"'][^\"']*(?:soldOuttitle|outOfStock|soldout)"),
+    Rule("theluxurycloset", "sold", 1, "has", ".soldOuttitle || .outOfStock || .soldout"),
     Rule("theluxurycloset", "sold", 2, "text", "sold out|out of stock|currently unavailable|this item is sold"),
     Rule("theluxurycloset", "available", 3, "matched_status"),
-    Rule("theluxurycloset", "available", 4, "html", _BUTTON + "(?:add to bag|add to cart|buy now|shop now)"),
+    Rule("theluxurycloset", "available", 4, "has", "button ~ (?i)add to bag|add to cart|buy now|shop now || a ~ (?i)add to bag|add to cart|buy now|shop now"),
     Rule("theluxurycloset", "available", 5, "value"),
     Rule("theluxurycloset", "condition", 1, "element", ".ItemCondition__selectedIndex"),
     Rule("theluxurycloset", "condition", 2, "script", "(?i)\"(?:itemCondition|condition|selectedIndex)\"\\s*:\\s*\"([^\"]{2,40})\""),
@@ -148,8 +148,8 @@ RULES: list[Rule] = [
     Rule("fashionphile", "title", 1, "heading"),
     Rule("fashionphile", "price", 1, "element", "span.price-item"),
     Rule("fashionphile", "price", 2, "element", "span.price"),
-    Rule("fashionphile", "sold", 1, "html", "(?is)fp-pdp-badges__container[^>]*>(?:(?!</div>).)*(?:price__badge-sold-out|sold out)"),
-    Rule("fashionphile", "available", 2, "html", "(?is)<button[^>]*>(?:(?!</button>).)*Add to Bag|<button[^>]*id=[\"']ProductSubmitButton-template--"),
+    Rule("fashionphile", "sold", 1, "has", ".fp-pdp-badges__container .price__badge-sold-out || .fp-pdp-badges__container ~ (?i)sold out"),
+    Rule("fashionphile", "available", 2, "has", "button ~ (?i)Add to Bag || button[id=ProductSubmitButton-template--]"),
     Rule("fashionphile", "condition", 1, "attr", ".fp-condition-thermometer@aria-valuetext"),
     Rule("fashionphile", "condition", 2, "element", ".fp-font-weight--regular"),
     # jolicloset
@@ -158,21 +158,21 @@ RULES: list[Rule] = [
     Rule("jolicloset", "price", 1, "lenient", "span.price"),
     Rule("jolicloset", "price", 2, "lenient", "div.price"),
     Rule("jolicloset", "price", 3, "meta", "product:price:amount,og:price:amount"),
-    Rule("jolicloset", "sold", 1, "html", "class=[\"'][^\"']*(?:sold|Sold|outOfStock|out-of-stock)"),
+    Rule("jolicloset", "sold", 1, "has", ".sold || .outOfStock || .out-of-stock"),
     Rule("jolicloset", "sold", 2, "text", "sold out|out of stock|currently unavailable|vendu|ausverkauft"),
-    Rule("jolicloset", "available", 3, "html", "id=[\"']addCartButton|" + _BUTTON + "(?:add to cart|add to bag|buy now)"),
+    Rule("jolicloset", "available", 3, "has", "[id=addCartButton] || button ~ (?i)add to cart|add to bag|buy now || a ~ (?i)add to cart|add to bag|buy now"),
     Rule("jolicloset", "available", 4, "value"),
-    Rule("jolicloset", "condition", 1, "html_value", "(?i)itemconditions/[0-9]+[^>]*>\\s*([^<]{2,80})\\s*<"),
+    Rule("jolicloset", "condition", 1, "element", "[data-remote=itemConditions/]"),
     # yoogi's closet
     Rule("yoogiscloset", "title", 1, "element", "h1[itemprop=name]"),
     Rule("yoogiscloset", "title", 2, "heading"),
     Rule("yoogiscloset", "price", 1, "element", "span[itemprop=price]"),
     Rule("yoogiscloset", "price", 2, "universal"),
     Rule("yoogiscloset", "sold", 1, "any_sold"),
-    Rule("yoogiscloset", "sold", 2, "html", "(?is)(?:itemprop|property|name)=[\"'](?:product:)?availability[\"'][^>]*(?:out ?of ?stock|sold ?out|unavailable)"),
+    Rule("yoogiscloset", "sold", 2, "has", "[itemprop=availability] @~ (?i)out ?of ?stock|sold ?out|unavailable || [property=availability] @~ (?i)out ?of ?stock|sold ?out|unavailable || [name=availability] @~ (?i)out ?of ?stock|sold ?out|unavailable"),
     Rule("yoogiscloset", "sold", 3, "text", "recently sold|sold out|out of stock|no longer available|this item has sold"),
-    Rule("yoogiscloset", "sold", 4, "html", "(?is)<button[^>]*\\s(?:disabled|aria-disabled=[\"'](?:true|1))[^>]*>(?:(?!</button>).)*add to (?:shopping )?bag"),
-    Rule("yoogiscloset", "available", 5, "html", "(?is)<button[^>]*>(?:(?!</button>).)*add to (?:shopping )?bag"),
+    Rule("yoogiscloset", "sold", 4, "has", "button @~ (?i)\\s(?:disabled|aria-disabled=[\"\'](?:true|1)) ~ (?i)add to (?:shopping )?bag"),
+    Rule("yoogiscloset", "available", 5, "has", "button ~ (?i)add to (?:shopping )?bag"),
     Rule("yoogiscloset", "available", 6, "value"),
     # the realreal
     Rule("therealreal", "title", 1, "objects"),
@@ -188,9 +188,9 @@ RULES: list[Rule] = [
     Rule("therealreal", "price", 7, "scored", "scripts"),
     Rule("therealreal", "price", 8, "lines"),
     Rule("therealreal", "price", 9, "anchor"),
-    Rule("therealreal", "sold", 1, "html", "(?i)data-testid=[\"'][^\"']*sold|class=[\"'][^\"']*sold"),
+    Rule("therealreal", "sold", 1, "has", "[data-testid=sold] || .sold"),
     Rule("therealreal", "sold", 2, "text", "sold out|out of stock|this item has sold|this item is sold"),
-    Rule("therealreal", "available", 3, "html", "(?i)data-testid=[\"'][^\"']*add[-_]to[-_]bag|" + _BUTTON + "add to bag"),
+    Rule("therealreal", "available", 3, "has", "[data-testid=add-to-bag] || [data-testid=add_to_bag] || [data-testid=add-to_bag] || [data-testid=add_to-bag] || button ~ (?i)add to bag || a ~ (?i)add to bag"),
     Rule("therealreal", "available", 4, "objects"),
     Rule("therealreal", "condition", 1, "element", "li[data-testid=product-condition-active]"),
     # celebrityowned
@@ -199,15 +199,15 @@ RULES: list[Rule] = [
     Rule("celebrityowned", "price", 2, "element", "#ProductPrice"),
     Rule("celebrityowned", "price", 3, "element", "span.price"),
     Rule("celebrityowned", "price", 4, "element", "span[itemprop=price]"),
-    Rule("celebrityowned", "available", 1, "html", "(?is)<span[^>]*product-count[^>]*>[^0-9<]*0*[1-9]"),
+    Rule("celebrityowned", "available", 1, "has", "span.product-count ~ ^[^0-9]*0*[1-9]"),
     Rule("celebrityowned", "condition", 1, "described", "[itemprop=description]"),
     # a retro tale
     Rule("aretrotale", "title", 1, "element", "#sg-pdp-product-title"),
     Rule("aretrotale", "price", 1, "universal"),
     Rule("aretrotale", "price", 2, "element", "#sg-pdp-product-price"),
     Rule("aretrotale", "price", 3, "element", "span.price"),
-    Rule("aretrotale", "available", 1, "html", "(?s)<p[^>]*>(?:(?!</p>).)*ADD TO CART"),
-    Rule("aretrotale", "condition", 1, "html_value", "(?is)<p[^>]*uppercase[^>]*>\\s*<span[^>]*>([^<]{2,60})</span>"),
+    Rule("aretrotale", "available", 1, "has", "p ~ ADD TO CART"),
+    Rule("aretrotale", "condition", 1, "element", "p.uppercase span"),
     # dallas designer handbags
     Rule("dallasdesignerhandbags", "title", 1, "element", "h1.product"),
     Rule("dallasdesignerhandbags", "title", 2, "element", "h2.name"),
@@ -216,31 +216,31 @@ RULES: list[Rule] = [
     Rule("dallasdesignerhandbags", "price", 2, "element", "#ProductPrice-product-template"),
     Rule("dallasdesignerhandbags", "price", 3, "element", "span.price"),
     Rule("dallasdesignerhandbags", "sold", 1, "text", "sold out|out of stock|unavailable"),
-    Rule("dallasdesignerhandbags", "available", 2, "html", _BUTTON + "(?:add to cart|buy now)"),
-    Rule("dallasdesignerhandbags", "available", 3, "html", "(?is)productJson(?:(?!</script>).)*\"available\"\\s*:\\s*true"),
-    Rule("dallasdesignerhandbags", "available", 4, "html", "<span[^>]*class=[\"'][^\"']*in-stock"),
+    Rule("dallasdesignerhandbags", "available", 2, "has", "button ~ (?i)add to cart|buy now || a ~ (?i)add to cart|buy now"),
+    Rule("dallasdesignerhandbags", "available", 3, "script_has", "productJson||\"available\"\\s*:\\s*true"),
+    Rule("dallasdesignerhandbags", "available", 4, "has", "span.in-stock"),
     Rule("dallasdesignerhandbags", "condition", 1, "labeled", ".tags_condition"),
     Rule("dallasdesignerhandbags", "condition", 2, "rank", "(?is)condition details.{0,600}?\\brank\\s*([A-Za-z]{1,2})\\b"),
     # popchill
     Rule("popchill", "title", 1, "heading"),
     Rule("popchill", "price", 1, "meta", "og:price:amount,product:price:amount"),
     Rule("popchill", "price", 2, "objects"),
-    Rule("popchill", "price", 3, "html_price", "(?s)<span[^>]*>\\s*((?:NT\\$|HK\\$|TWD)\\s*[0-9][0-9,.]*)\\s*</span>"),
-    Rule("popchill", "available", 1, "html", "(?is)<main\\b.*<button\\b"),
+    Rule("popchill", "price", 3, "html_price", "span ~ ^(?:NT\\$|HK\\$|TWD)\\s*[0-9][0-9,.]*$"),
+    Rule("popchill", "available", 1, "has", "main button"),
     # designer exchange
     Rule("designerexchange", "title", 1, "element", "h4.pname"),
     Rule("designerexchange", "price", 1, "universal"),
     Rule("designerexchange", "price", 2, "element", ".prodetails-pricebox"),
     Rule("designerexchange", "price", 3, "element", "span.price"),
-    Rule("designerexchange", "available", 1, "html", "(?s)<a\\b[^>]*>(?:(?!</a>).)*ADD TO BASKET"),
+    Rule("designerexchange", "available", 1, "has", "a ~ ADD TO BASKET"),
     Rule("designerexchange", "condition", 1, "described", ".product-condition-container"),
     # ann's fabulous finds
     Rule("annsfabulousfinds", "title", 1, "element", "h1.title"),
     Rule("annsfabulousfinds", "price", 1, "element", "h2.actual-price"),
     Rule("annsfabulousfinds", "price", 2, "element", "span.price"),
     Rule("annsfabulousfinds", "price", 3, "element", "h2.price"),
-    Rule("annsfabulousfinds", "price", 4, "html_price", "(?s)<h2[^>]*>\\s*([^<]*\\$[^<]*)</h2>"),
-    Rule("annsfabulousfinds", "available", 1, "html", "id=[\"']add_to_cart[\"']"),
+    Rule("annsfabulousfinds", "price", 4, "html_price", "h2 ~ \\$"),
+    Rule("annsfabulousfinds", "available", 1, "has", "#add_to_cart"),
     Rule("annsfabulousfinds", "condition", 1, "element", ".aff_star_rating"),
 ]
 
@@ -277,8 +277,9 @@ CATALOG_RULES = {
 SCRIPT_PRICE_KEYS = [
     "price", "priceValue", "currentPrice", "salePrice", "finalPrice", "soldPrice", "amount", "value",
 ]
-# Signs of a product page behind a block marker.
+# Signs of a product page behind a block marker: tags and words.
+PRODUCT_TAGS = ("link @~ (?i)/products/", "meta @~ (?i)/products/")
 PRODUCT_SIGNALS = (
-    "(?is)<(?:link|meta)\\b[^>]*/products/|product-price/final|add-to-bag|ProductDetailsCard__productName|"
+    "(?is)product-price/final|add-to-bag|ProductDetailsCard__productName|"
     "ProductPriceV2__newProductPrice|ItemCondition__selectedIndex|soldOuttitle|\"@type\"\\s*:\\s*\"Product\""
 )
