@@ -11,6 +11,7 @@ from .. import fixed
 from ..functions.base import text
 from ..functions.urls import canonical_key, domain_of, is_ebay
 from .groups import beyond_top, first_rows, rank_in_group, top_k
+from .membership import BITS, not_in_set
 from .routing import as_rejected, exact_rank, place
 
 A = ["analysis_id"]
@@ -115,9 +116,15 @@ def dedupe_canonical(df: DataFrame, order: list[Column] | None = None) -> DataFr
     return first_rows(keyed, [*A, "canonical_key"], order or place(df))
 
 
-def exclude_seen(df: DataFrame, seen: DataFrame, on: tuple[str, ...] = ("analysis_id", "url")) -> DataFrame:
-    """Rows whose key does not occur in ``seen``."""
-    return df.join(seen.select(*on).distinct(), list(on), "left_anti")
+def exclude_seen(
+    df: DataFrame, seen: DataFrame, on: tuple[str, ...] = ("analysis_id", "url"), bitmaps: DataFrame | None = None, bits: int = BITS
+) -> DataFrame:
+    """Rows whose key does not occur in ``seen``.
+
+    Bitmaps of the seen keys (:mod:`.membership`) decide most new rows where they are; only
+    rows that may have been seen are shuffled for the exact comparison.
+    """
+    return not_in_set(df, seen, list(on), bitmaps, bits)
 
 
 def upsert_by_url(base: DataFrame, refined: DataFrame) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.automaton import Automaton
 from ..functions.base import text
 from ..functions.urls import catalog_reason, domain_of, is_product_page
 from ..functions.words import brand_of, brand_token, ngrams
@@ -67,22 +71,42 @@ def infer_brand(
     )
 
 
-def detect_brand(df: DataFrame, column: str, aliases: DataFrame, key: list[str]) -> DataFrame:
+def detect_brand(df: DataFrame, column: str, aliases: DataFrame, key: list[str], most_aliases: int = 200_000) -> DataFrame:
     """Brand by a table of aliases of any size, longest alias first.
 
-    Texts are cut into word runs, as long as the longest alias, that meet the aliases by
-    equality; ``key`` names the row key.  For the built-in aliases :func:`brand_of` needs no join.
+    Up to ``most_aliases`` aliases (counted) go to the tasks as one automaton, through which
+    texts pass word by word in place, without a shuffle.  With more, texts are cut into
+    word runs, as long as the longest alias, that meet the aliases by equality; ``key``
+    then names the row key.  For the built-in aliases :func:`brand_of` needs neither.
     """
     words = F.filter(F.split(brand_token(column), " "), lambda w: w != "")
+    known = aliases.select("alias", "alias_len", "brand").limit(most_aliases + 1).collect()
+    if len(known) <= most_aliases:
+        return df.withColumn("brand", _brand_finder(df.sparkSession, known)(words))
     longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     runs = F.concat(*[ngrams(F.col("_w"), n) for n in range(1, longest + 1)])
     grams = df.select(*key, words.alias("_w")).select(*key, F.explode(F.array_distinct(runs)).alias("alias"))
     found = grams.join(aliases, "alias").groupBy(*key).agg(
-        F.max_by("brand", F.struct("alias_len", "alias")).alias("brand")
+        F.max_by("brand", F.struct("alias_len", "alias", "brand")).alias("brand")
     )
     return df.join(found, key, "left")
 
 
+def _brand_finder(spark: SparkSession, known: list):
+    """A function from an array of words to the brand of the longest alias in it."""
+    rows = sorted({(r["alias_len"], r["alias"], r["brand"]) for r in known if r["alias"] and r["brand"] is not None})
+    sent = spark.sparkContext.broadcast((Automaton([a for _, a, _ in rows], range(len(rows))), [b for *_, b in rows]))
+
+    @F.arrow_udf("string")
+    def find(words: pa.Array) -> pa.Array:
+        automaton, brands = sent.value
+        sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rank = automaton.find(words.flatten(), sizes)
+        return pa.array(brands, pa.string()).take(pa.array(np.where(rank < 0, 0, rank), mask=rank < 0)) if brands else pa.nulls(len(words), pa.string())
+
+    return find
+
+
 def brand_gate(df: DataFrame, targets: DataFrame) -> DataFrame:
     """Keep rows unless both brands are known and differ."""
     joined = df.join(targets.select("analysis_id", "target_brand"), "analysis_id", "left")

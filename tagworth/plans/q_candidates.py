@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import urls, words
 from ..operators import candidates as c
+from ..operators import membership
 from ..operators import routing as r
 from ..sources import search
 from ..sources.dims import brand_dim
@@ -488,6 +489,20 @@ def keep_range_rejected(spark, d):
     return c.keep_range_rejected(kept).select("analysis_id", "url")
 
 
+@query(
+    "exclude_seen_days",
+    """SELECT pos FROM @cands c WHERE NOT EXISTS (SELECT 1 FROM @cands s WHERE s.section_rank IN (0, 1)
+       AND s.analysis_id = c.analysis_id AND s.url = c.url)""",
+)
+def exclude_seen_days(spark, d):
+    """Two parts of the seen rows, each with bitmaps of its own that are merged."""
+    cands = fixture(spark, d, "cands")
+    on = ["analysis_id", "url"]
+    parts = [cands.filter(F.col("section_rank") == k) for k in (0, 1)]
+    bitmaps = membership.merged_bitmaps(*[membership.key_bitmaps(p.dropna(subset=on), on, 20) for p in parts])
+    return c.exclude_seen(cands, parts[0].unionByName(parts[1]), bitmaps=bitmaps, bits=20).select("pos")
+
+
 @query(
     "exclude_seen",
     """SELECT pos FROM @cands c WHERE NOT EXISTS (SELECT 1 FROM @cands s WHERE s.section_rank = 0
