@@ -127,6 +127,7 @@ def mix(
     keep: float = 0.5,
     sweeps: int = 8,
     broadcast_cells: int = 100_000,
+    small_cells: int = 100_000,
     names: Sequence[str] = ("topic", "tokens", "rate", "probability", "selected"),
 ) -> DataFrame:
     """Documents with their weight in a mix of given marginal shares, and a sample of it.
@@ -145,6 +146,7 @@ def mix(
     and rows without an id share one number.  An empty table gives an empty result.  Texts
     of any length are counted whole.  Further columns pass through, whatever their names.
 
+    Up to ``small_cells`` cells are raked in one partition, more by joins (:func:`rake`).
     The table of cells meets the documents as a broadcast when it has at most
     ``broadcast_cells`` rows (counted first), and by a join otherwise.
     """
@@ -159,7 +161,7 @@ def mix(
         "topic": given(cells, "topic", topic_shares, rest),
     }
     targets = {d: stage(t, "mix-target") for d, t in targets.items()}
-    raked = rake(cells.where("tokens > 0"), targets, sweeps, broadcast_cells)
+    raked = rake(cells.where("tokens > 0"), targets, sweeps, small_cells)
     scale = calibrate(raked, keep)
     top, tok, rate, prob, sel = names
     base = docs.select([column(c) for c in docs.columns if c not in names])

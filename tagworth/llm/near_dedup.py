@@ -175,8 +175,10 @@ def _block_links(rows: DataFrame, percent: int, block: int = 200_000) -> DataFra
 
     Members outside the largest component of a key, and all its members, are dealt into
     blocks of some ``block`` shingles; every pair of blocks is a group of its own, in which
-    sets are compared in numpy and only links come out.  Blocks bound the memory of a
-    group and spread a large key over many tasks.
+    sets are compared in numpy.  Union-find over the components of a group, as they are
+    known so far, leaves out comparisons inside one and lets only a spanning forest out:
+    fewer links than components.  Blocks bound the memory of a group and spread a large
+    key over many tasks.
     """
     sizes = rows.groupBy("key", "c").agg(F.sum("n").alias("t")).groupBy("key").agg(F.max_by("c", F.struct("t", "c")).alias("big"), F.sum("t").alias("all"), F.max("t").alias("most"))
     sizes = sizes.select("key", "big", F.ceil(F.col("all") / block).alias("n_right"), F.ceil((F.col("all") - F.col("most")) / block).alias("n_left")).where("n_left > 0")
@@ -204,13 +206,22 @@ def _block_links(rows: DataFrame, percent: int, block: int = 200_000) -> DataFra
             code[known[code] != yk] = len(known)
             begin = np.concatenate([[0], np.cumsum(yn)])[:-1]
             edges = np.concatenate([[0], np.cumsum(xn)])
+            names = np.unique(np.concatenate([xc, yc]))
+            px, py = np.searchsorted(names, xc), np.searchsorted(names, yc)
+            root = np.arange(len(names))  # of each component, as far as it is joined here
             for k in range(len(xi)):
+                apart = root[py] != root[px[k]]
+                if not apart.any():
+                    continue
                 held = np.zeros(len(known) + 1, dtype=np.int32)
                 held[np.searchsorted(known, xk[edges[k] : edges[k + 1]])] = 1
                 both = np.add.reduceat(held[code], begin)
-                hit = np.flatnonzero((both * 100 >= (xn[k] + yn - both) * percent) & (yc != xc[k]))
-                a.append(np.full(len(hit), xi[k]))
-                b.append(yi[hit])
+                hit = np.flatnonzero(apart & (both * 100 >= (xn[k] + yn - both) * percent))
+                if len(hit):  # one link to each component that is new to this one
+                    joined, one = np.unique(root[py[hit]], return_index=True)
+                    a.append(np.full(len(joined), xi[k]))
+                    b.append(yi[hit[one]])
+                    root[np.isin(root, joined)] = root[px[k]]
         none = np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.concatenate([*a, none]), pa.int64()), "b": pa.array(np.concatenate([*b, none]), pa.int64())})
 

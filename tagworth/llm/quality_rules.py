@@ -15,26 +15,30 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rule:
-    """A measured quantity and how far from the middle half of its group it may lie.
+    """A measured quantity and how far beyond a quantile of its group it may lie.
 
-    ``slack`` is the least allowed distance from the quartile, ``spread`` the allowed
-    distance in quartile ranges.  ``low`` also bounds the quantity from below.
+    The upper limit is the ``percent`` quantile plus ``times`` its distance to the median, or
+    plus ``floor`` where no group shows any distance.  ``low`` also bounds the quantity
+    from below, by the mirrored quantile.
     """
 
     name: str
-    slack: int
-    spread: int = 4
+    percent: int
+    times: int
+    floor: int
     low: bool = False
 
 
-# Units: per 1000 words, per 1000 lines, and hundredths of a character.
+# Units: per 1000 words, per 1000 lines, and hundredths of a character.  Symbols and word
+# lengths of bad texts lie far out, and such texts may be many: quartiles stand them.
 RULES = (
-    Rule("symbols", 150),
-    Rule("shouts", 250),
-    Rule("dup_lines", 500),
-    Rule("repeats", 200),
-    Rule("word_length", 150, low=True),
+    Rule("symbols", 75, 4, 50),
+    Rule("shouts", 99, 6, 50),
+    Rule("dup_lines", 99, 2, 100),
+    Rule("repeats", 99, 2, 50),
+    Rule("word_length", 75, 12, 20, low=True),
 )
+TAIL_DOCS = 3
 
 
 def window_keys(words: Column, width: int = WINDOW) -> Column:
@@ -141,72 +145,61 @@ def sketches(measures: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketch: DataFrame) -> DataFrame:
-    """Quartiles and sizes of merged sketches; the window runs over buckets, not rows."""
+def _by_rule(rules: tuple[Rule, ...], field: str) -> Column:
+    return F.element_at(F.array(*[F.lit(getattr(r, field)) for r in rules]), F.col("rule") + 1)
+
+
+def _quantiles(sketch: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Median, quantile of the rule, its mirror and size; the window runs over buckets, not rows."""
     merged = sketch.groupBy("level", "lang", "source", "rule", "v").agg(F.sum("n").alias("n"))
     keys = ["level", "lang", "source", "rule"]
     upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.select(*keys, "v", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
-    return ranked.groupBy(*keys).agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("v"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("v"))).alias("q3"),
-    )
+    reached = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("v")))
+    percent = _by_rule(rules, "percent")
+    return ranked.groupBy(*keys).agg(F.max("total").alias("total"), reached(F.lit(50)).alias("mid"), reached(percent).alias("up"), reached(100 - percent).alias("down"))
 
 
 def limits(sketch: DataFrame, rules: tuple[Rule, ...] = RULES, min_docs: int = 50) -> DataFrame:
     """Lower and upper limits per language and source, as arrays in rule order.
 
-    A group of fewer than ``min_docs`` documents uses the merged sketch of its language,
-    and a language of fewer the merged sketch of all.
+    A rule takes the limit of the group itself where the group has ``min_docs`` documents,
+    at least ``TAIL_DOCS`` of them beyond the quantile, and a distance between quantile and
+    median; else that of the language, under the same terms, else that of all.
+    ``limit_level`` is the closest level that any rule of a group uses.
     """
     none = F.lit(None).cast("string")
-    levels = sketch.select(
-        "rule",
-        "v",
-        "n",
-        F.explode(
+
+    def spread(lang: str, source: str) -> Column:
+        """A group as a member of itself, its language and all."""
+        return F.explode(
             F.array(
-                F.struct(F.lit(2).alias("level"), F.col("lang").alias("lang"), F.col("source").alias("source")),
-                F.struct(F.lit(1).alias("level"), F.col("lang").alias("lang"), none.alias("source")),
+                F.struct(F.lit(2).alias("level"), F.col(lang).alias("lang"), F.col(source).alias("source")),
+                F.struct(F.lit(1).alias("level"), F.col(lang).alias("lang"), none.alias("source")),
                 F.struct(F.lit(0).alias("level"), none.alias("lang"), none.alias("source")),
             )
-        ).alias("g"),
-    ).select("g.*", "rule", "v", "n")
-    quartiles = _quartiles(levels)
-    spread = F.col("q3") - F.col("q1")
-    slack = F.element_at(F.array(*[F.lit(r.slack) for r in rules]), F.col("rule") + 1)
-    times = F.element_at(F.array(*[F.lit(r.spread) for r in rules]), F.col("rule") + 1)
-    low = F.element_at(F.array(*[F.lit(r.low) for r in rules]), F.col("rule") + 1)
-    room = F.greatest(slack, times * spread)
-    bounds = (
-        quartiles.withColumn("lo", F.when(low, F.col("q1") - room).otherwise(F.lit(-1)))
-        .withColumn("hi", F.col("q3") + room)
-        .groupBy("level", "lang", "source")
-        .agg(
-            F.max("total").alias("total"),
-            F.transform(F.sort_array(F.collect_list(F.struct("rule", "lo", "hi"))), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias(
-                "bounds"
-            ),
         )
+
+    levels = sketch.select("rule", "v", "n", spread("lang", "source").alias("g")).select("g.*", "rule", "v", "n")
+    up, down = F.col("up") - F.col("mid"), F.col("mid") - F.col("down")
+    times, floor, low = (_by_rule(rules, f) for f in ("times", "floor", "low"))
+    enough = (F.col("total") >= min_docs) & (F.col("total") * (100 - _by_rule(rules, "percent")) >= 100 * TAIL_DOCS) & (up > 0)
+    bounds = _quantiles(levels, rules).where(enough | (F.col("level") == 0)).select(
+        "level", "lang", "source", "rule",
+        F.when(low, F.col("down") - F.greatest(floor, times * down)).otherwise(F.lit(-1)).alias("lo"), (F.col("up") + F.greatest(floor, times * up)).alias("hi"),
+    )
+    groups = sketch.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).distinct()
+    wanted = groups.select("g_lang", "g_source", spread("g_lang", "g_source").alias("w")).select(
+        "g_lang", "g_source", F.col("w.level").alias("w_level"), F.col("w.lang").alias("w_lang"), F.col("w.source").alias("w_source")
     )
-    groups = sketch.select("lang", "source").distinct()
-    wanted = groups.select(
-        F.col("lang").alias("g_lang"),
-        F.col("source").alias("g_source"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(2).alias("w_level"), F.col("lang").alias("w_lang"), F.col("source").alias("w_source")),
-                F.struct(F.lit(1).alias("w_level"), F.col("lang").alias("w_lang"), none.alias("w_source")),
-                F.struct(F.lit(0).alias("w_level"), none.alias("w_lang"), none.alias("w_source")),
-            )
-        ).alias("w"),
-    ).select("g_lang", "g_source", "w.*")
     found = wanted.join(
         bounds,
         (F.col("w_level") == F.col("level")) & F.col("w_lang").eqNullSafe(F.col("lang")) & F.col("w_source").eqNullSafe(F.col("source")),
-    ).where((F.col("total") >= min_docs) | (F.col("level") == 0))
-    return found.groupBy("g_lang", "g_source").agg(F.max_by("bounds", "level").alias("bounds"), F.max("level").alias("limit_level"))
+    )
+    closest = found.groupBy("g_lang", "g_source", "rule").agg(F.max_by(F.struct("lo", "hi"), "level").alias("b"), F.max("level").alias("level"))
+    return closest.groupBy("g_lang", "g_source").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rule", "b"))), lambda x: x["b"]).alias("bounds"), F.max("level").alias("limit_level")
+    )
 
 
 def quality_rules(
@@ -225,15 +218,16 @@ def quality_rules(
 
     Base rules are fixed: at least ``min_words`` words, and no more than
     ``max_repeat_percent`` of the words in 8-word runs that occur twice or more.  Texts
-    that pass them feed quantile sketches per language and source; from the quartiles of
-    a sketch follow the limits of five further quantities, and a text outside the limits
-    of its own group is not kept.
+    that pass them feed quantile sketches per language and source; from the quantiles of
+    a sketch follow the limits of five further quantities (:func:`limits`), and a text
+    outside the limits of its own group is not kept.
 
     Result per row: ``doc_id, lang, source``, the counts, ``values`` (the five
     quantities), ``base_failed``, ``limit_level`` (2 own group, 1 language, 0 all) and
     ``kept``.  Null and empty texts have no words and fail the base rules.  A missing
     language or source is a group of its own.  Repeated rows count as often as they
-    occur.  An empty table gives an empty result; further columns are not read.
+    occur.  An empty table gives an empty result; further columns are not read.  Texts of
+    any length are measured whole.
 
     Texts are read once and never shuffled: counts are staged, sketches combine within
     tasks, and limits are joined to counts only.

@@ -69,10 +69,10 @@ def _quality_sql() -> str:
     def fold(v: str) -> str:
         return f"({v}) - ({v}) % (1::BIGINT << greatest(length(bin({v})) - 6, 0))"
 
-    n = len(quality_rules.RULES)
-    slack = "CASE rule " + " ".join(f"WHEN {i} THEN {r.slack}" for i, r in enumerate(quality_rules.RULES)) + " END"
-    times = "CASE rule " + " ".join(f"WHEN {i} THEN {r.spread}" for i, r in enumerate(quality_rules.RULES)) + " END"
-    low = "rule IN (" + ", ".join(str(i) for i, r in enumerate(quality_rules.RULES) if r.low) + ")"
+    rules = quality_rules.RULES
+    n = len(rules)
+    of = {f: "CASE rule " + " ".join(f"WHEN {i} THEN {getattr(r, f)}" for i, r in enumerate(rules)) + " END" for f in ("percent", "times", "floor")}
+    low = "rule IN (" + ", ".join(str(i) for i, r in enumerate(rules) if r.low) + ")"
     return rf"""
     WITH d AS (
         SELECT doc_id, lang, source, coalesce(text, '') AS t,
@@ -107,11 +107,13 @@ def _quality_sql() -> str:
         SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY v) AS upto,
                sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM lv),
     q AS (
-        SELECT level, lang, source, rule, max(total) AS total, min(v) FILTER (WHERE upto * 4 >= total) AS q1,
-               min(v) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM cum GROUP BY ALL),
+        SELECT level, lang, source, rule, max(total) AS total, min(v) FILTER (WHERE upto * 100 >= total * 50) AS mid,
+               min(v) FILTER (WHERE upto * 100 >= total * ({of["percent"]})) AS up, min(v) FILTER (WHERE upto * 100 >= total * (100 - {of["percent"]})) AS down
+        FROM cum GROUP BY level, lang, source, rule),
     b AS (
-        SELECT *, CASE WHEN {low} THEN q1 - greatest({slack}, {times} * (q3 - q1)) ELSE -1 END AS lo,
-               q3 + greatest({slack}, {times} * (q3 - q1)) AS hi FROM q WHERE total >= 50 OR level = 0),
+        SELECT *, CASE WHEN {low} THEN down - greatest({of["floor"]}, {of["times"]} * (mid - down)) ELSE -1 END AS lo,
+               up + greatest({of["floor"]}, {of["times"]} * (up - mid)) AS hi
+        FROM q WHERE level = 0 OR (total >= 50 AND total * (100 - {of["percent"]}) >= {100 * quality_rules.TAIL_DOCS} AND up > mid)),
     g AS (
         SELECT k.lang, k.source, b.rule, max(b.level) AS limit_level, arg_max(b.lo, b.level) AS lo, arg_max(b.hi, b.level) AS hi
         FROM (SELECT DISTINCT lang, source FROM sk) k JOIN b

@@ -128,8 +128,11 @@ def warc_date(arc_date: str) -> str:
     return datetime.strptime(arc_date[:14].ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def converted(archive: str, row: dict, refers_to: str | None) -> bytes:
-    """The WARC record that says what an ARC record says."""
+def converted(archive: str, row: dict, refers_to: str | None, page: str | None = None) -> bytes:
+    """The WARC record that says what an ARC record says.
+
+    A revisit names the record it refers to and, in a field of its own, the page of that.
+    """
     fields, head, payload = split_http(row["block"])
     out = {
         "WARC-Type": "revisit" if refers_to else "response" if fields else "resource",
@@ -142,6 +145,7 @@ def converted(archive: str, row: dict, refers_to: str | None) -> bytes:
     block = head if refers_to else row["block"]
     if refers_to:
         out |= {"WARC-Refers-To": f"<{refers_to}>", "WARC-Profile": REVISIT_PROFILE}
+        out |= {} if page is None else {"X-Refers-To-Page": page}
     out |= {"WARC-Block-Digest": f"sha1:{payload_digest(block)}", "Content-Type": "application/http; msgtype=response" if fields else row["type"]}
     return warc_record(out, block)
 
@@ -246,8 +250,8 @@ def write_arc(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
 
 
 def _dealt(archives: DataFrame) -> DataFrame:
-    """One archive per task."""
-    return archives.repartition(max(archives.count(), 1))
+    """One archive per task: as many ranges of paths as archives."""
+    return archives.repartitionByRange(max(archives.count(), 1), "path")
 
 
 def arc_index(archives: DataFrame) -> DataFrame:
@@ -282,12 +286,12 @@ def arc_to_warc(archives: DataFrame, *, id_type: str = "bigint", min_bytes: int
     spark = archives.sparkSession
     index = arc_index(archives)
     order = F.struct(F.col("page_id").cast(id_type).alias("p"), F.col("record_id").alias("r"))
-    firsts = stage(index.groupBy("digest", "payload_bytes").agg(F.max(order)["r"].alias("first")), "warc-first")
+    firsts = stage(index.groupBy("digest", "payload_bytes").agg(F.max(order).alias("o")).select("digest", "payload_bytes", F.col("o.r").alias("first"), F.col("o.p").cast("string").alias("page")), "warc-first")
     again = (
         index.join(firsts, ["digest", "payload_bytes"])
         .where((F.col("payload_bytes") >= min_bytes) & (F.col("record_id") != F.col("first")))
         .groupBy("path")
-        .agg(F.collect_list(F.struct("seq", "first")).alias("again"))
+        .agg(F.collect_list(F.struct("seq", "first", "page")).alias("again"))
     )
     work = stage(archives.select("path").join(again, "path", "left"), "warc-work")
     folder = _folder(spark, "warc")
@@ -302,11 +306,11 @@ def arc_to_warc(archives: DataFrame, *, id_type: str = "bigint", min_bytes: int
         import pyarrow as pa
 
         for row in _rows(batches):
-            refers = {x["seq"]: x["first"] for x in row["again"] or ()}
+            refers = {x["seq"]: (x["first"], x["page"]) for x in row["again"] or ()}
             out = _Rolling(folder, ".warc.gz", limit, opening)
             with _opened(row["path"]) as stream:
                 for r in read_arc(stream):
-                    out.write(lambda name, at: converted(row["path"], r, refers.get(r["seq"])))
+                    out.write(lambda name, at: converted(row["path"], r, *refers.get(r["seq"], (None, None))))
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out.done], pa.string()), pa.array([x[1] for x in out.done], pa.int64())], ["path", "n_records"])
 
@@ -315,7 +319,9 @@ def arc_to_warc(archives: DataFrame, *, id_type: str = "bigint", min_bytes: int
 
 def warc_records(archives: DataFrame, *, id_type: str = "bigint") -> DataFrame:
     """Records of WARC archives: ``record_id, record_type, page_id, url, date,
-    payload_bytes, payload_digest, refers_to_id``.
+    payload_bytes, payload_digest, refers_to_id, refers_to``.
+
+    ``refers_to`` is the page that a revisit refers to, if the record says so.
 
     The payload digest of a whole record is computed anew and must be the declared one; a
     revisit has the declared digest and the length that its HTTP head states.
@@ -338,14 +344,14 @@ def warc_records(archives: DataFrame, *, id_type: str = "bigint") -> DataFrame:
                         raise BadArchive(f"{fields['warc-record-id']}: the payload digest differs")
                     n = int(http.get("content-length", "0")) if kind == "revisit" else len(payload)
                     refers = fields.get("warc-refers-to")
-                    found.append((fields["warc-record-id"].strip("<>"), kind, http.get("x-page-id"), fields["warc-target-uri"], fields["warc-date"], n, said, refers and refers.strip("<>")))
-            kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string()]
-            names = ["record_id", "record_type", "page_id", "url", "date", "payload_bytes", "payload_digest", "refers_to_id"]
+                    found.append((fields["warc-record-id"].strip("<>"), kind, http.get("x-page-id"), fields["warc-target-uri"], fields["warc-date"], n, said, refers and refers.strip("<>"), fields.get("x-refers-to-page")))
+            kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string(), pa.string()]
+            names = ["record_id", "record_type", "page_id", "url", "date", "payload_bytes", "payload_digest", "refers_to_id", "refers_to"]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names)
 
-    schema = "record_id string, record_type string, page_id string, url string, date string, payload_bytes bigint, payload_digest string, refers_to_id string"
+    schema = "record_id string, record_type string, page_id string, url string, date string, payload_bytes bigint, payload_digest string, refers_to_id string, refers_to string"
     out = _dealt(archives).mapInArrow(run, schema)
-    return out.withColumn("page_id", F.col("page_id").cast(id_type))
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def archived(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -364,6 +370,4 @@ def archived(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", ht
     arcs = write_arc(pages, page_id=page_id, url=url, html=html)
     warcs = arc_to_warc(arcs, id_type=id_type, min_bytes=min_bytes)
     records = stage(warc_records(warcs, id_type=id_type), "warc-records")
-    whole = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("w_id"), F.col("page_id").alias("refers_to"))
-    both = records.join(whole.join(records.select(F.col("refers_to_id").alias("w_id")).distinct(), "w_id"), records["refers_to_id"] == F.col("w_id"), "left")
-    return both.select(F.col("page_id").alias(page_id), "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date")
+    return records.select(F.col("page_id").alias(page_id), "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date")

@@ -244,3 +244,32 @@ def test_words(texts):
     keys = tokens.word_keys(low, starts, ends, piece=4)
     assert (keys == tokens.word_keys(low, starts, ends)).all()
     assert len(set(keys.tolist())) == len({w for _, w in want})
+
+
+def test_block_links_are_a_forest(spark):
+    """Three clusters of near copies under one key, none of them known: fewer links than components."""
+    rng = random.Random(2)
+    rows = []
+    for cluster in range(3):
+        core = [cluster * 10_000 + k for k in range(60)]
+        rows += [(1, 1000 * cluster + m, 60, 1000 * cluster + m, sorted(rng.sample(core, 56) + [cluster * 10_000 + 100 + m * 4 + k for k in range(4)])) for m in range(300)]
+    table = spark.createDataFrame(rows, "key bigint, cid bigint, n bigint, c bigint, keys array<bigint>")
+    for block in (10_000_000, 6_000):
+        links = near_dedup._block_links(table, 75, block).collect()
+        parent = {r[1]: r[1] for r in rows}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in links:
+            parent[top(r.a)] = top(r.b)
+        groups = {}
+        for x in parent:
+            groups.setdefault(top(x), set()).add(x // 1000)
+        assert len(groups) == 3 and all(len(g) == 1 for g in groups.values())
+        if block > 1_000_000:
+            assert len(links) == 897
+        else:  # nine blocks on either side: below the components of each pair of blocks, not the square of a cluster
+            assert len(links) < 9 * 9 * 2 * 100 * 2 and len(links) < 3 * 300 * 299 / 10

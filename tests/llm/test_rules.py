@@ -59,6 +59,37 @@ def test_rule_counts(spark):
     assert by_id[208].limit_level == 0 and by_id[0].limit_level == 2 and by_id[205].limit_level == 2
 
 
+def test_limits_follow_the_habits_of_a_source(spark):
+    """Two sources, one of which shouts, repeats itself and uses symbols and long words: each has its own limits."""
+    rng = random.Random(6)
+
+    def text(loud):
+        words = [rng.choice(["stone", "river", "house", "walks"]) + ("x" * rng.randrange(6) if loud else "") + str(rng.randrange(900)) for _ in range(60)]
+        if loud:
+            words += ["AB"] * rng.randrange(1, 5) + ["##"] * rng.randrange(1, 9) + words[: rng.choice([0, 9, 12])]
+        lines = [" ".join(words[i : i + 10]) for i in range(0, len(words), 10)]
+        return "\n".join(lines + lines[: rng.randrange(3) if loud else 0])
+
+    rows = [(k, text(k % 2 == 1), "en", "loud" if k % 2 else "calm") for k in range(1600)]
+    measures = quality_rules.quality_rules(frame(spark, rows))
+    his = lambda rows: {r.g_source: [b.hi for b in r.bounds] for r in quality_rules.limits(quality_rules.sketches(rows)).collect()}
+    both, calm = his(measures), his(measures.where("source = 'calm'"))["calm"]
+    loud = his(measures.where("source = 'loud'"))["loud"]
+    assert (both["loud"][0], both["loud"][4]) == (loud[0], loud[4])  # tails of few texts are those of the language
+    assert all(a < b for a, b in zip(calm, both["loud"]))
+    assert calm[:4] == [r.floor for r in quality_rules.RULES[:4]]  # without a habit of its own it takes the language's
+    assert all(a > b for a, b in zip(both["calm"][:4], calm[:4]))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_most_limits_are_set_by_data(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sketch = quality_rules.sketches(quality_rules.quality_rules(docs))
+    every = [b.hi for r in quality_rules.limits(sketch).collect() for b in r.bounds]
+    floors = [r.floor for r in quality_rules.RULES]
+    assert sum(hi not in floors for hi in every) > len(every) / 2
+
+
 def test_rules_of_nothing(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
     assert not quality_rules.quality_rules(frame(spark, [(1, None, None, None)])).first().kept
@@ -143,6 +174,12 @@ def test_join_without_broadcast_is_the_same(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_many_cells_are_raked_by_joins(spark):
+    rows = mix_rows()
+    a, b = ({r.doc_id: r.probability for r in mixing.mix(frame(spark, rows), sweeps=3, small_cells=n).collect()} for n in (0, 100_000))
+    assert a == pytest.approx(b, rel=1e-9)
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_against_sql(spark, name):
@@ -150,6 +187,6 @@ def test_against_sql(spark, name):
     from tagworth.plans.check import compare
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert compare(spark, con, QUERIES[name], ORACLES[name], SF) == ""
