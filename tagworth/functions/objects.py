@@ -8,6 +8,7 @@ texts travel to Python, and all rules about the objects stay in Spark expression
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,20 +73,91 @@ def _describe(node: dict, lineage: str) -> dict:
     return {k: None if v is None else str(v) for k, v in found.items()}
 
 
+_TOKEN = re.compile(r"\s*([{}\[\],:\"]|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _scalar(token: str):
+    if token in _WORDS:
+        return _WORDS[token]
+    return float(token) if any(c in token for c in ".eE") else int(token)
+
+
+def parse_deep(doc: str, at: int = 0):
+    """The JSON value that begins at ``at``, of any depth: open values wait on a list."""
+    open_: list[tuple] = []  # container and the key its next value belongs to
+    expect = "value"
+    while True:
+        m = _TOKEN.match(doc, at)
+        if m is None:
+            raise ValueError(f"not JSON at {at}")
+        token, at = m[1], m.end()
+        if expect in ("value", "value or ]"):
+            if token in "{[" and len(token) == 1:
+                open_.append(({} if token == "{" else [], None))
+                expect = "key or }" if token == "{" else "value or ]"
+                continue
+            if token == "]" and expect == "value or ]":
+                value = open_.pop()[0]
+            elif token == '"':
+                value, at = json.decoder.scanstring(doc, at, False)
+            elif token in "}],:":
+                raise ValueError(f"a value is missing at {at}")
+            else:
+                value = _scalar(token)
+        elif expect in ("key", "key or }"):
+            if token == '"':
+                key, at = json.decoder.scanstring(doc, at, False)
+                colon = _TOKEN.match(doc, at)
+                if colon is None or colon[1] != ":":
+                    raise ValueError(f"a colon is missing at {at}")
+                at, expect = colon.end(), "value"
+                open_[-1] = (open_[-1][0], key)
+                continue
+            if token != "}" or expect == "key":
+                raise ValueError(f"a key is missing at {at}")
+            value = open_.pop()[0]
+        else:  # after a value
+            inside = open_[-1][0]
+            if token == ",":
+                expect = "key" if isinstance(inside, dict) else "value"
+                continue
+            if token != ("}" if isinstance(inside, dict) else "]"):
+                raise ValueError(f"a comma is missing at {at}")
+            value = open_.pop()[0]
+        if not open_:
+            return value
+        inside, key = open_[-1]
+        if isinstance(inside, dict):
+            inside[key] = value
+        else:
+            inside.append(value)
+        expect = "more"
+
+
 def _objects(texts) -> list[dict]:
     out: list[dict] = []
     for doc in texts:
         try:
             _walk(doc, out)
-        except (ValueError, RecursionError):  # broken, or nested deeper than Python follows
+        except ValueError:  # broken; see json_problems
             continue
     return out
 
 
+def _root(doc: str):
+    starts = [i for i in (doc.find("{"), doc.find("[")) if i >= 0]
+    if not starts:
+        raise ValueError("no object or list")
+    try:
+        return json.JSONDecoder().raw_decode(doc, min(starts))[0]
+    except RecursionError:
+        return parse_deep(doc, min(starts))
+
+
 def _walk(doc: str, out: list[dict]) -> None:
     """Append the objects of one JSON text in reading order."""
-    starts = [i for i in (doc.find("{"), doc.find("[")) if i >= 0]
-    root, _ = json.JSONDecoder().raw_decode(doc, min(starts))
+    root = _root(doc)
     stack = [(root, "")]
     while stack:
         node, lineage = stack.pop()
@@ -106,6 +178,20 @@ def json_objects(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else _objects(t))
 
 
+def _problem(doc: str) -> str | None:
+    try:
+        _root(doc)
+    except ValueError as e:
+        return str(e)
+    return None
+
+
+@F.pandas_udf(T.ArrayType(_TEXT))
+def json_problems(texts: pd.Series) -> pd.Series:
+    """Why JSON texts could not be read, one entry per broken text."""
+    return texts.map(lambda t: [] if t is None else [p for p in map(_problem, t) if p is not None])
+
+
 def state_texts(scripts: Column) -> Column:
     """JSON documents held in inline scripts: bare objects and assigned state objects."""
     names = any_of(fixed.STATE_NAMES)

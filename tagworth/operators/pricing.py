@@ -19,7 +19,7 @@ _GROUP = ["analysis_id", "status_kind"]
 _LEVEL = ["analysis_id", "_code"]
 
 
-def _code(status: Column, tier: Column) -> Column:
+def price_code(status: Column, tier: Column) -> Column:
     """Status kind and tier of a row as one small number: kind * 10 + tier, 0 for neither.
 
     The price windows sort by it; one number is far cheaper there than three columns.
@@ -28,6 +28,26 @@ def _code(status: Column, tier: Column) -> Column:
     return F.when(kind > 0, kind * 10 + F.coalesce(tier, F.lit(0))).otherwise(0)
 
 
+def levels_of(code: Column) -> Column:
+    """Codes of the levels a row counts for: 0 for all, 100 + kind, and its own with a tier."""
+    return F.array_compact(
+        F.array(F.lit(0), F.when(code > 0, 100 + F.floor(code / 10).cast("int")), F.when(code % 10 > 0, code))
+    )
+
+
+def named_levels(stats: DataFrame) -> DataFrame:
+    """Level, status kind and tier in place of the level code."""
+    code = F.col("_code")
+    kind = F.when(code >= 100, code - 100).when(code > 0, F.floor(code / 10))
+    return stats.withColumns(
+        {
+            "level": F.when(code == 0, F.lit("all")).when(code >= 100, F.lit("status")).otherwise(F.lit("tier")),
+            "status_kind": F.when(kind == 1, F.lit("sold")).when(kind == 2, F.lit("available")),
+            "tier": F.when((code > 0) & (code < 100), code % 10),
+        }
+    ).drop("_code")
+
+
 def _counts(items: DataFrame, approx: bool) -> DataFrame:
     """Rows per (analysis, kind and tier, price); no positive price counts as null.
 
@@ -41,7 +61,7 @@ def _counts(items: DataFrame, approx: bool) -> DataFrame:
         price = F.when(price > 0, F.round(price * scale) / scale)
     keyed = base.select(
         "analysis_id",
-        _code(status_norm("status"), F.col("tier")).alias("_code"),
+        price_code(status_norm("status"), F.col("tier")).alias("_code"),
         F.when(price > 0, price).alias("price"),
     )
     return value_counts(keyed, _LEVEL, "price")
@@ -53,12 +73,7 @@ def price_levels(items: DataFrame, approx: bool = False) -> DataFrame:
     ``count_items`` counts every row, ``count`` the priced ones.  A group is as large as
     its number of different cent amounts.
     """
-    code = F.col("_code")
-    # every row counts for all; with a kind for code 100 + kind; with a tier for its own code
-    levels = F.array_compact(
-        F.array(F.lit(0), F.when(code > 0, 100 + F.floor(code / 10).cast("int")), F.when(code % 10 > 0, code))
-    )
-    spread = _counts(items, approx).select("analysis_id", F.explode(levels).alias("_code"), "price", "n")
+    spread = _counts(items, approx).select("analysis_id", F.explode(levels_of(F.col("_code"))).alias("_code"), "price", "n")
     price, priced = F.col("price"), F.when(F.col("price").isNotNull(), F.col("n")).otherwise(0)
     # one sort serves both frames
     ordered = Window.partitionBy(*_LEVEL).orderBy("price")
@@ -83,14 +98,7 @@ def price_levels(items: DataFrame, approx: bool = False) -> DataFrame:
         F.sum(F.when(price < low, F.col("n")).otherwise(0)).alias("clamped_low_count"),
         F.sum(F.when(price > high, F.col("n")).otherwise(0)).alias("clamped_high_count"),
     )
-    kind = F.when(code >= 100, code - 100).when(code > 0, F.floor(code / 10))
-    return stats.withColumns(
-        {
-            "level": F.when(code == 0, F.lit("all")).when(code >= 100, F.lit("status")).otherwise(F.lit("tier")),
-            "status_kind": F.when(kind == 1, F.lit("sold")).when(kind == 2, F.lit("available")),
-            "tier": F.when((code > 0) & (code < 100), code % 10),
-        }
-    ).drop("_code")
+    return named_levels(stats)
 
 
 _DETAIL = (
@@ -157,7 +165,12 @@ def market_prices(items: DataFrame, approx: bool = False) -> DataFrame:
     Tiers weigh 1.00, 0.70 and 0.65 by their counts, small first tiers a little more;
     the third tier counts only near the better tiers' price or without them.
     """
-    out = _weighed(price_levels(items, approx)).filter(F.col("status_kind").isNotNull())
+    return market_of(price_levels(items, approx))
+
+
+def market_of(levels: DataFrame) -> DataFrame:
+    """Market prices from the statistics of all levels."""
+    out = _weighed(levels).filter(F.col("status_kind").isNotNull())
     return out.select(
         *_GROUP,
         "market_price_usd",

@@ -213,16 +213,31 @@ def fresh_snapshots(spark, d):
 
 
 @query(
-    "nested_results",
+    "item_lists",
     """SELECT analysis_id, CAST(floor((rn - 1) / 1000) AS INT) AS part, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM (
         SELECT analysis_id, pos, row_number() OVER (PARTITION BY analysis_id ORDER BY pos) AS rn FROM @listings) GROUP BY 1, 2""",
 )
+def item_lists(spark, d):
+    out = results.item_lists(fixture(spark, d, "listings").select("analysis_id", "pos", "url", "title"), lead=F.col("pos"))
+    return out.select(
+        "analysis_id", "part", F.size("items").cast("long").alias("n"),
+        F.get("items", F.lit(0))["pos"].alias("first_pos"), F.element_at("items", -1)["pos"].alias("last_pos"),
+    )
+
+
+@query(
+    "nested_results",
+    """SELECT analysis_id, count(*) AS cards_total, count(*) AS n_items, count(*) FILTER (WHERE status = 'Sold') AS n_filtered_items,
+        least(count(*), 100) AS n_first, min(pos) AS first_pos, max(pos) FILTER (WHERE rn <= 100) AS last_pos FROM (
+        SELECT analysis_id, pos, status, row_number() OVER (PARTITION BY analysis_id ORDER BY pos) AS rn FROM @listings) GROUP BY 1""",
+)
 def nested_results(spark, d):
     rows = fixture(spark, d, "listings").select("analysis_id", "pos", "url", "title", F.col("price_original").alias("price"), "status")
     head = rows.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("cards_total"))
-    out = results.nested_results(head, rows, lead=F.col("pos"))
+    sold = rows.where("status = 'Sold'").select("analysis_id", "url", F.lit("sold").alias("reason_code"))
+    out = results.nested_results(head, rows, sold, lead=F.col("pos"))
     return out.select(
-        "analysis_id", "part", F.size("items").cast("long").alias("n"),
+        "analysis_id", "cards_total", "n_items", "n_filtered_items", F.size("items").cast("long").alias("n_first"),
         F.get("items", F.lit(0))["pos"].alias("first_pos"), F.element_at("items", -1)["pos"].alias("last_pos"),
     )
 

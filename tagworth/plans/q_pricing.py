@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.status import status_norm
-from ..operators import lookups, pricing
+from ..operators import lookups, price_states, pricing
+from ..streaming.run import shared_dir
 from .fixtures import fixture
 from .registry import any_like, cte, mapping, query, rnd
 
@@ -120,14 +121,14 @@ def tier_prices(spark, d):
     return pricing.tier_prices(items(spark, d))
 
 
-@query(
-    "market_prices",
-    f"""SELECT analysis_id, status_kind, market_price_usd, raw_median_usd, count_items, count_priced, count_priced_ranked,
+_MARKET_SQL = f"""SELECT analysis_id, status_kind, market_price_usd, raw_median_usd, count_items, count_priced, count_priced_ranked,
         count_priced - count_priced_ranked AS count_priced_unranked, used AS rank3_used,
         coalesce(reason IN ('rank3_below_anchor_guard', 'rank3_above_anchor_guard'), FALSE) AS rank3_guard_triggered,
         reason AS rank3_guard_reason, {rnd('w1', 3)} AS weight1, {rnd('w2', 3)} AS weight2, {rnd('w3', 3)} AS weight3
-        FROM @market""",
-)
+        FROM @market"""
+
+
+@query("market_prices", _MARKET_SQL)
 def market_prices(spark, d):
     out = pricing.market_prices(items(spark, d))
     return out.select(
@@ -136,6 +137,19 @@ def market_prices(spark, d):
     )
 
 
+@query(
+    "medians_by_day",
+    "SELECT analysis_id, status_kind, raw_median_usd, count_items, count_priced, count_priced_ranked FROM @market",
+)
+def medians_by_day(spark, d):
+    """From states of thirty days, written in two runs; sketches large enough to be exact here."""
+    rows, path = items(spark, d).withColumn("day", (F.col("pos") % 30).cast("int")), shared_dir(spark)
+    for half in (0, 1):
+        price_states.write_states(rows.where(F.col("day") % 2 == half), path, k=8000)
+    out = price_states.market_prices_of_states(spark.read.parquet(path), k=8000)
+    return out.select("analysis_id", "status_kind", "raw_median_usd", "count_items", "count_priced", "count_priced_ranked")
+
+
 @query(
     "raw_medians",
     f"""SELECT analysis_id, {rnd('median(price) FILTER (price > 0)')} AS median_price_raw_usd,

@@ -55,12 +55,12 @@ def dedupe_stream(spark, d):
 @query(
     "soft_block_stream",
     """WITH b AS (SELECT domain, epoch_us(ts) AS u FROM @classed WHERE class IN ('soft_block', 'hard_block')),
-        w AS (SELECT domain, (u // 3600000000 - k) * 3600000000 AS s FROM b, range(0, 24) AS r(k))
+        w AS (SELECT domain, (u // 60000000 - k) * 60000000 AS s FROM b, range(0, 60) AS r(k))
         SELECT domain, s AS start_at, count(*) AS hits FROM w GROUP BY 1, 2
         HAVING count(*) >= 2""",
 )
 def soft_block_stream(spark, d):
-    alerts = crawl.soft_block_stream(event_stream(spark, d, "crawl_events", closing=True), window_sec=86400, slide_sec=3600)
+    alerts = crawl.soft_block_stream(event_stream(spark, d, "crawl_events", closing=True), window_sec=3600, slide_sec=60)
     out = run_available(alerts, shared_dir(spark))
     return out.select("domain", F.unix_micros("from").alias("start_at"), "hits")
 

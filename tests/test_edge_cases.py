@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagworth.functions import objects as o
@@ -48,6 +49,37 @@ def test_deep_json_stops_nothing(spark):
     assert got == {1: 5.0, 2: 5.0, 3: None, 4: 5.0}
 
 
+def test_price_beside_deep_json_is_found(spark):
+    """JSON nested deeper than Python follows is read with a list of open values."""
+    side = '{"price": "700", "a": ' + "[" * 200_000 + "]" * 200_000 + "}"
+    nested = '{"a":' * 50_000 + '{"name": "b\\u00e9", "price": 1.5e1}' + "}" * 50_000
+    broken = ['{"price": "700", "a": ' + "[" * 200_000, '{"a" 1}', "no json"]
+    df = spark.createDataFrame([(1, [side]), (2, [nested]), (3, broken), (4, None)], "id int, texts array<string>")
+    got = df.select("id", o.price_from_objects(o.json_objects("texts"))["price"].alias("p"), o.json_problems("texts").alias("why")).collect()
+    assert {r.id: (r.p, len(r.why)) for r in got} == {1: (700.0, 0), 2: (15.0, 0), 3: (None, 3), 4: (None, 0)}
+
+
+def test_parser_of_any_depth_reads_what_the_usual_one_reads():
+    import json
+    import random
+
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 6)
+        if kind < 6:
+            return rng.choice([None, True, False, -3, 1.5, 1e20, "x", 'q"\\ é', "", 0])
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 6 else {f"k{i}": value(depth - 1) for i in range(rng.randrange(4))}
+
+    for _ in range(300):
+        v = [value(5)]
+        for text in (json.dumps(v), json.dumps(v, indent=1, ensure_ascii=False)):
+            assert o.parse_deep(text) == v
+    for bad in ("[1,]", "[,1]", '{"a":}', '{"a":1,}', "{1:2}", "[1 2]", "[1}", '{"a"}', '["x]', "[tru]", "["):
+        with pytest.raises(ValueError):
+            o.parse_deep(bad)
+
+
 def test_keys_of_a_script_in_their_order(spark):
     scripts = [
         '{"amount": 5, "currency":"USD", "price": 700}', "var value = 3; var priceValue = 9;", '{"price": 12000, "amount": 40, "currency": "EUR"}', "nothing",

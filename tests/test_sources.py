@@ -44,7 +44,47 @@ def test_result_sink(spark, tmp_path):
     results.write_results(results.nested_results(head, items, rejected), str(tmp_path / "r"))
     got = {r["analysis_id"]: r for r in spark.read.json(str(tmp_path / "r")).collect()}
     assert [i["url"] for i in got["a"]["items"]] == ["u1", "u2"] and got["a"]["filtered_items"][0]["url"] == "u9"
-    assert got["b"]["items"] is None
+    assert got["b"]["items"] is None and (got["a"]["n_items"], got["b"]["n_items"], got["a"]["n_filtered_items"]) == (2, 0, 1)
+
+
+def test_one_headline_row_whatever_the_size(spark):
+    head = spark.createDataFrame([("a", 10.0)], "analysis_id string, median_price_usd double")
+    items = spark.range(2500).selectExpr("'a' AS analysis_id", "id AS pos", "concat('u', id) AS url")
+    row = results.nested_results(head, items).collect()
+    assert len(row) == 1 and row[0].n_items == 2500 and [i.pos for i in row[0]["items"]] == list(range(100))
+    lists = {r.part: [i.pos for i in r["items"]] for r in results.item_lists(items).collect()}
+    assert [p for k in sorted(lists) for p in lists[k]] == list(range(2500)) and len(lists) == 3
+
+
+def test_batches_are_stored_once(spark, tmp_path):
+    store = results.ResultStore(spark, str(tmp_path / "r"))
+    assert store.batches().count() == 0
+    tables = lambda n, k: {"headline": spark.range(n).selectExpr("id", f"{k} AS k"), "items": spark.range(3 * n).repartition(3)}
+    assert store.write(0, tables(5, 0)) and store.write(1, tables(7, 1)) and not store.write(1, tables(9, 9))
+    tables(4, 2)["headline"].write.parquet(str(tmp_path / "r/headline/batch=2"))  # an attempt that stopped half-way
+    assert store.read("headline").count() == 12 and store.read("items").count() == 36
+    assert store.write(2, tables(2, 2)) and store.read("headline").where("k = 2").count() == 2
+    before = sorted(map(tuple, store.read("items").collect()))
+    assert store.compact("items") == 3 and store.compact("items") == 0
+    assert sorted(map(tuple, store.read("items").collect())) == before and len(spark.read.parquet(f"{store.path}/items").inputFiles()) == 3
+
+
+def test_stream_into_the_store(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    store = results.ResultStore(spark, str(tmp_path / "r"))
+
+    def run(checkpoint):
+        rows = spark.readStream.schema("id bigint").json(str(tmp_path / "in"))
+        query = rows.writeStream.foreachBatch(store.each_batch(lambda df: {"items": df})).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    (tmp_path / "in/a.json").write_text('{"id": 1}\n{"id": 2}\n')
+    run("c1")
+    run("c2")  # the checkpoint is lost: batch 0 runs again
+    assert sorted(r.id for r in store.read("items").collect()) == [1, 2]
+    (tmp_path / "in/b.json").write_text('{"id": 3}\n')
+    run("c1")
+    assert sorted(r.id for r in store.read("items").collect()) == [1, 2, 3]
 
 
 def test_event_log(spark, tmp_path):
