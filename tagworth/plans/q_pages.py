@@ -209,7 +209,18 @@ def site_hint(spark, d):
     return load(spark, d, "pages").select("page_id", h.site_hint(head).alias("hint"))
 
 
-@query("page_snapshot")
+def _cut(expr: str, n: int) -> str:
+    return f"CASE WHEN length({expr}) > {n} THEN rtrim(substr({expr}, 1, {n - 3})) || '...' ELSE {expr} END"
+
+
+@query(
+    "page_snapshot",
+    f"""WITH t AS (
+        SELECT page_id, {_text("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")} AS title,
+               {_text("regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is')")} AS h1, {_text(_STRIP)} AS shown FROM {{pages}}),
+        c AS (SELECT page_id, '<title>' || title || '</title>' AS a, {_cut('h1', 220)} AS b, '<text>' || {_cut('shown', 1600)} || '</text>' AS c FROM t)
+        SELECT page_id, a || chr(10) || CASE WHEN length(b) >= 4 THEN b || chr(10) ELSE '' END || c AS snapshot FROM c""",
+)
 def page_snapshot(spark, d):
     return e.page_snapshot(load(spark, d, "pages")).select("page_id", "snapshot")
 

@@ -128,7 +128,37 @@ def frequency_select(spark, d):
     return out.select("pos", F.col("title_rank").cast("long").alias("title_rank"), F.col("title_score").cast("long").alias("title_score"))
 
 
-@query("target_name")
+def _outside(words: str) -> str:
+    return f"list_filter({words}, lambda w: NOT list_contains(b, w))"
+
+
+def _once(words: str) -> str:
+    """Distinct values in order; ``words`` names a column."""
+    return f"list_filter({words}, lambda x, i: list_position({words}, x) = i)"
+
+
+@query(
+    "target_name",
+    f"""WITH g AS (
+        SELECT analysis_id, g, (place, i) AS f, 3 AS k FROM ({grams_sql('@work', 3)}) UNION ALL SELECT analysis_id, g, (place, i + 1000000), 2 FROM ({grams_sql('@work', 2)})
+        UNION ALL SELECT analysis_id, g, (place, i), 1 FROM ({grams_sql('@work', 1)})),
+        n AS (SELECT analysis_id, k = 1 AS word, g, count(*) AS n, min(f) AS f FROM g GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, word ORDER BY n DESC, f) AS r FROM n QUALIFY r <= CASE WHEN word THEN 40 ELSE 20 END),
+        l AS (SELECT analysis_id, list(g ORDER BY r) FILTER (NOT word AND n >= 2) AS often, list(g ORDER BY r) FILTER (NOT word AND n < 2) AS single,
+            list(g ORDER BY r) FILTER (word) AS words FROM r GROUP BY 1),
+        b AS (SELECT a.analysis_id, list_filter(string_split({_fold('t.target_brand')}, ' '), lambda w: w <> '') AS b, coalesce(l.often, []) AS often,
+            coalesce(l.single, []) AS single, coalesce(l.words, []) AS words, coalesce(p.keywords, []) AS keywords
+            FROM (SELECT DISTINCT analysis_id FROM @work) a LEFT JOIN l USING (analysis_id) LEFT JOIN @brand_targets t USING (analysis_id) LEFT JOIN @profiles p USING (analysis_id)),
+        c AS (SELECT *, flatten(list_transform(often, lambda g: {_outside("string_split(g, ' ')")})) AS o,
+            coalesce({_outside("string_split(list_filter(single, lambda g: len(" + _outside("string_split(g, ' ')") + ") > 0)[1], ' ')")}, []) AS s,
+            list_filter(flatten(list_transform(keywords, lambda h: string_split(h, ' '))), lambda w: length(w) >= 3 AND w NOT IN {_STOP}) AS h FROM b),
+        d AS (SELECT *, CASE WHEN len(o) > 0 THEN o ELSE s END AS ph FROM c),
+        e AS (SELECT *, list_concat(({_once('ph')})[1:4], {_outside('words')}) AS m FROM d),
+        m AS (SELECT *, list_concat(b, {_outside('h')}, ({_once('m')})[1:4]) AS every FROM e),
+        o AS (SELECT *, list_filter({_once('every')}, lambda w: w <> '' AND w NOT IN {_STOP})[1:len(b) + 4] AS o2 FROM m)
+        SELECT analysis_id, CASE WHEN len(o2) >= CASE WHEN len(b) > 0 THEN 1 ELSE 2 END THEN
+            array_to_string(list_transform(o2, lambda w: CASE WHEN length(w) <= 3 THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') END AS target_name FROM o""",
+)
 def target_name(spark, d):
     cands = fixture(spark, d, "cands")
     return t.target_name(cands, r.infer_brand(cands), t.keyword_profile(cands))
