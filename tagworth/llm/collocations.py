@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import Shared, byte_slices, column, discard, stage
 from .tokens import LOWER, buffer_of, mixed, word_keys
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 BITS = 26
 
 _BYTES = np.arange(256)
@@ -34,7 +34,7 @@ class Words(NamedTuple):
     ends: np.ndarray
     run: np.ndarray
     rows: np.ndarray
-    keys: tuple[np.ndarray, np.ndarray]
+    keys: np.ndarray
 
 
 def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
@@ -52,32 +52,41 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
     joined = np.where(solid[: len(low)], low, 0x20)[keep].astype(np.uint8)
     sizes = ends - starts
     begin = np.cumsum(sizes + 1) - sizes - 1
-    keys = word_keys(low, starts, ends), word_keys(low ^ np.uint8(0xFF), starts, ends)
-    return Words(joined, begin, begin + sizes, run, np.searchsorted(at, starts, side="right") - 1, keys)
+    return Words(joined, begin, begin + sizes, run, np.searchsorted(at, starts, side="right") - 1, word_keys(low, starts, ends))
 
 
-def grams(keys: np.ndarray, salt: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit key of the ``width`` words from each place on, different between salts."""
-    n = max(len(keys) - width + 1, 0)
-    out = np.full(n, np.uint64(width), dtype=np.uint64)
+def grams(keys: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit key of the ``width`` words from each place on."""
+    out = np.full(len(places), np.uint64(width), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(width):
-            out = out * _STEP + keys[j : j + n]
-        return mixed(out ^ salt[:n])
-
-
-def counted(places: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct pair of keys, and how often it occurs."""
-    if not len(places):
-        return places, np.zeros(0, np.int64)
-    order = np.argsort(one, kind="stable")
-    differs, other = one[order][1:] != one[order][:-1], two[order][1:] != two[order][:-1]
-    if (other & ~differs).any():  # equal in the first key alone
-        order = np.lexsort((two, one))
-        differs, other = one[order][1:] != one[order][:-1], two[order][1:] != two[order][:-1]
-        differs |= other
+            out = out * _STEP + keys[places + j]
+        return mixed(out)
+
+
+def counted(key: np.ndarray, parts: list[np.ndarray], c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct row of ``parts`` and how often it occurs (the sum of ``c``).
+
+    ``key`` is a hash of the row; rows are told apart by their parts, should hashes be equal.
+    """
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    differs = key[order][1:] != key[order][:-1]
+    other = np.zeros(len(differs), dtype=bool)
+    for p in parts:
+        q = p[order]
+        other |= q[1:] != q[:-1]
+    if (other & ~differs).any():  # equal in the hash alone
+        order = np.lexsort((*parts, key))
+        differs = key[order][1:] != key[order][:-1]
+        for p in parts:
+            q = p[order]
+            differs |= q[1:] != q[:-1]
     first = np.flatnonzero(np.append(True, differs))
-    return places[order[first]], np.diff(np.append(first, len(order)))
+    if c is None:
+        return order[first], np.diff(np.append(first, len(order)))
+    return order[first], np.add.reduceat(c[order], first)
 
 
 def text_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -107,59 +116,98 @@ def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _batch(runs: list[np.ndarray], c: np.ndarray, columns: int):
+    """Runs as columns ``w1, w2, ...``; those beyond the width of the run are null."""
+    import pyarrow as pa
+
+    words = [pa.array(r.view(np.int64)) for r in runs] + [pa.nulls(len(c), pa.int64())] * (columns - len(runs))
+    return pa.RecordBatch.from_arrays([*words, pa.array(c)], [*(f"w{i + 1}" for i in range(columns)), "c"])
+
+
+class Gathered:
+    """Counts of runs of word keys, combined over slices as long as they fit ``limit`` runs."""
+
+    def __init__(self, columns: int, limit: int = 1 << 18) -> None:
+        self.columns, self.limit, self.parts, self.size = columns, limit, [], 0
+
+    def add(self, key: np.ndarray, runs: list[np.ndarray], c: np.ndarray) -> None:
+        self.parts.append((key, runs, c))
+        self.size += len(c)
+
+    def batches(self, last: bool = False) -> Iterator:
+        """What has to leave: everything at the end, or when combining no longer helps."""
+        if not self.parts or not last and self.size <= self.limit:
+            return
+        keys, runs, counts = zip(*self.parts)
+        key, parts, c = np.concatenate(keys), [np.concatenate(p) for p in zip(*runs)], np.concatenate(counts)
+        at, c = counted(key, parts, c)
+        self.parts, self.size = [(key[at], [p[at] for p in parts], c)], len(c)
+        if last or self.size > self.limit // 2:
+            yield _batch(self.parts[0][1], c, self.columns)
+            self.parts, self.size = [], 0
+
+
 def _count_words(batches):
     import pyarrow as pa
 
     for words, salt, langs in _slices(batches):
-        key = grams(words.keys[0], salt, 1)
-        at, c = counted(np.arange(len(key)), key, key)
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.rows[at])), pa.array(key[at].view(np.int64)), pa.array(c)], ["lang", "key", "c"])
+        key = mixed(words.keys ^ salt)
+        other = word_keys(words.joined ^ np.uint8(0xFF), words.starts, words.ends)
+        at, c = counted(key, [other, salt])
+        yield pa.RecordBatch.from_arrays(
+            [langs.take(pa.array(words.rows[at])), text_array(words.joined, words.starts[at], words.ends[at]), pa.array(key[at].view(np.int64)), pa.array(c)],
+            ["lang", "word", "key", "c"],
+        )
 
 
-def _count_pairs(common: Shared):
-    def run(batches):
-        import pyarrow as pa
+def _count_runs(shared: list[Shared], widths: list[int]):
+    """Runs of words whose shorter runs are frequent as far as the bitmaps tell.
+
+    ``shared`` are the bitmaps of words, pairs and so on; a run is counted if all its runs
+    of the longest width with a bitmap are marked.
+    """
 
-        bitmap = common.get()
+    def run(batches):
+        bits = [s.get() for s in shared]
+        known, held = len(bits), {m: Gathered(max(widths)) for m in widths if m > 3}  # longer ones are few, and much the same
         for words, salt, _ in _slices(batches):
-            known = _marked(bitmap, grams(words.keys[0], salt, 1))
-            at = np.flatnonzero(known[:-1] & known[1:] & (words.run[:-1] > 1)) if len(known) > 1 else np.zeros(0, np.int64)
-            key = grams(words.keys[0], salt, 2)[at]
-            one, c = counted(np.arange(len(key)), key, key)
-            yield pa.RecordBatch.from_arrays([pa.array(key[one].view(np.int64)), pa.array(c)], ["key", "c"])
+            one = mixed(words.keys ^ salt)
+            n = len(one)
+            good = _marked(bits[0], one)
+            for m, bitmap in enumerate(bits[1:], start=2):  # places where m words in a row may be frequent
+                good = good[: n - m + 1] & good[1 : n - m + 2] & (words.run[: n - m + 1] >= m) if n >= m else good[:0]
+                at = np.flatnonzero(good)
+                good[at] = _marked(bitmap, grams(one, at, m))
+            for m in widths:
+                alive = words.run[: n - m + 1] >= m if n >= m else np.zeros(0, dtype=bool)
+                for j in range(m - known + 1):
+                    alive = alive & good[j : j + len(alive)]
+                at = np.flatnonzero(alive)
+                key, parts = grams(one, at, m), [one[at + j] for j in range(m)]
+                first, c = counted(key, parts)
+                parts = [p[first] for p in parts]
+                if m in held:
+                    held[m].add(key[first], parts, c)
+                    yield from held[m].batches()
+                else:
+                    yield _batch(parts, c, max(widths))
+        for rest in held.values():
+            yield from rest.batches(last=True)
 
     return run
 
 
-def _stripes(common: Shared, pairs: Shared, longest: int):
+def _run_key(width: int):
+    """The same key of a run as in :func:`_count_runs`, for its bit."""
+
     def run(batches):
         import pyarrow as pa
 
-        one_bits, two_bits = common.get(), pairs.get()
-        for words, salt, langs in _slices(batches):
-            n = len(words.starts)
-            alive = _marked(one_bits, grams(words.keys[0], salt, 1))
-            linked = np.zeros(n, dtype=bool)
-            if n > 1:
-                linked[:-1] = alive[:-1] & alive[1:] & (words.run[:-1] > 1)
-                at = np.flatnonzero(linked)
-                linked[at] = _marked(two_bits, grams(words.keys[0], salt, 2)[at])
-            for k in range(longest):  # prefixes of k words and the word that follows
-                if k:
-                    alive = alive[: n - k] & linked[k - 1 : n - 1] if n > k else alive[:0]
-                at = np.flatnonzero(alive)
-                one, two = (grams(key, salt, k + 1)[at] for key in words.keys)
-                at, c = counted(at, one, two)
-                prefix_end = words.ends[at + k - 1] if k else words.starts[at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        langs.take(pa.array(words.rows[at])),
-                        text_array(words.joined, words.starts[at], prefix_end),
-                        text_array(words.joined, words.starts[at + k], words.ends[at + k]),
-                        pa.array(c),
-                    ],
-                    ["lang", "prefix", "next", "c"],
-                )
+        for batch in batches:
+            lists = batch.column(0)
+            words = lists.flatten().to_numpy().view(np.uint64).reshape(len(lists), width)
+            key = grams(words.reshape(-1), np.arange(0, words.size, width), width)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
 
     return run
 
@@ -206,21 +254,22 @@ def collocations(
     with at least ``subsume_percent`` of its count is dropped.  Each language has ``top``
     ranks by score, count and phrase in byte order.
 
-    **Stripes.**  Under each prefix of 0 to ``max_words - 1`` words there is a counter of the words
-    that follow.  Stripes of slices of text are merged by adding equal counters.  A cell
-    (prefix, next word) is the count of that phrase; it is also the total of the
-    stripe whose prefix is that phrase, which gives the counts of parts.  The largest
-    counter in the stripe of a phrase, and the largest cell of a phrase that has it as
-    its end, are the largest counts of longer phrases by one word; since longer
-    phrases never occur more often, no other has to be looked at.
+    **Stripes.**  Under each prefix of words there is a counter of the words that follow, as
+    cells (prefix, next word, count).  Stripes of slices of text are merged by adding equal
+    cells, so no task holds the whole stripe of a prefix.  A cell is the count of that
+    phrase and the total of the stripe whose prefix is that phrase, which gives the counts
+    of parts.  The largest cell in the stripe of a phrase, and the largest cell of a
+    phrase that has it as its end, are the largest counts of longer phrases by one
+    word; since longer phrases never occur more often, no other has to be looked at.
 
-    Two earlier passes find what cannot be frequent: a phrase needs frequent words, then
-    frequent pairs of words.  Both are told by bitmaps of ``2 ** bits`` bits, broadcast
-    (eight megabytes each by default); a bit may stand for several phrases, which costs work
-    but no result, since counts are of words and not of their keys.
+    Shorter runs prune longer ones: pairs are counted where both words are frequent, triples
+    where both pairs are, longer phrases where all triples are.  That is told by bitmaps
+    of ``2 ** bits`` bits, broadcast (eight megabytes each by default); a bit may stand
+    for several runs, which costs work but no result.  Words travel as 64-bit keys of word
+    and language; should two frequent words share one, the call ends with an error.
 
     A null language is ``missing``, a null text empty.  Texts of any length are worked on
-    whole, in slices of texts of some four megabytes.  Repeated rows count again; ties
+    whole, in slices of texts of about a megabyte.  Repeated rows count again; ties
     in score and count go to the phrase that sorts first, ties of cuts to the shorter
     first part.  An empty table gives an empty result.  Further columns are not read.
     Arithmetic is in decimals of 38 digits.
@@ -229,37 +278,51 @@ def collocations(
         raise ValueError("phrases have at least two words")
     spark = docs.sparkSession
     given = docs.select(F.coalesce(column(lang).cast("string"), F.lit(missing)).alias("lang"), F.concat(column(text), F.lit("\n")).alias("text")).where("text IS NOT NULL")
-    words = stage(given.mapInArrow(_count_words, "lang string, key bigint, c bigint").groupBy("lang", "key").agg(F.sum("c").alias("c")), "phrase-words")
-    totals = stage(words.groupBy("lang").agg(F.sum("c").alias("n")), "phrase-totals")
-    common = Shared(spark, _bitmap(words.where(F.col("c") >= min_count), bits), _from_bytes)
-    pairs = given.mapInArrow(_count_pairs(common), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
-    paired = Shared(spark, _bitmap(pairs.where(F.col("c") >= min_count), bits), _from_bytes)
-    stripes = given.mapInArrow(_stripes(common, paired, max_words), "lang string, prefix string, next string, c bigint")
-    cells = stripes.groupBy("lang", "prefix", "next").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
-    phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
-    cells = stage(cells.select("lang", "prefix", phrase.alias("phrase"), "c"), "phrase-cells")
-    common.end()
-    paired.end()
-    discard(words)
+    often = F.col("c") >= min_count
+    every = given.mapInArrow(_count_words, "lang string, word string, key bigint, c bigint").groupBy("lang", "word", "key").agg(F.sum("c").alias("c"))
+    every = stage(every, "phrase-words")
+    totals = stage(every.groupBy("lang").agg(F.sum("c").alias("n")), "phrase-totals")
+    words = stage(every.where(often), "phrase-frequent-words")
+    discard(every)
+    if not words.groupBy("key").count().where("count > 1").isEmpty():
+        raise ValueError("two frequent words share a key")
+    shared, levels = [Shared(spark, _bitmap(words, bits), _from_bytes)], []
+    for widths in ([2], [3], list(range(4, max_words + 1))):
+        widths = [m for m in widths if m <= max_words]
+        if widths:
+            names = [f"w{i + 1}" for i in range(widths[-1])]
+            schema = ", ".join(f"{c} bigint" for c in [*names, "c"])
+            runs = given.mapInArrow(_count_runs(shared, widths), schema).groupBy(*names).agg(F.sum("c").alias("c")).where(often)
+            levels.append(stage(runs.select(F.array_compact(F.array(*names)).alias("w"), "c"), "phrase-runs"))
+            if widths[-1] < min(max_words, 4):
+                keys = levels[-1].select("w").mapInArrow(_run_key(widths[0]), "key bigint")
+                shared.append(Shared(spark, _bitmap(keys, bits), _from_bytes))
+    for s in shared:
+        s.end()
+    cells = words.select(F.array("key").alias("w"), "c")
+    for level in levels:
+        cells = cells.unionAll(level)
     # the largest count of a phrase that is longer by one word, to the right or to the left
-    longer = cells.where("prefix <> ''")
-    right = longer.select("lang", F.col("prefix").alias("inner"), "c")
-    left = longer.select("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("inner"), "c")
-    most = stage(right.unionAll(left).groupBy("lang", "inner").agg(F.max("c").alias("most")), "phrase-longer")
-    # staged, so that joins below are of two shuffles, which Spark splits where a key is hot
-    free = longer.join(most.withColumnRenamed("inner", "phrase"), ["lang", "phrase"], "left").where(
-        F.col("most").isNull() | (_huge(F.col("most")) * 100 < _huge(F.col("c")) * subsume_percent)
-    )
-    free = stage(free.select("lang", "phrase", F.col("c").alias("a")), "phrase-free")
-    w = F.split("phrase", " ")
-    cuts = free.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(w) - 1)))
-    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice(w, F.lit(1), F.col("k")), " ").alias("head"), F.array_join(F.slice(w, F.col("k") + 1, F.size(w)), " ").alias("rest"))
-    heads = cells.select("lang", F.col("phrase").alias("head"), F.col("c").alias("l"))
-    rests = cells.select("lang", F.col("phrase").alias("rest"), F.col("c").alias("r"))
-    sized = stage(cuts.join(heads, ["lang", "head"]), "phrase-heads").join(rests, ["lang", "rest"]).join(totals, "lang")
+    m = F.size("w")
+    longer = cells.where(m > 1)
+    prefix, end = F.slice("w", F.lit(1), m - 1), F.slice("w", F.lit(2), m - 1)
+    most = longer.select(prefix.alias("w"), "c").unionAll(longer.select(end.alias("w"), "c")).groupBy("w").agg(F.max("c").alias("most"))
+    # staged, as below, so that joins are of two shuffles, which Spark splits where a key is hot
+    most = stage(most, "phrase-longer")
+    free = longer.join(most, "w", "left").where(F.col("most").isNull() | (_huge(F.col("most")) * 100 < _huge(F.col("c")) * subsume_percent))
+    free = stage(free.select(F.monotonically_increasing_id().alias("id"), "w", F.col("c").alias("a")), "phrase-free")
+    spelled = free.select("id", F.posexplode("w").alias("i", "key")).join(words.select("key", "lang", "word"), "key")
+    spelled = spelled.groupBy("id").agg(
+        F.max("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase")
+    )  # at most max_words rows each
+    spelled = stage(spelled, "phrase-texts")
+    cuts = free.withColumn("k", F.explode(F.sequence(F.lit(1), m - 1)))
+    cuts = cuts.select("id", "a", "k", F.slice("w", F.lit(1), F.col("k")).alias("head"), F.slice("w", F.col("k") + 1, m).alias("rest"))
+    cuts = stage(cuts.join(cells.select(F.col("w").alias("head"), F.col("c").alias("l")), "head").drop("head"), "phrase-heads")
+    cuts = cuts.join(cells.select(F.col("w").alias("rest"), F.col("c").alias("r")), "rest").drop("rest").join(spelled, "id").join(totals, "lang")
     score = F.expr("(1000 * CAST(a AS decimal(19,0)) * CAST(n AS decimal(19,0))) div (CAST(l AS decimal(19,0)) * CAST(r AS decimal(19,0)))")
     least = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
-    scored = sized.groupBy("lang", "phrase", "a", "n").agg(least).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
+    scored = cuts.groupBy("lang", "phrase", "a", "n").agg(least).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # first within parts of a language, so that no task sees all phrases of one
     part = F.pmod(F.xxhash64("phrase"), F.lit(64))
