@@ -30,6 +30,49 @@ def top_terms(counts: DataFrame, n: int, keys: list[str] = A, term: str = "ngram
     return top_k(counts, keys, [-F.col("count"), *(ties or [F.col(term)])], n)
 
 
+def term_states(df: DataFrame, size: int = 2, tracked: int = 20_000) -> DataFrame:
+    """``analysis_id, state``: mergeable sketches of the most frequent runs of ``size`` title words."""
+    terms = df.select("analysis_id", F.explode(ngrams(title_tokens("title"), size)).alias("ngram"))
+    return terms.groupBy("analysis_id").agg(F.expr(f"approx_top_k_accumulate(ngram, {int(tracked)})").alias("state"))
+
+
+def merged_term_states(states: DataFrame, tracked: int = 20_000) -> DataFrame:
+    """States of several parts of the titles as one per analysis."""
+    return states.groupBy("analysis_id").agg(F.expr(f"approx_top_k_combine(state, {int(tracked)})").alias("state"))
+
+
+def hot_terms(df: DataFrame, n: int, size: int = 2, states: DataFrame | None = None, tracked: int = 20_000) -> DataFrame:
+    """The ``n`` most frequent terms per analysis, with few counts shuffled.
+
+    Sketches name candidates, a few times as many as wanted, and a second pass counts these
+    exactly.  ``sure`` is true where the result is that of :func:`top_terms` over
+    :func:`title_ngrams`: no term beyond the candidates can have the count of the
+    last one, since its estimate, an upper bound, is below.  ``states`` may be kept from
+    earlier parts of the same titles.
+    """
+    wanted = 8 * n + 100
+    if wanted > tracked // 2:
+        raise ValueError("tracked must be sixteen times n at least")
+    states = term_states(df, size, tracked) if states is None else states
+    named = states.select("analysis_id", F.expr(f"approx_top_k_estimate(state, {wanted})").alias("e"))
+    bounds = named.select("analysis_id", F.when(F.size("e") >= wanted, F.array_min(F.transform("e", lambda x: x["count"]))).alias("_bound"))
+    candidates = named.select("analysis_id", F.explode("e").alias("x")).select("analysis_id", F.col("x.item").alias("ngram"))
+    terms = df.select("analysis_id", F.explode(ngrams(title_tokens("title"), size)).alias("ngram"))
+    counts = terms.join(F.broadcast(candidates), ["analysis_id", "ngram"]) if small_enough(candidates) else terms.join(candidates, ["analysis_id", "ngram"])
+    exact = counts.groupBy("analysis_id", "ngram").agg(F.count(F.lit(1)).alias("count"))
+    top = top_terms(exact, n)
+    last = top.groupBy("analysis_id").agg(F.min("count").alias("_last"), F.count(F.lit(1)).alias("_found"))
+    told = last.join(bounds, "analysis_id").select(
+        "analysis_id", (F.col("_bound").isNull() | ((F.col("_found") >= n) & (F.col("_last") > F.col("_bound")))).alias("sure")
+    )
+    return top.join(told, "analysis_id")
+
+
+def small_enough(rows: DataFrame, most: int = 500_000) -> bool:
+    """Whether a table has at most ``most`` rows; counts no more than it must."""
+    return rows.limit(most + 1).count() <= most
+
+
 def _working(df: DataFrame, pool: int | None) -> DataFrame:
     """Rows with their tokens and place ``_at``; with ``pool`` only the first of each analysis."""
     rows = df if pool is None else top_k(df, A, place(df), pool, "_rank")

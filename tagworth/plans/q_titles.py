@@ -51,6 +51,18 @@ def top_terms(spark, d):
     return t.top_terms(counts, 20).select("analysis_id", "ngram", "count")
 
 
+@query(
+    "hot_terms",
+    f"""SELECT analysis_id, g AS ngram, n AS count FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY n DESC, g) AS r FROM (
+        SELECT analysis_id, g, count(*) AS n FROM ({grams_sql('@doc_tok', 2)}) GROUP BY 1, 2)) WHERE r <= 5""",
+)
+def hot_terms(spark, d):
+    """Sketches of two halves of the titles, merged; then exact counts of the candidates."""
+    rows = fixture(spark, d, "doc_titles")
+    halves = [t.term_states(rows.where(F.col("pos") % 2 == k)) for k in (0, 1)]
+    return t.hot_terms(rows, 5, states=t.merged_term_states(halves[0].union(halves[1]))).select("analysis_id", "ngram", "count")
+
+
 cte("work", "SELECT * FROM @tok")
 cte(
     "phrase_top",

@@ -7,6 +7,7 @@ cleared by event-time timers.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,53 +43,72 @@ class _InOrder(StatefulProcessor):
     come in a later batch; a timer of the earliest wakes the key.  So a key holds the
     events of the allowed lateness and what ``step`` keeps, and results do not depend on
     how events were dealt to files and batches.
+
+    Waiting events are a map of time slots to lists: a batch touches the slots of its own
+    events, and a timer those that have passed.  What ``step`` keeps is read and written
+    once per call, so a burst of events costs in proportion to their number.
     """
 
-    PENDING = "at bigint, event_id bigint, ok boolean, kind string"
+    EVENT = "at: bigint, event_id: bigint, ok: boolean, kind: string"
+    SLOT = 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.PENDING)
+        self.pending = handle.getMapState("pending", "slot bigint", f"events array<struct<{self.EVENT}>>")
         self.kept = handle.getValueState("kept", self.KEPT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        slots: dict[int, list] = {}
         for part in rows:
-            self.pending.appendList(
-                [(int(at), int(e), None if ok is None else bool(ok), kind) for at, e, ok, kind in zip(part["at"], part["event_id"], part["ok"], part["kind"])]
-            )
-            first = int(part["at"].min()) if first is None else min(first, int(part["at"].min()))
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+            for at, e, ok, kind in zip(part["at"], part["event_id"], part["ok"], part["kind"]):
+                slots.setdefault(int(at) // self.SLOT, []).append((int(at), int(e), None if ok is None else bool(ok), kind))
+        for slot, new in slots.items():
+            held = self.pending.getValue((slot,)) if self.pending.containsKey((slot,)) else None
+            self.pending.updateValue((slot,), ([*map(tuple, held[0] if held else ()), *new],))
+        if slots:
+            self.handle.registerTimer(min(e[0] for new in slots.values() for e in new) // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.pending.get()) if self.pending.exists() else []
-        due = [e for e in waiting if e[0] < passed]
-        kept = self.kept.get() if self.kept.exists() else None
+        due, later = [], []
+        slots = sorted(slot for (slot,) in self.pending.keys())
+        for slot in slots:
+            if slot * self.SLOT >= passed:
+                later.append(slot * self.SLOT)
+                break
+            events = [tuple(e) for e in self.pending.getValue((slot,))[0]]
+            left = [e for e in events if e[0] >= passed]
+            due += [e for e in events if e[0] < passed]
+            if left:
+                self.pending.updateValue((slot,), (left,))
+                later.append(min(e[0] for e in left))
+            else:
+                self.pending.removeKey((slot,))
+        kept = self.loaded(self.kept.get()) if self.kept.exists() else None
         out = []
-        for at, event_id, ok, kind in due:
+        for at, event_id, ok, kind in sorted(due):
             kept, row = self.step(kept, at, ok, kind)
             out.append((*key, event_id, at, *row))
-        if due:
-            later = waiting[len(due) :]
-            if later:
-                self.pending.put(later)
-                self.handle.registerTimer(later[0][0] // 1000 + 1)
-            else:
-                self.pending.clear()
+        if later:
+            self.handle.registerTimer(min(later) // 1000 + 1)
         if kept is not None and self.over(kept, passed):
             kept = None
         if kept is None:
             self.kept.clear()
         else:
-            self.kept.update(kept)
+            self.kept.update(self.saved(kept))
             if due:
                 self.handle.registerTimer(max(self.end(kept) // 1000 + 1, passed // 1000 + 1))
         if out:
             yield pd.DataFrame(out, columns=self.COLUMNS).astype({"hold_until": "Int64"})
 
+    def loaded(self, kept):
+        return kept
+
+    def saved(self, kept):
+        return kept
+
     def close(self) -> None:
         pass
 
@@ -102,19 +122,23 @@ class _Holds(_InOrder):
     def __init__(self, window: int, threshold: int, hold: int):
         self.window, self.threshold, self.hold = window, threshold, hold
 
+    def loaded(self, kept):
+        return deque(kept[0]), kept[1]
+
+    def saved(self, kept):
+        return list(kept[0]), kept[1]
+
     def step(self, kept, at, ok, kind):
-        times, until = kept if kept is not None else ([], 0)
-        times = list(times)
-        old = 0
-        while old < len(times) and times[old] < at - self.window:
-            old += 1
-        times = [*times[old:], at]
+        times, until = kept if kept is not None else (deque(), 0)
+        while times and times[0] < at - self.window:
+            times.popleft()
+        times.append(at)
         if len(times) >= self.threshold:
             until = max(until, at + self.hold)
         return (times, until), (len(times), until if until > at else None)
 
     def end(self, kept) -> int:
-        return max(list(kept[0])[-1] + self.window, kept[1])
+        return max(kept[0][-1] + self.window, kept[1])
 
     def over(self, kept, passed: int) -> bool:
         return self.end(kept) < passed
