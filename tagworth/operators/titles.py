@@ -30,9 +30,15 @@ def top_terms(counts: DataFrame, n: int, keys: list[str] = A, term: str = "ngram
     return top_k(counts, keys, [-F.col("count"), *(ties or [F.col(term)])], n)
 
 
+def _title_runs(df: DataFrame, size: int) -> DataFrame:
+    """A row per run of ``size`` title words; words are cut before runs are formed, once per title."""
+    tokens = df.select("analysis_id", title_tokens("title").alias("_t"))
+    return tokens.select("analysis_id", F.explode(ngrams(F.col("_t"), size)).alias("ngram"))
+
+
 def term_states(df: DataFrame, size: int = 2, tracked: int = 20_000) -> DataFrame:
     """``analysis_id, state``: mergeable sketches of the most frequent runs of ``size`` title words."""
-    terms = df.select("analysis_id", F.explode(ngrams(title_tokens("title"), size)).alias("ngram"))
+    terms = _title_runs(df, size)
     return terms.groupBy("analysis_id").agg(F.expr(f"approx_top_k_accumulate(ngram, {int(tracked)})").alias("state"))
 
 
@@ -57,7 +63,7 @@ def hot_terms(df: DataFrame, n: int, size: int = 2, states: DataFrame | None = N
     named = states.select("analysis_id", F.expr(f"approx_top_k_estimate(state, {wanted})").alias("e"))
     bounds = named.select("analysis_id", F.when(F.size("e") >= wanted, F.array_min(F.transform("e", lambda x: x["count"]))).alias("_bound"))
     candidates = named.select("analysis_id", F.explode("e").alias("x")).select("analysis_id", F.col("x.item").alias("ngram"))
-    terms = df.select("analysis_id", F.explode(ngrams(title_tokens("title"), size)).alias("ngram"))
+    terms = _title_runs(df, size)
     counts = terms.join(F.broadcast(candidates), ["analysis_id", "ngram"]) if small_enough(candidates) else terms.join(candidates, ["analysis_id", "ngram"])
     exact = counts.groupBy("analysis_id", "ngram").agg(F.count(F.lit(1)).alias("count"))
     top = top_terms(exact, n)
@@ -68,6 +74,15 @@ def hot_terms(df: DataFrame, n: int, size: int = 2, states: DataFrame | None = N
     return top.join(told, "analysis_id")
 
 
+def top_terms_by_sketch(df: DataFrame, n: int, size: int = 2, states: DataFrame | None = None, tracked: int = 20_000) -> DataFrame:
+    """The rows of :func:`hot_terms` where they are sure; the other analyses are counted in full."""
+    hot = hot_terms(df, n, size, states, tracked)
+    unsure = hot.where(~F.col("sure")).select("analysis_id").distinct()
+    rest = top_terms(title_ngrams(df.join(unsure, "analysis_id", "left_semi"), (size,)), n)
+    columns = ["analysis_id", "ngram", "count"]
+    return hot.where("sure").select(columns).unionByName(rest.select(columns))
+
+
 def small_enough(rows: DataFrame, most: int = 500_000) -> bool:
     """Whether a table has at most ``most`` rows; counts no more than it must."""
     return rows.limit(most + 1).count() <= most

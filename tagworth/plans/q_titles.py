@@ -57,10 +57,10 @@ def top_terms(spark, d):
         SELECT analysis_id, g, count(*) AS n FROM ({grams_sql('@doc_tok', 2)}) GROUP BY 1, 2)) WHERE r <= 5""",
 )
 def hot_terms(spark, d):
-    """Sketches of two halves of the titles, merged; then exact counts of the candidates."""
+    """Sketches of two halves of the titles, merged; then exact counts of the candidates, or of all terms where these may not do."""
     rows = fixture(spark, d, "doc_titles")
     halves = [t.term_states(rows.where(F.col("pos") % 2 == k)) for k in (0, 1)]
-    return t.hot_terms(rows, 5, states=t.merged_term_states(halves[0].union(halves[1]))).select("analysis_id", "ngram", "count")
+    return t.top_terms_by_sketch(rows, 5, states=t.merged_term_states(halves[0].union(halves[1])))
 
 
 cte("work", "SELECT * FROM @tok")

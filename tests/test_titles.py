@@ -1,0 +1,30 @@
+"""Frequent title terms from sketches against full counts."""
+
+from __future__ import annotations
+
+from tagworth.operators import titles as t
+
+
+def titles(spark):
+    flat = [("flat", f"alpha{i:03d} omega{i:03d}") for i in range(400)]
+    skewed = [("skewed", "scarlet velvet")] * 50 + [("skewed", f"indigo{i:03d} velvet") for i in range(150)]
+    return spark.createDataFrame([*flat, *skewed, ("single", "one"), ("none", None)], "analysis_id string, title string")
+
+
+def test_sketches_say_where_they_are_sure(spark):
+    hot = {(r.analysis_id, r.ngram, r["count"]): r.sure for r in t.hot_terms(titles(spark), 1, tracked=512).collect()}
+    assert hot[("skewed", "scarlet velvet", 50)] is True
+    assert [sure for (key, _, _), sure in hot.items() if key == "flat"] == [False]
+
+
+def test_unsure_analyses_are_counted_in_full(spark):
+    df = titles(spark)
+    rows = {tuple(r) for r in t.top_terms_by_sketch(df, 1, tracked=512).collect()}
+    assert rows == {tuple(r) for r in t.top_terms(t.title_ngrams(df, (2,)), 1).select("analysis_id", "ngram", "count").collect()}
+    assert ("flat", "alpha000 omega000", 1) in rows
+
+
+def test_states_of_parts_merge(spark):
+    df = titles(spark)
+    states = t.merged_term_states(t.term_states(df, tracked=512).union(t.term_states(df.limit(0), tracked=512)), tracked=512)
+    assert t.hot_terms(df, 1, states=states, tracked=512).count() == 2
