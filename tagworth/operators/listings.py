@@ -199,7 +199,12 @@ def best_price(cands: DataFrame, keys: list[str], tie: str = "low") -> DataFrame
     return cands.groupBy(*keys).agg(F.min_by(F.struct("price", "currency"), order).alias("_b")).select(*keys, "_b.*")
 
 
-def unparsed_pages(parsed: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
-    """Pages that gave neither title nor price, with their html."""
+def unparsed_pages(parsed: DataFrame, pages: DataFrame, key: str | None = None) -> DataFrame:
+    """Pages that gave neither title nor price, with their html.
+
+    ``key`` names a page in both tables: ``page_id`` where both have it, else the url, of
+    which several fetches of a page share one.
+    """
+    key = key or ("page_id" if "page_id" in parsed.columns and "page_id" in pages.columns else "url")
     empty = parsed.filter((F.trim(text("title")) == "") & F.col("price").isNull()).select(key).distinct()
     return pages.join(empty, key, "left_semi")

@@ -205,7 +205,7 @@ def unparsed_pages(spark, d):
 
     pages = load(spark, d, "pages")
     parsed = pages.select(
-        "url",
+        "page_id",
         F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("title"),
         F.lit(None).cast("double").alias("price"),
     )

@@ -92,3 +92,11 @@ def test_event_log(spark, tmp_path):
     (tmp_path / "log.json").write_text(json.dumps(line) + "\n")
     r = logs.read_event_log(spark, str(tmp_path)).first()
     assert (r["event"], r["seconds"]) == ("scrape.start", 1.5)
+
+
+def test_unparsed_pages_of_a_shared_url(spark):
+    from tagworth.operators.listings import unparsed_pages
+
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (3, None, "c")], "page_id int, url string, html string")
+    parsed = spark.createDataFrame([(1, "u", "t", None), (2, "u", None, None), (3, None, " ", None)], "page_id int, url string, title string, price double")
+    assert sorted(r["html"] for r in unparsed_pages(parsed, pages).collect()) == ["b", "c"]
