@@ -100,3 +100,11 @@ def test_unparsed_pages_of_a_shared_url(spark):
     pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (3, None, "c")], "page_id int, url string, html string")
     parsed = spark.createDataFrame([(1, "u", "t", None), (2, "u", None, None), (3, None, " ", None)], "page_id int, url string, title string, price double")
     assert sorted(r["html"] for r in unparsed_pages(parsed, pages).collect()) == ["b", "c"]
+
+
+def test_nested_results_query_holds_every_item(spark):
+    from tagworth.plans import ORACLES, QUERIES
+
+    rows = QUERIES["nested_results"](spark, "/root/testdata/sf0.001").groupBy("analysis_id").agg({"n": "sum", "n_items": "max"}).collect()
+    assert rows and all(r["sum(n)"] == r["max(n_items)"] > 100 for r in rows)
+    assert "least(" not in ORACLES["nested_results"]
