@@ -408,3 +408,12 @@ def test_limits_come_from_all_trusted_texts(spark):
         assert abs(sum(r.z * math.sqrt(k) for r, k in zip(own, n)) / sum(n)) < 1e-6, lang  # the mean is that of all
         lo, hi = np.quantile([r.z for r in own], [0.05, 0.95])
         assert [r.kept for r in own if min(abs(r.z - lo), abs(r.z - hi)) > 2e-3] == [lo <= r.z <= hi for r in own if min(abs(r.z - lo), abs(r.z - hi)) > 2e-3]
+
+
+def test_symbols_of_all_planes():
+    from tagworth.llm.quality_kn import SYMBOLS, _symbols, symbol_of, symbol_table
+
+    symbols, _ = _symbols(["a\U00020000\U0001d7cf\U0001d400\U0001f600￿"])
+    assert symbols[3:9].tolist() == [1, 34, 35, 28, SYMBOLS - 1, SYMBOLS - 1]  # ideograph, digit, capital, emoji
+    table = symbol_table()
+    assert len(table) == 1 << 16 and all(table[cp] == symbol_of(cp) for cp in (65, 97, 233, 0x4E00, 0x3B1))
