@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.base import let, text
 from ..functions.words import brand_token_ascii, has_brand, ngrams, title_tokens
-from .groups import top_k
+from .groups import staged, top_k
 from .routing import exact_rank, place
 
 A = ["analysis_id"]
@@ -88,25 +90,62 @@ def small_enough(rows: DataFrame, most: int = 500_000) -> bool:
     return rows.limit(most + 1).count() <= most
 
 
-def _working(df: DataFrame, pool: int | None) -> DataFrame:
-    """Rows with their tokens and place ``_at``; with ``pool`` only the first of each analysis."""
-    rows = df if pool is None else top_k(df, A, place(df), pool, "_rank")
-    return rows.select("analysis_id", F.struct(*place(df)).alias("_at"), title_tokens("title").alias("_t"))
+def _pool(df: DataFrame, pool: int | None) -> DataFrame:
+    """All rows, or with ``pool`` only the first of each analysis."""
+    return df if pool is None else top_k(df, A, place(df), pool, "_rank")
 
 
-def _counted(rows: DataFrame, terms: Column) -> DataFrame:
-    """Terms of an array column, counted, with the place of their first use."""
-    return (
-        rows.select("analysis_id", "_at", F.posexplode(terms).alias("_i", "term"))
-        .groupBy("analysis_id", "term")
-        .agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("_at", "_i")).alias("first"))
-    )
+def _lead(df: DataFrame) -> list[Column]:
+    """Section and position of a row as numbers; a missing position comes first, as in :func:`place`."""
+    pos = F.col("pos") if "pos" in df.columns else F.lit(0)
+    section = F.col("section_rank") if "section_rank" in df.columns else F.lit(0)
+    return [section.alias("_s"), pos.isNotNull().alias("_k"), pos.alias("_p")]
+
+
+def _distinct_titles(rows: DataFrame) -> DataFrame:
+    """Each title of an analysis and section once: ``_n`` rows have it, ``_p`` is its first position.
+
+    All values are numbers, which Spark merges in its hash tables, without a sort of the rows.
+    """
+    led = rows.select("analysis_id", "title", *_lead(rows))
+    return led.groupBy("analysis_id", "title", "_s", "_k").agg(F.min("_p").alias("_p"), F.count(F.lit(1)).alias("_n"))
+
 
+def _top_lists(rows: DataFrame, lists: dict[str, tuple[Callable[[Column], Column], int]]) -> DataFrame:
+    """``analysis_id`` and a list of ``_r, term, count`` per name: the most frequent terms, ties by first use.
 
-def _top_list(counts: DataFrame, n: int, name: str) -> DataFrame:
-    top = top_k(counts, A, [-F.col("count"), F.col("first")], n, "_r")
+    ``lists`` has for a name the terms of a title's words and how many are wanted.  Words
+    are cut and counted once per distinct title.  Section and position of their first use
+    leave few candidates, whose urls and places in the title are then read from the rows there.
+    """
+
+    def used(titles: DataFrame, *columns: str) -> DataFrame:
+        entry = lambda name: lambda t, i: F.struct(F.lit(name).alias("kind"), t.alias("term"), i.alias("_i"))
+        cut = titles.withColumn("_t", title_tokens("title"))
+        return cut.select("analysis_id", *columns, F.inline(F.concat(*[F.transform(f(F.col("_t")), entry(k)) for k, (f, _) in lists.items()])))
+
+    key = ["analysis_id", "kind", "term"]
+    by_section = used(_distinct_titles(rows), "_s", "_k", "_p", "_n").groupBy(*key, "_s", "_k").agg(F.sum("_n").alias("count"), F.min("_p").alias("_p"))
+    counts = by_section.groupBy(*key).agg(F.sum("count").alias("count"), F.min(F.struct("_s", "_k", "_p")).alias("_lead"))
+    wanted = F.lit(0)
+    for name, (_, n) in lists.items():
+        wanted = F.when(F.col("kind") == name, n).otherwise(wanted)
+    most = max(n for _, n in lists.values())
+    w = Window.partitionBy("analysis_id", "kind")
+    ranked = counts.withColumn("_near", F.rank().over(w.orderBy(-F.col("count"), "_lead")))
+    near = staged(ranked.where((F.col("_near") <= most) & (F.col("_near") <= wanted)).drop("_near"))
+    there = rows.select("analysis_id", "title", F.struct(*_lead(rows)).alias("_lead"), F.struct(*place(rows)).alias("_at"))
+    leads = near.select(F.col("analysis_id").alias("_a"), F.col("_lead").alias("_l"))
+    first_rows = there.join(leads, (F.col("analysis_id") == F.col("_a")) & F.col("_lead").eqNullSafe(F.col("_l")), "left_semi")
+    near = near.select(*[F.col(c).alias("_" + c) for c in key], "count", F.col("_lead").alias("_l"))
+    same = F.col("_lead").eqNullSafe(F.col("_l"))
+    for c in key:
+        same &= F.col(c) == F.col("_" + c)
+    uses = used(first_rows, "_lead", "_at").join(near, same)
+    exact = uses.groupBy(*key).agg(F.max("count").alias("count"), F.min(F.struct("_at", "_i")).alias("first"))
+    top = exact.withColumn("_r", F.row_number().over(w.orderBy(-F.col("count"), "first"))).where(F.col("_r") <= wanted)
     entry = F.struct("_r", "term", "count")
-    return top.groupBy(*A).agg(F.array_sort(F.collect_list(entry)).alias(name))
+    return top.groupBy(*A).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, entry))).alias(k) for k in lists])
 
 
 def _terms(c: str | Column) -> Column:
@@ -118,12 +157,10 @@ def keyword_profile(df: DataFrame, limit: int = 10, pool: int | None = None) ->
 
     All titles count; ``pool`` restricts the counts to the first titles of an analysis.
     """
-    rows = _working(df, pool)
-    unequal = F.filter(ngrams(F.col("_t"), 2), lambda p: F.substring_index(p, " ", 1) != F.substring_index(p, " ", -1))
-    phrases = _top_list(_counted(rows, unequal), limit * 2, "_phrases")
-    words = _top_list(_counted(rows, F.col("_t")), limit * 3, "_words")
-    base = rows.select("analysis_id").distinct()
-    joined = base.join(phrases, "analysis_id", "left").join(words, "analysis_id", "left")
+    rows = _pool(df, pool)
+    unequal = lambda t: F.filter(ngrams(t, 2), lambda p: F.substring_index(p, " ", 1) != F.substring_index(p, " ", -1))
+    lists = _top_lists(rows, {"_phrases": (unequal, limit * 2), "_words": (lambda t: t, limit * 3)})
+    joined = rows.select("analysis_id").distinct().join(lists, "analysis_id", "left")
     repeated = F.filter("_phrases", lambda p: p["count"] >= 2)
     keywords = F.slice(F.array_distinct(F.concat(_terms(repeated), _terms("_words"))), 1, limit)
     return joined.select("analysis_id", keywords.alias("keywords"))
@@ -138,11 +175,10 @@ def target_name(
     stop_words: list[str] = fixed.TITLE_STOP_WORDS,
 ) -> DataFrame:
     """Readable model name from brand, keyword hints and frequent title words."""
-    rows = _working(df, sample)
-    grams = F.concat(ngrams(F.col("_t"), 3), ngrams(F.col("_t"), 2))
-    phrases = _top_list(_counted(rows, grams), 20, "_phrases")
-    words = _top_list(_counted(rows, F.col("_t")), 40, "_words")
-    base = rows.select("analysis_id").distinct().join(phrases, "analysis_id", "left").join(words, "analysis_id", "left")
+    rows = _pool(df, sample)
+    grams = lambda t: F.concat(ngrams(t, 3), ngrams(t, 2))
+    lists = _top_lists(rows, {"_phrases": (grams, 20), "_words": (lambda t: t, 40)})
+    base = rows.select("analysis_id").distinct().join(lists, "analysis_id", "left")
     none = F.array().cast("array<string>")
     base = base.withColumn("target_brand", F.lit(None).cast("string")) if brands is None else base.join(
         brands.select("analysis_id", "target_brand"), "analysis_id", "left"
@@ -177,25 +213,33 @@ def score_keywords(df: DataFrame, profiles: DataFrame) -> DataFrame:
     ``profiles`` has ``analysis_id, target_brand, keywords, negative_keywords``.  Single
     words match whole words only.
     """
-    joined = df.join(profiles.select("analysis_id", "target_brand", "keywords", "negative_keywords"), "analysis_id", "left")
-    words = F.concat_ws(" ", brand_token_ascii("title"), brand_token_ascii("url"))
-    branded = has_brand("title", "url", "target_brand")
-
-    def score(t: Column) -> Column:
-        padded = F.concat(F.lit(" "), t, F.lit(" "))
-
-        def gain(acc: Column, k: Column) -> Column:
-            phrase = F.when(t.contains(k), 8).otherwise(0)
-            word = F.when(padded.contains(F.concat(F.lit(" "), k, F.lit(" "))), 4).otherwise(0)
-            return acc + F.when(k == "", 0).when(k.contains(" "), phrase).otherwise(word)
-
-        none = F.array().cast("array<string>")
-        plus = F.aggregate(F.coalesce("keywords", none), F.lit(0), gain)
-        minus = F.size(F.filter(F.coalesce("negative_keywords", none), lambda n: (n != "") & t.contains(n))) * 5
-        brand = F.when(branded, 5).when(text("target_brand") != "", -8).otherwise(0)
-        return F.when(exact_rank() == 0, 6).otherwise(0) + brand + plus - minus
-
-    return joined.withColumn("title_score", let(words, score)).drop("target_brand", "keywords", "negative_keywords")
+    none = F.array().cast("array<string>")
+    pad = lambda k: F.concat(F.lit(" "), k, F.lit(" "))
+
+    def gain(k: Column) -> Column:
+        phrase = k.contains(" ")
+        return F.struct(
+            phrase.alias("phrase"), F.when(phrase, k).otherwise(pad(k)).alias("needle"), F.when(phrase, 8).otherwise(4).alias("points")
+        )
+
+    # few rows of known size: every candidate meets its profile where it is
+    wanted = staged(
+        profiles.select(
+            "analysis_id", (text("target_brand") != "").alias("_branded"), brand_token_ascii("target_brand").alias("_brand"),
+            F.transform(F.filter(F.coalesce("keywords", none), lambda k: k != ""), gain).alias("_gains"),
+            F.filter(F.coalesce("negative_keywords", none), lambda n: n != "").alias("_negative"),
+        )
+    )
+    folded = df.join(wanted, "analysis_id", "left").withColumns({"_ft": brand_token_ascii("title"), "_fu": brand_token_ascii("url")})
+    joined = folded.withColumn("_words", F.concat_ws(" ", "_ft", "_fu")).withColumn("_padded", pad(F.col("_words")))
+    held = lambda g: F.when(g["phrase"], F.col("_words")).otherwise(F.col("_padded")).contains(g["needle"])
+    plus = F.aggregate("_gains", F.lit(0), lambda acc, g: acc + F.when(held(g), g["points"]).otherwise(0))
+    minus = F.size(F.filter("_negative", lambda n: F.col("_words").contains(n))) * 5
+    known = F.coalesce("_brand", F.lit(""))
+    has = (known == "") | F.col("_ft").contains(known) | F.col("_fu").contains(known)
+    brand = F.when(has, 5).when(F.col("_branded"), -8).otherwise(0)
+    score = F.when(exact_rank() == 0, 6).otherwise(0) + brand + F.coalesce(plus, F.lit(0)) - F.when(F.col("_negative").isNull(), 0).otherwise(minus)
+    return joined.withColumn("title_score", score).drop("_branded", "_brand", "_gains", "_negative", "_ft", "_fu", "_words", "_padded")
 
 
 def title_shortlist(scored: DataFrame, keep: int, minimum: int = 60) -> DataFrame:
@@ -208,18 +252,20 @@ def frequency_select(df: DataFrame, brands: DataFrame, keep: int, sample: int |
     """Selection without a profile: words that are frequent in the analysis weigh most.
 
     All titles count; ``sample`` restricts the counts to the first of an analysis.  Words
-    meet their counts in a join, so the vocabulary of an analysis may be of any size.
+    of distinct titles meet their counts in a join, so the vocabulary of an analysis may be of any size.
     """
-    counts = _counted(_working(df, sample), F.col("_t")).select("analysis_id", "term", "count")
-    terms = df.select("analysis_id", F.struct(*place(df)).alias("_at"), F.explode(title_tokens("title")).alias("term"))
-    totals = terms.join(counts, ["analysis_id", "term"]).groupBy("analysis_id", "_at").agg(F.sum("count").alias("_total"))
-    placed = df.withColumn("_at", F.struct(*place(df)))
-    joined = placed.join(totals, ["analysis_id", "_at"], "left").join(brands.select("analysis_id", "target_brand"), "analysis_id", "left")
+    counted = _distinct_titles(_pool(df, sample)).select("analysis_id", "_n", F.explode(title_tokens("title")).alias("term"))
+    counts = counted.groupBy("analysis_id", "term").agg(F.sum("_n").alias("count"))
+    titles = df.select("analysis_id", "title").distinct()
+    terms = titles.select("analysis_id", "title", F.explode(title_tokens("title")).alias("term"))
+    totals = terms.join(counts, ["analysis_id", "term"]).groupBy("analysis_id", "title").agg(F.sum("count").alias("_total"))
+    wanted = staged(brands.select("analysis_id", "target_brand"))
+    joined = df.join(staged(totals), ["analysis_id", "title"], "left").join(wanted, "analysis_id", "left")
     total = F.coalesce("_total", F.lit(0))
     score = (
         F.when(exact_rank() == 0, 4).otherwise(0) + F.when(has_brand("title", "url", "target_brand"), 3).otherwise(0) + total
     )
-    scored = joined.withColumn("title_score", score).drop("_at", "_total", "target_brand")
+    scored = joined.withColumn("title_score", score).drop("_total", "target_brand")
     return top_k(scored, A, [-F.col("title_score"), *place(df)], keep, "title_rank")
 
 

@@ -28,3 +28,21 @@ def test_states_of_parts_merge(spark):
     df = titles(spark)
     states = t.merged_term_states(t.term_states(df, tracked=512).union(t.term_states(df.limit(0), tracked=512)), tracked=512)
     assert t.hot_terms(df, 1, states=states, tracked=512).count() == 2
+
+
+def test_titles_are_counted_once_each_and_ties_go_to_the_first_use(spark):
+    from pyspark.sql import functions as F
+
+    from tagworth.operators import titles
+
+    rows = [("a", 0, 7, "u2", "second words"), ("a", 0, 7, "u1", "first words"), ("a", 1, None, "u3", "early"), ("a", 0, 9, "u4", None)]
+    df = spark.createDataFrame(rows, "analysis_id string, section_rank int, pos bigint, url string, title string")
+    df = df.withColumn("serp_source", F.lit("visual_matches"))
+    assert titles.keyword_profile(df, limit=4).first()["keywords"] == ["words", "first", "second", "early"]
+    shared = df.withColumn("url", F.lit("u")).where("title IS NOT NULL AND pos = 7")
+    brands = spark.createDataFrame([("a", None)], "analysis_id string, target_brand string")
+    more = shared.unionByName(df.where("pos = 9").withColumn("title", F.lit("first first")))
+    scores = {r["title"]: r["title_score"] for r in titles.frequency_select(more, brands, 9).collect()}
+    assert scores == {"first words": 3 + 3 + 2, "second words": 3 + 1 + 2, "first first": 3 + 6}
+    plan = titles._distinct_titles(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
