@@ -108,3 +108,11 @@ def test_nested_results_query_holds_every_item(spark):
     rows = QUERIES["nested_results"](spark, "/root/testdata/sf0.001").groupBy("analysis_id").agg({"n": "sum", "n_items": "max"}).collect()
     assert rows and all(r["sum(n)"] == r["max(n_items)"] > 100 for r in rows)
     assert "least(" not in ORACLES["nested_results"]
+
+
+def test_listing_pages_are_dealt_to_all_cores(spark):
+    from tagworth.plans.fixtures import fixture
+
+    pages = fixture(spark, "/root/testdata/sf0.01", "listing_pages")
+    filled = pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count()
+    assert filled >= spark.sparkContext.defaultParallelism
