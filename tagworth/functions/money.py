@@ -83,14 +83,17 @@ def _mentioned_currency(t: Column) -> Column:
 
 def number_value(number: Column) -> Column:
     """Digits with European or American separators as a double, null if malformed."""
-    n = F.regexp_replace(number, "[\\s\\u00a0\\u202f]", "")
-    plain = (
-        F.when(n.rlike(",[0-9]{2}$"), F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(n.contains(","), F.replace(n, F.lit(","), F.lit("")))
-        .when(n.rlike("^[^.]*\\.[0-9]{2}$"), n)
-        .otherwise(F.replace(n, F.lit("."), F.lit("")))
-    )
-    return plain.try_cast("double")
+
+    def value(n: Column) -> Column:
+        return (
+            F.when(n.rlike(",[0-9]{2}$"), F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(n.contains(","), F.replace(n, F.lit(","), F.lit("")))
+            .when(n.rlike("^[^.]*\\.[0-9]{2}$"), n)
+            .otherwise(F.replace(n, F.lit("."), F.lit("")))
+            .try_cast("double")
+        )
+
+    return let(F.regexp_replace(number, "[\\s\\u00a0\\u202f]", ""), value)  # an empty text gives null
 
 
 def parse_price(c: ColumnOrName) -> Column:
@@ -104,7 +107,7 @@ def parse_price(c: ColumnOrName) -> Column:
         return let(F.struct(t.alias("t"), F.regexp_extract(t, _SYMBOL_FIRST, 0).alias("m1")), second)
 
     def second(a: Column) -> Column:
-        v1 = number_value(blank_to_null(F.regexp_extract(a["m1"], f"({_NUMBER})$", 1)))
+        v1 = number_value(F.regexp_extract(a["m1"], f"({_NUMBER})$", 1))
         return let(F.struct(a["t"].alias("t"), a["m1"].alias("m1"), v1.alias("v1")), third)
 
     def third(a: Column) -> Column:
@@ -112,8 +115,8 @@ def parse_price(c: ColumnOrName) -> Column:
         return let(F.struct(a["t"].alias("t"), a["m1"].alias("m1"), a["v1"].alias("v1"), m2.alias("m2")), last)
 
     def last(a: Column) -> Column:
-        v2 = number_value(blank_to_null(F.regexp_extract(a["m2"], f"^({_NUMBER})", 1)))
-        v3 = number_value(blank_to_null(F.regexp_extract(a["t"], f"({_NUMBER})", 1)))
+        v2 = number_value(F.regexp_extract(a["m2"], f"^({_NUMBER})", 1))
+        v3 = number_value(F.regexp_extract(a["t"], f"({_NUMBER})", 1))
         currency = (
             F.when(a["m2"] != "", _symbol_code(F.regexp_extract(a["m2"], "([^0-9]*)$", 1)))
             .when(a["m1"] != "", _symbol_code(F.regexp_extract(a["m1"], "^([^0-9]*)", 1)))
@@ -121,8 +124,8 @@ def parse_price(c: ColumnOrName) -> Column:
         )
 
         def finish(cur: Column) -> Column:
-            price = F.coalesce(a["v1"], v2, F.when(cur.isNotNull(), v3))
-            return F.struct(F.when(price > 0, price).alias("price"), cur.alias("currency"))
+            price = let(F.coalesce(a["v1"], v2, F.when(cur.isNotNull(), v3)), lambda p: F.when(p > 0, p))
+            return F.struct(price.alias("price"), cur.alias("currency"))
 
         return let(currency, finish)
 
@@ -143,15 +146,17 @@ def parse_sold_price(c: ColumnOrName) -> Column:
 
     def resolve(t: Column) -> Column:
         amounts = [
-            number_value(blank_to_null(F.regexp_extract(F.regexp_extract(t, p, 1), f"({_NUMBER})", 1)))
+            number_value(F.regexp_extract(F.regexp_extract(t, p, 1), f"({_NUMBER})", 1))
             for p in patterns
         ]
-        fallback = F.coalesce(*[F.when((a > 0) & (a <= 100000), a) for a in amounts])
+        fallback = F.coalesce(*[let(a, lambda v: F.when((v > 0) & (v <= 100000), v)) for a in amounts])
 
         def pick(direct: Column) -> Column:
-            price = F.coalesce(direct["price"], fallback)
-            currency = F.coalesce(direct["currency"], F.when(price.isNotNull(), F.lit("USD")))
-            return F.struct(price.alias("price"), F.when(price.isNotNull(), currency).alias("currency"))
+            def named(price: Column) -> Column:
+                currency = F.coalesce(direct["currency"], F.lit("USD"))
+                return F.struct(price.alias("price"), F.when(price.isNotNull(), currency).alias("currency"))
+
+            return let(F.coalesce(direct["price"], fallback), named)
 
         return let(parse_price(t), pick)
 
@@ -248,8 +253,8 @@ def asking_price(amount: ColumnOrName, currency: ColumnOrName, default: str = "R
                 F.when(asked & p["price"].isNull(), F.lit(fixed.ASKING_PRICE_ERROR)).alias("error"),
             )
 
-        direct = parse_price(v["amount"])
-        return let(F.when(direct["price"].isNotNull(), direct).otherwise(retry), pick)
+        found = let(parse_price(v["amount"]), lambda direct: F.when(direct["price"].isNotNull(), direct).otherwise(retry))
+        return let(found, pick)
 
     parts = F.struct(
         currency_words(amount).alias("amount"),

@@ -27,6 +27,11 @@ def _item_price(item: Column, shown: Column) -> Column:
     """Price text, else the numeric field in USD, else a price inside the title."""
     number = item["extracted_price"].try_cast("double")
 
+    def titled(p: Column) -> Column:
+        """Only items that state no price have their title searched."""
+        currency = lambda t: F.when(t["price"].isNotNull(), F.coalesce(t["currency"], p["shown"]["currency"])).otherwise(p["shown"]["currency"])
+        return let(parse_price(item["title"]), lambda t: F.struct(t["price"].alias("price"), currency(t).alias("currency")))
+
     def pick(p: Column) -> Column:
         return (
             F.when(p["shown"]["price"].isNotNull(), p["shown"])
@@ -34,22 +39,10 @@ def _item_price(item: Column, shown: Column) -> Column:
                 p["number"].isNotNull(),
                 F.struct(p["number"].alias("price"), F.lit("USD").alias("currency")),
             )
-            .otherwise(
-                F.struct(
-                    p["titled"]["price"].alias("price"),
-                    F.when(
-                        p["titled"]["price"].isNotNull(),
-                        F.coalesce(p["titled"]["currency"], p["shown"]["currency"]),
-                    )
-                    .otherwise(p["shown"]["currency"])
-                    .alias("currency"),
-                )
-            )
+            .otherwise(titled(p))
         )
 
-    parts = F.struct(
-        parse_price(shown).alias("shown"), number.alias("number"), parse_price(item["title"]).alias("titled")
-    )
+    parts = F.struct(parse_price(shown).alias("shown"), number.alias("number"))
     return let(parts, pick)
 
 

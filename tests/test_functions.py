@@ -175,3 +175,14 @@ def test_task_states(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("c",)], "task_id string")
     got = {r["task_id"]: (r["status"], r["report_ready"]) for r in task_states_for(ids, events).collect()}
     assert got == {"a": ("ready", True), "b": ("failed", False), "c": ("not_found", False)}
+
+
+def test_a_number_text_is_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from tagworth.functions.money import number_value
+
+    df = spark.createDataFrame([("1.234,56",), ("1,234",), ("12.50",), ("",), (None,)], "t string")
+    once = df.select(number_value(F.regexp_extract("t", "(.*)", 1)).alias("v"))
+    assert [r["v"] for r in once.collect()] == [1234.56, 1234.0, 12.5, None, None]
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
