@@ -46,3 +46,13 @@ def test_titles_are_counted_once_each_and_ties_go_to_the_first_use(spark):
     assert scores == {"first words": 3 + 3 + 2, "second words": 3 + 1 + 2, "first first": 3 + 6}
     plan = titles._distinct_titles(df)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_targets_are_made_before_candidates_meet_them(spark):
+    from tagworth.operators import routing
+
+    rows = [("a", 0, 1, "https://www.ebay.com/itm/1", "chanel bag", "visual_matches")] * 3
+    df = spark.createDataFrame(rows, "analysis_id string, section_rank int, pos bigint, url string, title string, serp_source string")
+    routed = routing.routed(df, routing.infer_brand(df))
+    assert {(r["target_brand"], r["reason_code"]) for r in routed.collect()} == {("chanel", None)}
+    assert "Aggregate" not in routed._jdf.queryExecution().optimizedPlan().toString()
