@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -387,6 +388,45 @@ def test_context_tells_subwords_of_a_class_apart():
     assert lm_scoring.attention_scores(model, classes, text, np.array([0, 32]), end)[0] > 0.5 * left
 
 
+def test_scores_stay_finite_where_all_outputs_are_small():
+    """What all outputs and all places have in common cancels, whatever its size."""
+    model, classes = small_model()
+    ids, at = np.arange(200, dtype=np.int32), np.array([0, 200])
+    expected = lm_scoring.attention_scores(model, classes, ids, at, 1999)
+    for shift in (-200, 200):
+        model.w["bias"] += shift
+        model.w["far"] += shift
+        assert lm_scoring.attention_scores(model, classes, ids, at, 1999) == pytest.approx(expected, rel=1e-4)
+        model.w["bias"] -= shift
+        model.w["far"] -= shift
+
+
+def test_a_training_step_costs_little_more_than_its_products():
+    """Against its largest products alone; a step took six times as long before row maxima and sums by key were cut."""
+    model, classes, rng = full_model()
+    x = rng.integers(0, lm_scoring.INPUTS, (64, lm_scoring.CONTEXT))
+    ids = rng.integers(0, 2000, x.shape)
+    scored = np.tile(np.arange(lm_scoring.CONTEXT) >= lm_scoring.CONTEXT - lm_scoring.STRIDE, (64, 1))
+    given = (x, classes.outputs[ids], scored)
+    z = rng.normal(0, 1, (int(scored.sum()), lm_scoring.WIDTH)).astype(np.float32)
+    out, a = model.w["out"], rng.normal(0, 1, (64, lm_scoring.CONTEXT, lm_scoring.CONTEXT)).astype(np.float32)
+    h = rng.normal(0, 1, (*x.shape, lm_scoring.WIDTH)).astype(np.float32)
+
+    def products():
+        d = np.exp(z @ out)
+        return z.T @ d, d @ out.T, np.exp(a), *(np.matmul(a, h) for _ in range(6))
+
+    def least(run):
+        took = []
+        for _ in range(60):
+            start = time.perf_counter()
+            run()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert least(lambda: model.gradient(*given)) < 4 * least(products)
+
+
 def test_limits_come_from_all_trusted_texts(spark):
     """``train_rows`` bounds the model alone; a small language has its part of it and its own limits."""
     rng = random.Random(5)
