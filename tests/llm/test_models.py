@@ -16,6 +16,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tagworth.llm import lm_scoring, quality_kn
 from tagworth.llm import sentencepiece_viterbi as sp
@@ -458,3 +459,24 @@ def test_symbols_of_all_planes():
     assert symbols[3:9].tolist() == [1, 34, 35, 28, SYMBOLS - 1, SYMBOLS - 1]  # ideograph, digit, capital, emoji
     table = symbol_table()
     assert len(table) == 1 << 16 and all(table[cp] == symbol_of(cp) for cp in (65, 97, 233, 0x4E00, 0x3B1))
+
+
+def test_model_reads_every_trusted_text(spark, monkeypatch):
+    """However many documents are labelled good: no row, repeated id or language is left out, also in several passes."""
+    seen, counted = [], quality_kn.gram_counts
+
+    def watched(texts):
+        seen.append(texts.count())
+        return counted(texts)
+
+    monkeypatch.setattr(quality_kn, "gram_counts", watched)
+    docs = spark.range(150_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionAll(docs.where("doc_id < 10"))
+    labels = spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 < 8).cast("int").alias("quality"))
+    quality_kn.quality_scores(docs, labels)
+    assert seen == [120_008]
+    texts, ids = docs.select(F.col("doc_id").alias("id"), "text").where("id < 3000"), quality_kn.good_ids(labels).where("trusted_id < 3000")
+    whole = sorted(map(tuple, quality_kn.counts_of(texts, ids).collect()))
+    monkeypatch.setattr(quality_kn, "IDS", 1000)
+    assert sorted(map(tuple, quality_kn.counts_of(texts, ids).collect())) == whole
+    assert len(seen) == 5 and sum(seen[2:]) == seen[1] == 2408
