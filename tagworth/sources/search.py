@@ -117,26 +117,32 @@ def legacy_status(title: Column, url: Column) -> Column:
 
 
 def _legacy(rows: DataFrame) -> DataFrame:
+    """Rows of legacy payloads; read once, and only those that depend on others of their link move.
+
+    These are organic rows, which stay if they are the first of their link, and rows before the
+    shopping section without a price, which take that of the first priced organic row if they are.
+    """
+    from ..operators.groups import staged
+
     offer = F.struct("serp_price", F.coalesce("serp_currency", F.lit("USD")).alias("serp_currency"), "status")
     place = F.struct("section_rank", "pos")
-    named = rows.filter(F.col("url") != "").withColumn("status", legacy_status(F.col("title"), F.col("url")))
-    organic = F.col("serp_source") == "organic_results"
-    early = named.filter(F.col("serp_source") != "shopping_results")
-    per_link = early.groupBy("analysis_id", "url").agg(
+    named = staged(rows.filter(F.col("url") != "").withColumn("status", legacy_status(F.col("title"), F.col("url"))))
+    organic, shopping = F.col("serp_source") == "organic_results", F.col("serp_source") == "shopping_results"
+    asks = organic | F.col("serp_price").isNull()
+    early = named.filter(~shopping & F.col("analysis_id").isNotNull())
+    link = [F.xxhash64("analysis_id", "url").alias("_h1"), F.xxhash64(F.lit("second"), "analysis_id", "url").alias("_h2")]
+    per_link = early.groupBy(*link).agg(
         F.min(place).alias("_first"),
         F.min_by(offer, F.when(organic & F.col("serp_price").isNotNull(), place)).alias("_fill"),
     )
-    joined = early.join(per_link, ["analysis_id", "url"])
+    joined = early.filter(asks).select("*", *link).join(per_link, ["_h1", "_h2"])
     is_first = place == F.col("_first")
     fill = is_first & F.col("serp_price").isNull() & F.col("_fill").isNotNull()
     own = F.struct("serp_price", "serp_currency", "status")
     filled = joined.filter(~organic | is_first).withColumn("_o", F.when(fill, F.col("_fill")).otherwise(own))
     columns = ["analysis_id", "section_rank", "pos", "serp_source", "url", "image", "title"]
-    first_part = filled.select(*columns, "_o.*")
-    shopping = named.filter(F.col("serp_source") == "shopping_results").select(
-        *columns, "serp_price", "serp_currency", "status"
-    )
-    return first_part.unionByName(shopping).withColumn("serp_currency", F.coalesce("serp_currency", F.lit("USD")))
+    others = named.filter(shopping | (~asks & F.col("analysis_id").isNotNull())).select(*columns, "serp_price", "serp_currency", "status")
+    return filled.select(*columns, "_o.*").unionByName(others).withColumn("serp_currency", F.coalesce("serp_currency", F.lit("USD")))
 
 
 def merge_payloads(base: DataFrame, extra: DataFrame) -> DataFrame:

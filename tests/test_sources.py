@@ -116,3 +116,21 @@ def test_listing_pages_are_dealt_to_all_cores(spark):
     pages = fixture(spark, "/root/testdata/sf0.01", "listing_pages")
     filled = pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count()
     assert filled >= spark.sparkContext.defaultParallelism
+
+
+def test_only_legacy_rows_that_depend_on_others_move(spark):
+    """Priced rows of other sections stay where they are; links repeat over payloads, nulls as before."""
+    row = lambda a, rank, pos, url, price: (a, rank, pos, search.SECTIONS[rank], url, "", "bag", price, "EUR" if price else None)
+    rows = [
+        row("a", 1, 0, "u", None), row("a", 1, 1, "u", 5.0), row("a", 2, 3, "u", 7.0), row("a", 2, 2, "u", 8.0), row("a", 3, 0, "u", None),
+        row("a", 2, 0, "v", None), row("a", 2, 1, "v", 9.0), row("b", 1, 0, "u", None), row(None, 1, 0, "u", 1.0), row(None, 3, 0, "u", 2.0), row("b", 3, 1, "", 3.0),
+    ]
+    df = spark.createDataFrame(rows, "analysis_id string, section_rank int, pos int, serp_source string, url string, image string, title string, serp_price double, serp_currency string")
+    out = search._legacy(df)
+    got = sorted(((r.analysis_id or "", r.section_rank, r.pos, r.url, r.serp_price, r.serp_currency) for r in out.collect()), key=str)
+    assert got == sorted([
+        ("a", 1, 0, "u", 8.0, "EUR"), ("a", 1, 1, "u", 5.0, "EUR"), ("a", 3, 0, "u", None, "USD"), ("a", 2, 0, "v", 9.0, "EUR"),
+        ("b", 1, 0, "u", None, "USD"), ("", 3, 0, "u", 2.0, "EUR"),
+    ], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(analysis_id" not in plan and "Expand" not in plan  # keys are hashes, no link texts
