@@ -50,7 +50,8 @@ def report_summary(results: DataFrame) -> DataFrame:
 def report_cards(items: DataFrame, order: list[Column] | None = None, lead: Column | None = None) -> DataFrame:
     """Numbered cards with badge, condition, money and similarity texts, escaped for html."""
     order = order or place(items)
-    cards = rank_in_group(items, ["analysis_id"], order, lead, "card_no")
+    shows = ["title", "site", "status", "price", "condition", "similarity", "price_original", "currency_original", "url"]
+    cards = rank_in_group(items, ["analysis_id"], order, lead, "card_no", keep=shows)
     shown = lambda c, default: escape_html(F.coalesce(blank_to_null(text(c)), F.lit(default)))
     return cards.select(
         "analysis_id",
