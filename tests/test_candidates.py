@@ -177,3 +177,39 @@ def test_streaks_across_slots(spark):
     df = df.withColumn("ts", F.timestamp_seconds("t")).repartition(6)
     got = {r["event_id"]: r["streak"] for r in failure_streaks(df, slot_sec=600).collect()}
     assert got == want
+
+
+def _watched(monkeypatch):
+    """The columns of each staged table, as they are written."""
+    seen, whole = [], g.staged
+    monkeypatch.setattr(g, "staged", lambda df: seen.append(df.columns) or whole(df))
+    return seen
+
+
+def test_ranked_rows_move_once(spark, monkeypatch):
+    """A hot group in many ranges: rows are staged without copies of their order and not dealt again."""
+    seen = _watched(monkeypatch)
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("a"), F.col("id") % 3)).when(F.col("id") != 7, F.lit("hot")).alias("k"), ((F.col("id") * 7919) % 4001).alias("x"), F.lit("wide").alias("t"), F.lit("unused").alias("u")
+    )
+    out = g.rank_in_group(df, ["k"], [F.col("x"), F.col("t")], F.col("x"), parts=16, keep=["x", "t"])
+    rows = out.collect()
+    for k in {r.k for r in rows}:
+        assert [r["rank"] for r in sorted((r for r in rows if r.k == k), key=lambda r: r.x)] == list(range(1, sum(r.k == k for r in rows) + 1))
+    assert len(rows) == 3999 and None not in {r.k for r in rows} and sum(r.k == "hot" for r in rows) == 3599
+    assert seen[0] == ["k", "x", "t", "_at"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_cards_stage_only_what_they_show(spark, monkeypatch):
+    from tagworth.operators import report
+
+    seen = _watched(monkeypatch)
+    df = spark.sql(
+        "SELECT 'a' AS analysis_id, id AS pos, 't' AS title, 's' AS site, 'Sold' AS status, 1.0D AS price, 'used' AS condition, 0.5D AS similarity, "
+        "2.0D AS price_original, 'EUR' AS currency_original, 'https://e.com/1' AS url, 'x' AS image FROM range(50)"
+    )
+    out = report.report_cards(df, [F.col("pos")])
+    assert sorted(r.card_no for r in out.collect()) == list(range(1, 51))
+    assert not {"image", "pos", "_o0"} & set(seen[0])
